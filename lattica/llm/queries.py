@@ -23,6 +23,15 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sampling, toxicity
+
+    docs, rest = common.table(spark, sf_dir, "documents"), sampling.remainder(F.col("doc_id"), 3)
+    model, limits = toxicity.train(docs, common.table(spark, sf_dir, "labels"), rest != 1)
+    got = toxicity.classify(docs.select("doc_id", "text", "lang"), model, limits)
+    return got.select("doc_id", (rest == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "toxic")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -30,6 +39,15 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_crf, sampling
+
+    docs, rest = common.table(spark, sf_dir, "documents"), sampling.remainder(F.col("doc_id"), 4)
+    model = line_crf.train(docs, common.table(spark, sf_dir, "labels"), rest != 2)
+    got = line_crf.classify(docs.select("doc_id", "text"), model)
+    return got.select("doc_id", (rest == 2).alias("held_out"), "score", (F.col("score") >= line_crf.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import dedup
 
@@ -38,7 +56,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_mix_sources, op4_host_rules, op6_line_dedup, op10_exact_dedup)
+    for f in (op2_mix_sources, op4_host_rules, op5_toxicity, op6_line_dedup, op8_line_crf, op10_exact_dedup)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -50,7 +68,8 @@ ORACLE: dict[str, str] = {
             FROM (SELECT doc_id, i, w[i:i + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w))),
         rep AS (SELECT doc_id, count(DISTINCT i + k) AS r FROM win, range(0, 5) AS o(k) WHERE n > 1 GROUP BY doc_id),
         l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS d
-            FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM w) WHERE regexp_matches(x, '[^ 	-]') GROUP BY doc_id),
+            FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM w) WHERE regexp_matches(x, '[^ 	-
+]') GROUP BY doc_id),
         f AS (SELECT doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
                 len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(d, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(r, 0) AS n_repeat_words
             FROM w LEFT JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)),
