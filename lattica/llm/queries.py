@@ -39,6 +39,21 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import byte_bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    got = byte_bpe.decode(byte_bpe.encode(common.table(spark, sf_dir, "documents").select("doc_id", "text"), path, with_offsets=False), path)
+    return got.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import line_crf, sampling
 
@@ -56,7 +71,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_mix_sources, op4_host_rules, op5_toxicity, op6_line_dedup, op8_line_crf, op10_exact_dedup)
+    for f in (op2_mix_sources, op4_host_rules, op5_toxicity, op6_line_dedup, op7_byte_bpe, op8_line_crf, op10_exact_dedup)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
