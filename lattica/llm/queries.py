@@ -63,6 +63,12 @@ def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (rest == 2).alias("held_out"), "score", (F.col("score") >= line_crf.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_jaccard import join
+
+    return join(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import dedup
 
@@ -71,7 +77,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_mix_sources, op4_host_rules, op5_toxicity, op6_line_dedup, op7_byte_bpe, op8_line_crf, op10_exact_dedup)
+    for f in (op2_mix_sources, op4_host_rules, op5_toxicity, op6_line_dedup, op7_byte_bpe, op8_line_crf, op9_ngram_jaccard, op10_exact_dedup)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
