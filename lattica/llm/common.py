@@ -42,16 +42,20 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """This session's folder in the one that ``spark.checkpoint.dir`` names, which all executors share.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset (a local
-    session, as in tests) is a temporary folder made.
+    Only where that is unset (a local session, as in tests) is a temporary folder made.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattica-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -59,15 +63,18 @@ def cut(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 100_000
 
 
-def attach(big: DataFrame, small: DataFrame, key: str, salt_by: str, how: str = "left", salts: int = 32) -> DataFrame:
+def attach(big: DataFrame, small: DataFrame, key: str, salt_by: str, how: str = "left", salts: int = 32, most_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join ``small`` (one row a key, already cut) to ``big`` on a null-safe key.
 
-    Broadcast if ``small`` has at most BROADCAST_ROWS rows. Beyond that both sides are
-    salted, so that a key holding a third of ``big`` is spread over ``salts`` tasks.
+    Broadcast if ``small`` has at most ``most_rows`` rows. Beyond that both sides are
+    salted, so that a key holding a third of ``big`` is spread over ``salts`` tasks; one
+    salt is for keys of which ``big`` has few rows, such as document ids.
     """
     right = small.withColumnRenamed(key, "__key")
-    if small.count() <= BROADCAST_ROWS:
+    if small.count() <= most_rows:
         return big.join(F.broadcast(right), big[key].eqNullSafe(right["__key"]), how).drop("__key")
+    if salts == 1:
+        return big.join(right.hint("merge"), big[key].eqNullSafe(right["__key"]), how).drop("__key")
     right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     left = big.withColumn("__salt0", F.pmod(F.xxhash64(F.col(salt_by)), F.lit(salts)).cast("int"))
     on = left[key].eqNullSafe(right["__key"]) & (left["__salt0"] == right["__salt"])

@@ -140,7 +140,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     shared = common.cut(made_recipes.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     suspects = common.attach(made_recipes.select("__id", "__sha", "digest"), shared, "digest", "__id", how="inner")
     ids = common.cut(suspects.select("__id").distinct())
-    texts = common.attach(whole.select("__id", "__sha", "__text"), ids, "__id", "__sha", how="inner")
+    texts = common.attach(whole.select("__id", "__sha", "__text"), ids, "__id", "__sha", how="inner", salts=1)
     pieces = texts.select("__text").mapInArrow(_pieces, "hash bigint, piece binary").distinct()
     ambiguous = common.cut(pieces.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
 

@@ -153,7 +153,7 @@ class _Join:
         needed = reach.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         needed = common.cut(needed.join(self.nodes.select("node", "rep", "sig"), "node"))
         ids = common.cut(needed.select(F.col("rep").alias("__id")).distinct())
-        rows = common.attach(self.texts, ids, "__id", "__text", how="inner")
+        rows = common.attach(self.texts, ids, "__id", "__text", how="inner", salts=1)
         sets = rows.select("__text").mapInArrow(_whole_sets, "__sig binary, own binary").dropDuplicates(["__sig"])
         sets = common.cut(needed.join(sets, F.col("sig") == F.col("__sig")).select("node", "own"))
         both = reach.join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")

@@ -10,12 +10,37 @@ from pyspark.sql import functions as F
 from . import common
 
 
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from . import training_order
+
+    path = f"{common.shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    return training_order.materialise(common.table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(common.table(spark, sf_dir, "documents"))
 
 
+def op3_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches: counts of two tokenizers, a revision that counts code points for one of them, and deletes of short texts; one batch twice."""
+    from . import token_rollups
+
+    docs, store = common.table(spark, sf_dir, "documents"), token_rollups.new_store(spark)
+    words, text = common.n_words(F.col("text")), common.text_or_empty(F.col("text"))
+    by_words = token_rollups.counts(docs, words, "words-1")
+    first = by_words.unionByName(token_rollups.counts(docs, F.octet_length(text), "bytes-1"))
+    store.commit(1, first)
+    store.commit(2, token_rollups.counts(docs, F.length(text), "bytes-1"))
+    short = docs.where(words < 10)
+    store.commit(3, token_rollups.counts(short, F.lit(None), "words-1", "delete").unionByName(token_rollups.counts(short, F.lit(None), "bytes-1", "delete")))
+    store.commit(2, first)
+    return store.totals()
+
+
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .host_rules import judge
 
@@ -77,12 +102,41 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_mix_sources, op4_host_rules, op5_toxicity, op6_line_dedup, op7_byte_bpe, op8_line_crf, op9_ngram_jaccard, op10_exact_dedup)
+    for f in (op1_training_order, op2_mix_sources, op3_token_rollups, op4_host_rules, op5_toxicity, op6_line_dedup, op7_byte_bpe, op8_line_crf, op9_ngram_jaccard, op10_exact_dedup)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+def _training_order_sql() -> str:
+    """The permutation in SQL: one recursion step a round, a walk being rounds again."""
+    from .training_order import KEY, LENGTH, PER_SHARD, PRIME, round_keys, stride
+
+    keys = ", ".join(map(str, round_keys(KEY)))
+    return rf"""
+        WITH RECURSIVE k AS (SELECT doc_id, len({_WORDS}) + 1 AS t FROM documents),
+        s AS (SELECT doc_id, i AS seq_no, least({LENGTH}, t - i * {LENGTH}) AS n_tokens FROM (SELECT doc_id, t, unnest(range(0, (t + {LENGTH} - 1) // {LENGTH})) AS i FROM k)),
+        x AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, seq_no) - 1 AS seq_index FROM s),
+        p AS (SELECT n, a, greatest(1, (greatest(n, 1) + a - 1) // a) AS b
+            FROM (SELECT n, greatest(1, CAST(floor(sqrt(greatest(n, 1) - 1)) AS BIGINT) + 1) AS a FROM (SELECT count(*) AS n FROM x))),
+        w AS (
+            SELECT seq_index, seq_index // b AS l, seq_index % b AS r, 0 AS k FROM x, p
+            UNION ALL
+            SELECT seq_index,
+                CASE WHEN k % 2 = 0 THEN (l + f + f // 65536) % a ELSE l END,
+                CASE WHEN k % 2 = 1 THEN (r + f + f // 65536) % b ELSE r END, k + 1
+            FROM (
+                SELECT w.seq_index, l, r, w.k % 4 AS k, a, b, ((CASE WHEN w.k % 2 = 0 THEN r ELSE l END + [{keys}][w.k % 4 + 1] % 65521) * [{keys}][w.k % 4 + 1]) % {PRIME} AS f
+                FROM w, p WHERE w.k < 4 OR l * b + r >= n)),
+        z AS (SELECT seq_index, l * b + r AS slot FROM w, p WHERE k = 4 AND l * b + r < n)
+        SELECT doc_id, seq_no, n_tokens, seq_index, slot, slot // {PER_SHARD} AS shard, slot % {PER_SHARD} * {stride(LENGTH)} AS byte_offset FROM x JOIN z USING (seq_index)"""
+
+
 ORACLE: dict[str, str] = {
+    "op1_training_order": _training_order_sql(),
+    "op3_token_rollups": rf"""
+        WITH d AS (SELECT source, lang, len({_WORDS}) AS w, length(coalesce(text, '')) AS c FROM documents),
+        v AS (SELECT source, lang, 'words-1' AS version, w AS t FROM d WHERE w >= 10 UNION ALL SELECT source, lang, 'bytes-1', c FROM d WHERE w >= 10)
+        SELECT source, lang, version, count(*) AS n_docs, CAST(sum(t) AS BIGINT) AS n_tokens FROM v GROUP BY ALL""",
     "op4_host_rules": rf"""
         WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
         win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n
