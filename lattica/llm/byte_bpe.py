@@ -277,12 +277,16 @@ def _decode(path: str):
         own = codec(path)
         for batch in batches:
             lists = batch.column("ids")
-            at = lists.offsets.to_numpy()
-            ids = lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
-            ends = np.concatenate(([0], np.cumsum(own.length[ids])))[at - at[0]]
-            data = own.decode(ids)
-            made = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, made.cast(pa.binary())], [*batch.schema.names, "decoded"])
+            at = lists.offsets.to_numpy().astype(np.int64)
+            ids = lists.values.to_numpy(zero_copy_only=False)
+            first, n = 0, len(lists)
+            while first < n:
+                end = min(n, max(first + 1, int(np.searchsorted(at, at[first] + BLOCK // 4, "right")) - 1))
+                own_ids = ids[at[first] : at[end]]
+                ends = np.concatenate(([0], np.cumsum(own.length[own_ids])))[at[first : end + 1] - at[first]]
+                made = pa.Array.from_buffers(pa.large_binary(), end - first, [None, pa.py_buffer(ends), pa.py_buffer(own.decode(own_ids))])
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, made.cast(pa.binary())], [*batch.schema.names, "decoded"])
+                first = end
 
     return run
 
