@@ -11,7 +11,8 @@ and confirmed by their whole text. Pass 3: documents with lines to drop get the
 them by their id. A filter too small for its keys lets more keys through to the exact
 count; it never loses one.
 
-Sizes: the filter has BITS_A_LINE bits a line, a power of two up to ``max_bits``; that bound
+Sizes: partial filters are sent as positions of set bits while that is shorter, so what
+is shuffled grows with the lines and not with tasks times bits. The filter has BITS_A_LINE bits a line, a power of two up to ``max_bits``; that bound
 is what tasks hold, what the driver merges and what is broadcast. Partial filters are made
 by at most MOST_PARTS tasks.
 
@@ -83,6 +84,20 @@ class Filters:
         self.put(self.once, places)
 
 
+def pack(segment: np.ndarray) -> bytes:
+    """A segment's bitmap, or the 16-bit positions of its set bits where that is shorter."""
+    spots = np.flatnonzero(np.unpackbits(segment, bitorder="little")).astype("<u2")
+    return spots.tobytes() if spots.nbytes < segment.nbytes else segment.tobytes()
+
+
+def unpack(packed: bytes, size: int) -> np.ndarray:
+    if len(packed) == size:
+        return np.frombuffer(packed, np.uint8)
+    bits = np.zeros(8 * size, np.uint8)
+    bits[np.frombuffer(packed, "<u2")] = 1
+    return np.packbits(bits, bitorder="little")
+
+
 def _partial(bits: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = None
@@ -96,19 +111,23 @@ def _partial(bits: int, min_chars: int):
         once, twice = filters.once.reshape(-1, size), filters.twice.reshape(-1, size)
         some = np.flatnonzero(once.any(axis=1))
         for part in np.array_split(some, max(1, len(some) // 256)):
-            yield pa.RecordBatch.from_pydict({"segment": pa.array(part, pa.int32()), "once": [once[i].tobytes() for i in part], "twice": [twice[i].tobytes() for i in part]})
+            yield pa.RecordBatch.from_pydict({"segment": pa.array(part, pa.int32()), "once": [pack(once[i]) for i in part], "twice": [pack(twice[i]) for i in part]})
 
     return run
 
 
-def _merge(parts):
-    import pandas as pd
+def _merge(size: int):
+    def run(parts):
+        import pandas as pd
+
+        once, twice = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
+        for a, b in zip(parts["once"], parts["twice"], strict=True):
+            a = unpack(a, size)
+            twice |= unpack(b, size) | (once & a)
+            once |= a
+        return pd.DataFrame({"segment": [parts["segment"].iloc[0]], "twice": [pack(twice)]})
 
-    once = twice = None
-    for a, b in zip(parts["once"], parts["twice"], strict=True):
-        a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-        once, twice = (a, b) if once is None else (once | a, twice | b | (once & a))
-    return pd.DataFrame({"segment": [parts["segment"].iloc[0]], "twice": [twice.tobytes()]})
+    return run
 
 
 def _suspects(shared, min_chars: int):
@@ -161,10 +180,11 @@ def twice_seen(texts: DataFrame, bits: int, min_chars: int = MIN_CHARS) -> bytes
     if texts.rdd.getNumPartitions() > MOST_PARTS:
         texts = texts.coalesce(MOST_PARTS)
     parts = texts.mapInArrow(_partial(bits, min_chars), "segment int, once binary, twice binary")
-    merged = parts.groupBy("segment").applyInPandas(_merge, "segment int, twice binary")
-    out, size = np.zeros(bits // 8, np.uint8), min(SEGMENT, bits // 8)
+    size = min(SEGMENT, bits // 8)
+    merged = parts.groupBy("segment").applyInPandas(_merge(size), "segment int, twice binary")
+    out = np.zeros(bits // 8, np.uint8)
     for row in merged.toLocalIterator():
-        out[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(row["twice"], np.uint8)
+        out[row["segment"] * size : (row["segment"] + 1) * size] = unpack(row["twice"], size)
     return out.tobytes()
 
 
