@@ -41,6 +41,8 @@ MAX_BITS = 1 << 29
 PROBES = 3
 SEGMENT = 8192
 MOST_PARTS = 8192
+#: Documents' lists of lines to drop that may be broadcast; beyond it lists and texts are joined by id.
+MOST_LISTS = 10_000
 STRIP = common.SPACE_CHARS.encode()
 
 
@@ -204,7 +206,7 @@ def dedup_lines(
     confirmed = common.cut(confirmed.select("key", "keep"))
     drops = common.attach(found, confirmed, "key", "__id", how="inner").where(~F.col("__id").eqNullSafe(F.col("keep")))
     drops = common.cut(drops.groupBy("__id").agg(F.collect_set("hash").alias("__drop")))
-    lined = common.attach(whole, drops, "__id", "__text")
+    lined = common.attach(whole, drops, "__id", "__text", salts=1, most_rows=MOST_LISTS)
     schema = ", ".join(f"`{c}` {types[c]}" for c in ["__id", *carried]) + ", __text string, n_lines bigint, n_dropped bigint"
     out = lined.mapInArrow(_rewrite(min_chars), schema)
     order = [id_col if c == "__id" else text_col if c == "__text" else c for c in out.columns]
