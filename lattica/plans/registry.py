@@ -1,6 +1,29 @@
-"""Query registry: name to (query, SQL equivalent)."""
+"""Query registry: every query with its SQL equivalent where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function (t, spark) under its name; ``t(name)`` reads a table."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark, sf_dir)
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+from . import containers, numeric, star, strings, systems  # noqa: E402, F401
