@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LONG_MAX, LONG_MIN = (1 << 63) - 1, -(1 << 63)
 #: Unit names and their factors.
@@ -57,14 +58,14 @@ def ten_power(k: Column) -> Column:
     return F.pow(F.lit(10.0), k).cast("decimal(38,0)")
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def half_encode(v: pd.Series) -> pd.Series:
     """The 16 bits of the nearest half-precision float."""
     with np.errstate(over="ignore"):
         return pd.Series(v.to_numpy(np.float32).astype(np.float16).view(np.uint16).astype(np.int64))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def half_decode(v: pd.Series) -> pd.Series:
     return pd.Series(v.to_numpy(np.int64).astype(np.uint16).view(np.float16).astype(np.float64))
 

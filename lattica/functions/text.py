@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def length(s: Column) -> Column:
@@ -120,7 +121,7 @@ def truncate_bytes(s: Column, most: int) -> Column:
     return F.when(fits, s).otherwise(F.coalesce(*whole))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def display_width(s: pd.Series) -> pd.Series:
     """Columns on a terminal: 0 for combining marks and controls, 2 for wide and full-width characters."""
 
@@ -138,7 +139,7 @@ def grapheme_count(s: Column) -> Column:
     return F.size(F.regexp_extract_all(s, F.lit(r"\X"), F.lit(0))).cast("long")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def shell_split(s: pd.Series) -> pd.Series:
     """Arguments of a command line with quotes and escapes; null if a quote isn't closed."""
     import shlex

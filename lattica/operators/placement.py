@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checks import small
+
 MOST_NODES = 10_000
 
 
@@ -17,9 +19,7 @@ def hash60(x: Column) -> Column:
 
 
 def _nodes(nodes: DataFrame) -> DataFrame:
-    if nodes.limit(MOST_NODES + 1).count() > MOST_NODES:
-        raise ValueError(f"more than {MOST_NODES} nodes")
-    return F.broadcast(nodes)
+    return small(nodes, MOST_NODES)
 
 
 def rendezvous(keys: DataFrame, key: str, nodes: DataFrame, replicas: int) -> DataFrame:
@@ -28,10 +28,10 @@ def rendezvous(keys: DataFrame, key: str, nodes: DataFrame, replicas: int) -> Da
     The nodes go along as one array literal's worth of data on each row, so keys stay where
     they are: no shuffle, and the top-k is taken inside the row.
     """
-    ids = _nodes(nodes.agg(F.sort_array(F.collect_list("node_id")).alias("ids")))
+    ids = _nodes(nodes).agg(F.sort_array(F.collect_list("node_id")).alias("ids")).scalar()
     scored = F.transform("ids", lambda n: F.struct(hash60(F.concat_ws("/", F.col(key).cast("string"), n.cast("string"))).alias("w"), n.alias("n")))
     best = F.slice(F.sort_array(scored, asc=False), 1, replicas)
-    return keys.join(ids).select(key, F.posexplode(best).alias("replica", "b")).select(key, F.col("replica").cast("long").alias("replica"), F.col("b.n").alias("node_id"))
+    return keys.select(key, ids.alias("ids")).select(key, F.posexplode(best).alias("replica", "b")).select(key, F.col("replica").cast("long").alias("replica"), F.col("b.n").alias("node_id"))
 
 
 def ring_points(nodes: DataFrame, points: int) -> DataFrame:
@@ -47,7 +47,7 @@ def ring(keys: DataFrame, key: str, nodes: DataFrame, points: int = 40) -> DataF
     sorted_points = ring_points(_nodes(nodes), points).agg(F.sort_array(F.collect_list(F.struct("point", "node_id"))).alias("ring"))
     at = hash60(F.col(key))
     after = F.get(F.filter("ring", lambda p: p["point"] >= at), F.lit(0))
-    return keys.join(F.broadcast(sorted_points)).select(key, F.coalesce(after, F.get("ring", F.lit(0)))["node_id"].alias("node_id"))
+    return keys.select(key, sorted_points.scalar().alias("ring")).select(key, F.coalesce(after, F.get("ring", F.lit(0)))["node_id"].alias("node_id"))
 
 
 def jump(h: Column, buckets: int) -> Column:

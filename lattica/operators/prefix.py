@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checks import small
+
+MOST_RANGES = 10_000
+
 
 def prefix_sums(df: DataFrame, idx: str, v: str, group: list[str] | None = None, block: int | None = None) -> DataFrame:
     """Adds prefix, the sum over [0, idx]. With ``block`` (long index) in two levels: inside blocks, and totals of blocks before."""
@@ -20,9 +24,9 @@ def prefix_sums(df: DataFrame, idx: str, v: str, group: list[str] | None = None,
 
 
 def range_aggregate(df: DataFrame, ranges: DataFrame, idx: str, v: str, how: str) -> DataFrame:
-    """(q, lo, hi) with the sum, min or max of v over [lo, hi]; an empty range has sum 0 and no min or max."""
+    """(q, lo, hi) with the sum, min or max of v over [lo, hi]; an empty range has sum 0 and no min or max. Queries are few (checked), values any number."""
     fold = {"sum": F.sum, "min": F.min, "max": F.max}[how]
-    got = F.broadcast(ranges).join(df, F.col(idx).between(F.col("lo"), F.col("hi")), "left").groupBy("q", "lo", "hi").agg(fold(v).alias("result"))
+    got = small(ranges, MOST_RANGES).join(df, F.col(idx).between(F.col("lo"), F.col("hi")), "left").groupBy("q", "lo", "hi").agg(fold(v).alias("result"))
     return got.withColumn("result", F.coalesce("result", F.lit(0))) if how == "sum" else got
 
 

@@ -34,10 +34,8 @@ def take_while(df: DataFrame, keys: list[str], holds: Column, forward: bool = Tr
     The first failing key is found by a partially aggregated minimum; no sort, no window.
     """
     key = F.struct(*keys)
-    bound = df.where(~F.coalesce(holds, F.lit(False))).agg((F.min(key) if forward else F.max(key)).alias("__bound"))
-    kept = df.join(F.broadcast(bound), how="inner")  # one row
-    inside = key < F.col("__bound") if forward else key > F.col("__bound")
-    return kept.where(F.col("__bound").isNull() | inside).drop("__bound")
+    bound = df.where(~F.coalesce(holds, F.lit(False))).agg((F.min(key) if forward else F.max(key)).alias("bound")).scalar()
+    return df.where(bound.isNull() | (key < bound if forward else key > bound))
 
 
 def first_last(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

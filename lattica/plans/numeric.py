@@ -222,9 +222,9 @@ def hll_distinct(t, spark, sf):
 def hll_union(t, spark, sf):
     """Sketches of parts by ship mode of return, merged."""
     li = t("lineitem")
-    got = sketch.estimate(sketch.merge_sketches(sketch.distinct_sketch(li, ["l_returnflag", "l_linestatus"], "l_partkey"), []))
+    got = sketch.estimate(sketch.merge_sketches(sketch.distinct_sketch(li, ["l_returnflag", "l_linestatus"], "l_partkey"), []))  # one row
     exact = li.agg(F.count_distinct("l_partkey").alias("exact"))
-    return exact.join(F.broadcast(got)).select("exact", (F.abs(F.col("estimate") - F.col("exact")) <= 6 * 1.04 / 128 * F.col("exact")).alias("within"))
+    return exact.select("exact", (F.abs(got.scalar() - F.col("exact")) <= 6 * 1.04 / 128 * F.col("exact")).alias("within"))
 
 
 @query("SELECT count(*) AS members, true AS none_lost, true AS few_false FROM customer WHERE c_custkey % 2 = 0")
