@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import ids, numbers, text
 from .registry import query
 
-S = F.col("s")
-
-
 def _names(t):
     return t("part").select("p_partkey", F.col("p_name").alias("s"))
 
@@ -20,33 +17,33 @@ def _docs(t):
 
 @query("SELECT p_partkey, instr(p_name, 'a') - 1 AS first_a, CASE WHEN instr(reverse(p_name), 'a') = 0 THEN -1 ELSE length(p_name) - instr(reverse(p_name), 'a') END AS last_a, CASE WHEN len(string_split(p_name, 'e')) > 2 THEN length(array_to_string(string_split(p_name, 'e')[1:2], 'e')) ELSE -1 END AS second_e FROM part")
 def txt_find(t, spark, sf):
-    return _names(t).select("p_partkey", text.find(S, "a").alias("first_a"), text.find_last(S, "a").alias("last_a"), text.find_nth_char(S, "e", 1).alias("second_e"))
+    return _names(t).select("p_partkey", text.find(F.col("s"), "a").alias("first_a"), text.find_last(F.col("s"), "a").alias("last_a"), text.find_nth_char(F.col("s"), "e", 1).alias("second_e"))
 
 
 @query("SELECT doc_id, (length(text) - length(replace(text, 'the', ''))) // 3 AS the, (length(text) - length(replace(text, chr(10), ''))) AS feeds FROM documents")
 def txt_count(t, spark, sf):
-    return _docs(t).select("doc_id", text.count(S, "the").alias("the"), text.count(S, "\n").alias("feeds"))
+    return _docs(t).select("doc_id", text.count(F.col("s"), "the").alias("the"), text.count(F.col("s"), "\n").alias("feeds"))
 
 
 @query("SELECT p_partkey, starts_with(p_name, 'a') AS starts, ends_with(p_name, 'e') AS ends, contains(p_name, 'ed') AS holds FROM part")
 def txt_prefix_suffix(t, spark, sf):
-    return _names(t).select("p_partkey", S.startswith("a").alias("starts"), S.endswith("e").alias("ends"), S.contains("ed").alias("holds"))
+    return _names(t).select("p_partkey", F.col("s").startswith("a").alias("starts"), F.col("s").endswith("e").alias("ends"), F.col("s").contains("ed").alias("holds"))
 
 
 @query("SELECT doc_id, substring(text, 6, 10) AS mid, substring(text, 2, length(text) - 2) AS inner_part, left(text, 3) AS head FROM documents WHERE length(text) > 20")
 def txt_substr(t, spark, sf):
-    d = _docs(t).where(F.char_length(S) > 20)
-    return d.select("doc_id", text.substring(S, 5, 10).alias("mid"), text.slice_inclusive(S, 1, -2).alias("inner_part"), text.slice_inclusive(S, 0, 2).alias("head"))
+    d = _docs(t).where(F.char_length(F.col("s")) > 20)
+    return d.select("doc_id", text.substring(F.col("s"), 5, 10).alias("mid"), text.slice_inclusive(F.col("s"), 1, -2).alias("inner_part"), text.slice_inclusive(F.col("s"), 0, 2).alias("head"))
 
 
 @query("SELECT p_partkey, trim(p_name, 'aeiou ') AS trimmed, length(p_name) - length(ltrim(p_name, 'abcdefghij')) AS spanned FROM part")
 def txt_trim(t, spark, sf):
-    return _names(t).select("p_partkey", text.trim(S, "aeiou ").alias("trimmed"), text.span(S, "abcdefghij").alias("spanned"))
+    return _names(t).select("p_partkey", text.trim(F.col("s"), "aeiou ").alias("trimmed"), text.span(F.col("s"), "abcdefghij").alias("spanned"))
 
 
 @query("SELECT doc_id, len(CASE WHEN p[-1] = '' THEN p[1:-2] ELSE p END) AS n, coalesce(array_to_string((CASE WHEN p[-1] = '' THEN p[1:-2] ELSE p END)[1:2], '|'), '') AS first_two FROM (SELECT doc_id, string_split(text, ' de ') AS p FROM documents)")
 def txt_split(t, spark, sf):
-    return _docs(t).select("doc_id", F.size(text.split(S, " de ")).cast("long").alias("n"), F.array_join(text.split(S, " de ", 2), "|").alias("first_two"))
+    return _docs(t).select("doc_id", F.size(text.split(F.col("s"), " de ")).cast("long").alias("n"), F.array_join(text.split(F.col("s"), " de ", 2), "|").alias("first_two"))
 
 
 @query("SELECT p_partkey, translate(p_name, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS up, translate(p_brand, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, (CASE WHEN lower(p_name) < lower(p_type) THEN -1 WHEN lower(p_name) > lower(p_type) THEN 1 ELSE 0 END)::BIGINT AS cmp FROM part")
@@ -56,7 +53,7 @@ def txt_case(t, spark, sf):
 
 @query("SELECT p_partkey, translate(p_name, 'ho', '01') AS mapped FROM part")
 def txt_translate(t, spark, sf):
-    return _names(t).select("p_partkey", text.translate(S, "ho", "01").alias("mapped"))
+    return _names(t).select("p_partkey", text.translate(F.col("s"), "ho", "01").alias("mapped"))
 
 
 @query("SELECT p_partkey, p_type GLOB '*A*' AS a, p_brand GLOB 'Brand#?2' AS b FROM part")
@@ -66,12 +63,12 @@ def txt_glob(t, spark, sf):
 
 @query("SELECT doc_id, length(text) AS chars, strlen(text) AS bytes FROM documents")
 def txt_utf8_len(t, spark, sf):
-    return _docs(t).select("doc_id", text.length(S).alias("chars"), text.byte_length(S).alias("bytes"))
+    return _docs(t).select("doc_id", text.length(F.col("s")).alias("chars"), text.byte_length(F.col("s")).alias("bytes"))
 
 
 @query("SELECT doc_id, length_grapheme(text) AS clusters FROM documents")
 def txt_grapheme(t, spark, sf):
-    return _docs(t).select("doc_id", text.grapheme_count(S).alias("clusters"))
+    return _docs(t).select("doc_id", text.grapheme_count(F.col("s")).alias("clusters"))
 
 
 @query("SELECT * FROM (VALUES (1, true), (2, true), (3, true), (4, true), (5, false), (6, false), (7, false)) AS v(k, valid)")
@@ -83,17 +80,17 @@ def txt_utf8_valid(t, spark, sf):
 
 @query()
 def txt_width(t, spark, sf):
-    return _docs(t).select("doc_id", text.display_width(S).alias("width"))
+    return _docs(t).select("doc_id", text.display_width(F.col("s")).alias("width"))
 
 
 @query("SELECT doc_id, '\"' || replace(replace(replace(replace(replace(text, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') || '\"' AS repr FROM documents")
 def txt_repr(t, spark, sf):
-    return _docs(t).select("doc_id", text.escaped(S).alias("repr"))
+    return _docs(t).select("doc_id", text.escaped(F.col("s")).alias("repr"))
 
 
 @query()
 def txt_truncate_bytes(t, spark, sf):
-    return _docs(t).select("doc_id", text.truncate_bytes(S, 25).alias("head"))
+    return _docs(t).select("doc_id", text.truncate_bytes(F.col("s"), 25).alias("head"))
 
 
 @query("SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS joined FROM orders GROUP BY 1")
@@ -104,7 +101,7 @@ def txt_join(t, spark, sf):
 @query("SELECT k, a FROM (VALUES (1, ['a', 'b c', 'd']), (2, ['x y', 'z']), (3, NULL), (4, []::VARCHAR[])) AS v(k, a)")
 def txt_shell_split(t, spark, sf):
     rows = [(1, "a 'b c' d"), (2, '"x y" z'), (3, "open 'quote"), (4, "")]
-    return spark.createDataFrame(rows, "k int, s string").select("k", text.shell_split(S).alias("a"))
+    return spark.createDataFrame(rows, "k int, s string").select("k", text.shell_split(F.col("s")).alias("a"))
 
 
 _KEYS = "SELECT unnest([p_name, p_brand, CAST(p_partkey AS VARCHAR), CAST(p_retailprice AS VARCHAR), '-' || CAST(p_size AS VARCHAR), '99999999999999999999', '']) AS s FROM part"
@@ -117,7 +114,7 @@ def _texts(t):
 
 @query(f"SELECT DISTINCT s, CASE WHEN regexp_full_match(s, '[+-]?[0-9]+') THEN TRY_CAST(s AS BIGINT) END AS n, CASE WHEN regexp_full_match(s, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN TRY_CAST(s AS DOUBLE) END AS d FROM ({_KEYS})")
 def num_parse(t, spark, sf):
-    return _texts(t).select("s", numbers.parse_long(S).alias("n"), numbers.parse_double(S).alias("d")).distinct()
+    return _texts(t).select("s", numbers.parse_long(F.col("s")).alias("n"), numbers.parse_double(F.col("s")).alias("d")).distinct()
 
 
 @query("SELECT o_orderkey, length(CAST(o_orderkey * 7919 AS VARCHAR)) AS digits, regexp_full_match(CAST(o_orderkey AS VARCHAR), '[0-9]+') AS all_digits FROM orders")
@@ -128,7 +125,7 @@ def num_digit_count(t, spark, sf):
 @query("SELECT * FROM (VALUES ('12GB', 12000000000), ('12 GB', 12000000000), ('12   GB', 12000000000), ('1.5kib', 1536), ('7', 7), ('x', NULL), ('3 parsecs', NULL)) AS v(s, n)")
 def human_bytes(t, spark, sf):
     rows = [(s,) for s in ("12GB", "12 GB", "12   GB", "1.5kib", "7", "x", "3 parsecs")]
-    return spark.createDataFrame(rows, "s string").select("s", numbers.human_to_bytes(S).alias("n"))
+    return spark.createDataFrame(rows, "s string").select("s", numbers.human_to_bytes(F.col("s")).alias("n"))
 
 
 @query("SELECT o_orderkey, CASE WHEN b >= 1073741824 THEN printf('%.5f GiB', b / 1073741824.0) WHEN b >= 1048576 THEN printf('%.5f MiB', b / 1048576.0) WHEN b >= 1024 THEN printf('%.5f KiB', b / 1024.0) ELSE b || ' B' END AS human FROM (SELECT o_orderkey, o_orderkey * o_orderkey * 31 AS b FROM orders)")
