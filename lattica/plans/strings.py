@@ -181,3 +181,38 @@ def id128_fields(t, spark, sf):
 @query()
 def id_interleave(t, spark, sf):
     return t("events").select("event_id", ids.interleave(F.col("user_id"), F.col("event_id") % 1048576).alias("z"))
+
+
+@query("SELECT n_name, n_name NOT LIKE '%/%' AS base, '/data/' || n_name || '/x' AS full_path, '10.0.0.' || n_nationkey || ':' || (8000 + n_nationkey) AS v4, '[fe80::' || n_nationkey || ']:80' AS v6, substr(sha256(n_nationkey::VARCHAR), 1, 16) AS hexes FROM nation")
+def sys_paths_addresses(t, spark, sf):
+    from ..functions import system
+
+    k = F.col("n_nationkey")
+    return t("nation").select(
+        "n_name", system.is_base_name(F.col("n_name")).alias("base"), system.absolute_path(F.concat(F.lit("./"), F.col("n_name"), F.lit("//x")), "/data/").alias("full_path"),
+        system.address(F.concat(F.lit("10.0.0."), k.cast("string")), 8000 + k).alias("v4"), system.address(F.concat(F.lit("fe80::"), k.cast("string")), F.lit(80)).alias("v6"), system.random_hex(k).alias("hexes"),
+    )
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey::HUGEINT * o_orderkey * 1000003 // 97 AS BIGINT) AS q, CAST(o_orderkey::HUGEINT * o_orderkey * 1000003 % 97 AS BIGINT) AS r, CASE WHEN o_orderkey * 3 - 500 BETWEEN -128 AND 127 THEN 1 WHEN o_orderkey * 3 - 500 BETWEEN -32768 AND 32767 THEN 2 ELSE 4 END AS width, CAST((o_orderkey % 9)::HUGEINT ** 7 AS BIGINT) AS p FROM orders")
+def num_big(t, spark, sf):
+    from ..functions import system
+
+    k = F.col("o_orderkey")
+    q, r = system.big_divide(system.big(k) * system.big(k) * 1000003, F.lit(97))
+    return t("orders").select("o_orderkey", q.cast("long").alias("q"), r.cast("long").alias("r"), system.int_width(k * 3 - 500).alias("width"), system.big_power(k % 9, 7).cast("long").alias("p"))
+
+
+@query("SELECT o_orderkey, CASE WHEN s >= 1 THEN printf('%.4f s', s) WHEN s >= 0.001 THEN printf('%.4f ms', s * 1000) ELSE printf('%.4f us', s * 1000000) END AS human FROM (SELECT o_orderkey, o_totalprice / 100000000.0 * (CASE WHEN o_orderkey % 2 = 0 THEN 1000 ELSE 1 END) AS s FROM orders)")
+def num_human_seconds(t, spark, sf):
+    from ..functions import system
+
+    s = F.col("o_totalprice") / 100000000.0 * F.when(F.col("o_orderkey") % 2 == 0, 1000).otherwise(1)
+    return t("orders").select("o_orderkey", system.human_seconds(s).alias("human"))
+
+
+@query("SELECT l_suppkey, array_to_string(list_sort(list(l_partkey))[1:3], ',') AS head, count(*) AS n, list_sort(list(l_partkey))[-1] AS last FROM lineitem GROUP BY 1")
+def list_slices(t, spark, sf):
+    """Lists as arrays: first items, length, last item."""
+    items = F.sort_array(F.collect_list("l_partkey"))
+    return t("lineitem").groupBy("l_suppkey").agg(F.array_join(F.transform(F.slice(items, 1, 3), lambda x: x.cast("string")), ",").alias("head"), F.count(F.lit(1)).alias("n"), F.element_at(items, -1).alias("last"))
