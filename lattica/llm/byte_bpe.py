@@ -9,8 +9,9 @@ boundaries. All of a block of texts is handled at once.
 The pattern, in order: 's 't 're 've 'm 'll 'd; letters, numbers or other characters, each
 with one optional space before; white space not followed by other characters; white space.
 
-Slices go through pair merging by rank, lowest first and leftmost on ties. Results are kept
-in a cache of bounded size. Token ids come with byte offsets, so any span can be decoded.
+Slices go through pair merging by rank, lowest first and leftmost on ties: all slices of a
+block that aren't in the cache at once, a merge in each slice a round. Results are kept in
+a cache of bounded size. Token ids come with byte offsets, so any span can be decoded.
 
 Edge cases: null counts as the empty text, which has no ids and decodes to no bytes; one
 slice of any length is merged in n log n steps; an unknown id fails the decoder; extra
@@ -39,7 +40,9 @@ from .npbytes import blocks
 #: Bytes of text handled at once.
 BLOCK = 1 << 20
 #: Slices whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 150_000
+#: No rank.
+NONE = 1 << 40
 
 #: States: nothing open, letters, numbers, others, a space that waits, one or two letters of a contraction to come, a contraction closed, white space.
 FRESH, LETTERS, NUMBERS, OTHERS, WAITING, ONE, TWO, CLOSED, BLANK = range(9)
@@ -168,31 +171,102 @@ class Codec:
         self.bytes = np.frombuffer(b"".join(t for t, _ in ordered), np.uint8)
         self.start = np.concatenate(([0], np.cumsum(np.maximum(self.length, 0))))[:-1]
         self.cache: dict[bytes, bytes] = {}
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self._index_pairs()
 
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of one slice."""
-        rank = self.ranks.get(piece)
-        if rank is not None:
-            return (rank,)
-        if len(piece) > 64:
-            return self._merge_long(piece)
-        get, parts = self.ranks.get, [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [get(a + b, 1 << 30) for a, b in zip(parts, parts[1:])]  # noqa: B905
-        while pairs:
-            low = min(pairs)
-            if low == 1 << 30:
-                break
-            i = pairs.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
-            if i < len(pairs):
-                pairs[i] = get(parts[i] + parts[i + 1], 1 << 30)
-            if i:
-                pairs[i - 1] = get(parts[i - 1] + parts[i], 1 << 30)
-        return tuple(self.ranks[p] for p in parts)
+    def _index_pairs(self) -> None:
+        """An open hash table from pairs of ids to the rank of their concatenation."""
+        get, keys, values = self.ranks.get, [], []
+        for token, rank in self.ranks.items():
+            for k in range(1, len(token)):
+                a, b = get(token[:k]), get(token[k:])
+                if a is not None and b is not None:
+                    keys.append(a << 32 | b)
+                    values.append(rank)
+        self.slots = np.uint64(64 - max(10, (3 * len(keys)).bit_length()))
+        self.pair_keys = np.full((1 << (64 - int(self.slots))) + 64, -1, np.int64)
+        self.pair_ranks = np.full(len(self.pair_keys), NONE, np.int64)
+        left, ranks = np.array(keys, np.int64), np.array(values, np.int64)
+        at = self._slot(left)
+        while len(left):  # the first to claim a free slot gets it, the others move on
+            free = self.pair_keys[at] == -1
+            self.pair_keys[at[free]] = left[free]
+            self.pair_ranks[at[free]] = ranks[free]
+            lost = self.pair_keys[at] != left
+            left, ranks, at = left[lost], ranks[lost], at[lost] + 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.slots).astype(np.int64)
+
+    def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, NONE where they don't make a token."""
+        keys = a << 32 | b
+        at = self._slot(keys)
+        out, found = self.pair_ranks[at], self.pair_keys[at]
+        wait = np.flatnonzero((found != keys) & (found != -1))
+        out[found != keys] = NONE
+        step = 1
+        while len(wait):
+            place = at[wait] + step
+            found = self.pair_keys[place]
+            hit = found == keys[wait]
+            out[wait[hit]] = self.pair_ranks[place[hit]]
+            wait = wait[~hit & (found != -1)]
+            step += 1
+        return out
+
+    def merge_all(self, pieces: list[bytes]) -> None:
+        """Put many slices' ids into the cache: a round merges the best pair of every slice left."""
+        cache, rest = self.cache, []
+        for p in pieces:
+            if (rank := self.ranks.get(p)) is not None:
+                cache[p] = rank.to_bytes(4, sys.byteorder)
+            elif len(p) > 64:
+                cache[p] = array("i", self._merge_long(p)).tobytes()
+            else:
+                rest.append(p)
+        if not rest:
+            return
+        ids = self.single[np.frombuffer(b"".join(rest), np.uint8)]
+        piece = np.repeat(np.arange(len(rest)), [len(p) for p in rest])
+        rank = np.full(len(ids), NONE, np.int64)
+        inner = np.flatnonzero(piece[1:] == piece[:-1])
+        rank[inner] = self.pair_rank(ids[inner], ids[inner + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            start = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
+            best = np.repeat(np.minimum.reduceat(rank, start), np.diff(np.append(start, len(ids))))
+            over = best == NONE
+            if over.any():
+                done.append((piece[over], ids[over]))
+                ids, piece, rank, best = ids[~over], piece[~over], rank[~over], best[~over]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == best)
+            at = at[np.concatenate(([True], piece[at][1:] != piece[at][:-1]))]
+            ids[at] = rank[at]
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            at -= np.arange(len(at))
+            ids, piece, rank = ids[stay], piece[stay], rank[stay]
+            rank[at] = NONE
+            after = at[(at + 1 < len(ids))]
+            after = after[piece[after + 1] == piece[after]]
+            rank[after] = self.pair_rank(ids[after], ids[after + 1])
+            before = at[at > 0] - 1
+            before = before[piece[before] == piece[before + 1]]
+            rank[before] = self.pair_rank(ids[before], ids[before + 1])
+        piece, ids = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
+        order = np.argsort(piece, kind="stable")
+        raw = ids[order].astype(np.int32).tobytes()
+        ends = np.cumsum(np.bincount(piece, minlength=len(rest))) * 4
+        last = 0
+        for p, end in zip(rest, ends.tolist(), strict=True):
+            cache[p] = raw[last:end]
+            last = end
 
     def _merge_long(self, piece: bytes) -> tuple[int, ...]:
-        """The same with a heap and a linked list."""
+        """Ids of one long slice, with a heap and a linked list."""
         n, get = len(piece), self.ranks.get
         end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
@@ -222,8 +296,7 @@ class Codec:
         pieces = [raw[a:b] for a, b in zip(marks, marks[1:])]  # noqa: B905
         cache = self.cache
         distinct = set(pieces)
-        for piece in distinct.difference(cache):
-            cache[piece] = array("i", self.merge(piece)).tobytes()
+        self.merge_all(list(distinct.difference(cache)))
         found = list(map(cache.__getitem__, pieces))
         if len(cache) > CACHE:  # start anew with what the last block used, if that leaves room
             self.cache = {p: cache[p] for p in distinct} if len(distinct) < CACHE // 2 else {}
