@@ -5,20 +5,23 @@ shingles. Nothing is sampled; all steps below only leave out pairs that provably
 
 1. Equal sets are one class. From here on a class is one node with n shingles.
 2. A node's region is its shingles whose hash lies in the lowest quarter of hashes, and at
-   least the n // 4 + 1 lowest. Linked x and y (n(x) <= n(y)) share more than 6/7 of x and
-   3/4 of y, so x misses at most n(x) // 7 shingles and y at most n(y) // 4. If x has m
-   shingles in the lowest quarter, y holds at least m - n(x) // 7 of those. So x can be the
-   smaller side only if so many of its m shingles occur in other regions at all, and y the
-   larger side likewise. Where m <= n(x) // 7 (few shingles, bad luck) the bound says
-   nothing; the prefix principle still holds: both regions share a shingle.
-3. Stars: each node is paired with the node that leads most of its shared shingles, in
-   another component; verified pairs are links. Large groups of near copies collapse.
-4. The rest: of x's shingles in the lowest quarter the rarest ones, one more than x can
-   still miss, are looked up among all regions; nodes of other components with a fitting
-   size are candidates. Every link between components is among them.
-5. Tiles and verification: nodes are banded by size, a band fixing the length of the bitmap
-   that their shingles are hashed into. Bits that x has and y lacks bound the overlap from
-   above; pairs in reach are verified by intersecting their sorted arrays.
+   least the n // 4 + 1 lowest. By the prefix principle linked nodes share one in both
+   regions.
+3. Stars: nodes that agree in a band of min-hashes are likely to link. In each such bucket
+   one node leads; each node is paired with the leader, of another component, of most of its
+   buckets; verified pairs are links. A few rounds with other bands collapse large groups of
+   near copies, with at most one pair a node and round. This only saves work in step 4.
+4. The rest: of linked x and y (n(x) <= n(y)) x misses at most (4 n(x) - 3 n(y)) // 7, so
+   n(x) // 7, shingles of its own, y at most n(y) // 4. A shingle that no other node holds
+   is missed in any case. Counting these, in the regions and then in the other shingles of
+   the nodes left, leaves the nodes that can be either side of a link at all. Of x's shared
+   shingles in the lowest quarter the rarest ones, one more than x can still miss, are
+   looked up (after two rounds of stars among these nodes, led by shared shingle); nodes of other components that fit by size and missed shingles are
+   candidates. Every link between components is among them.
+5. Tiles: nodes are banded by size, a band fixing the length of the bitmap that their
+   shingles are hashed into. Bits that x has and y lacks bound the overlap from above. The
+   nodes of a frequent shingle are compared in tiles of bounded size, of which only pairs in
+   reach leave; pairs in reach are verified by intersecting their sorted arrays.
 6. Components of the links; a component's label is its smallest document id.
 
 Shingles are compared by 64-bit hashes: a pair of texts with n shingles each takes a false
@@ -49,7 +52,12 @@ SHINGLE = 5
 #: Odd multipliers of the words of a shingle, by place, and of its length.
 PLACES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 LOWEST_QUARTER = -(1 << 62)
-STAR_ROUNDS = 2
+#: Rounds of stars, bands of min-hashes in each, min-hashes in a band.
+STAR_ROUNDS, STAR_BANDS, BAND = 2, 4, 3
+#: Rounds of leaders by shared shingle, and leaders a node is compared with in each.
+LEAD_ROUNDS, LEADS = 2, 3
+#: A shingle of more nodes is compared in tiles of about TILE by TILE nodes.
+SMALL_TILE, TILE = 64, 1024
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -74,6 +82,23 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def bands(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of STAR_ROUNDS * STAR_BANDS keys for each set, each from BAND min-hashes; zeros for an empty set."""
+    out = np.zeros((len(sets), STAR_ROUNDS * STAR_BANDS), np.int64)
+    some = [i for i, s in enumerate(sets) if len(s)]
+    if not some:
+        return out
+    flat = np.concatenate([sets[i] for i in some]).view(np.uint64)
+    first = np.concatenate(([0], np.cumsum([len(sets[i]) for i in some])))[:-1]
+    rng = np.random.default_rng(11)
+    for k in range(out.shape[1]):
+        key = np.full(len(some), k, np.uint64)
+        for factor in rng.integers(1 << 62, 1 << 63, BAND, dtype=np.uint64) | np.uint64(1):
+            key = mixed(key ^ np.minimum.reduceat(flat * factor, first))
+        out[some, k] = key.view(np.int64)
+    return out
+
+
 def bitmap(own: np.ndarray) -> bytes:
     """Bits of a set: a power of two, at least twice its size."""
     bits = max(64, 1 << int(2 * len(own) - 1).bit_length())
@@ -99,7 +124,7 @@ def most_common(x: bytes, n_x: int, y: bytes, n_y: int) -> int:
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In place of the text: n, m (in the lowest quarter), sig (128 bits of the set), region and bits."""
+    """In place of the text: n, m (in the lowest quarter), sig (128 bits of the set), region, bits and bands."""
     for batch in batches:
         kept = [c for c in batch.schema.names if c != "__text"]
         for begin, end, data, offsets in blocks(batch.column("__text"), BLOCK):
@@ -109,8 +134,10 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             take = np.minimum(np.maximum(m, n // 4 + 1), n)
             region = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(take))), pa.int32()), pa.array(np.concatenate([s[:k] for s, k in zip(sets, take, strict=True)])))
             made = [pa.array(n), pa.array(m), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), region, pa.array([bitmap(s) for s in sets], pa.binary())]
+            keys = bands(sets)
+            made.append(pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel())))
             rest = batch.slice(begin, end - begin)
-            yield pa.RecordBatch.from_arrays([*[rest.column(c) for c in kept], *made], [*kept, "n", "m", "sig", "region", "bits"])
+            yield pa.RecordBatch.from_arrays([*[rest.column(c) for c in kept], *made], [*kept, "n", "m", "sig", "region", "bits", "bands"])
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,6 +149,17 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), own], ["__sig", "own"])
 
 
+def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) to (sig, h): the shingles above the lowest quarter."""
+    for batch in batches:
+        for _, _, data, offsets in blocks(batch.column("__text"), BLOCK):
+            sets = shingles(data, offsets)
+            high = [s[np.searchsorted(s, LOWEST_QUARTER) :] for s in sets]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in high])))
+            h = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(high)))
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), h], ["__sig", "h"])
+
+
 def _in_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = zip(*(batch.column(c).to_pylist() for c in ("bits_a", "n_a", "bits_b", "n_b")), strict=True)
@@ -145,6 +183,13 @@ class _Join:
     def __init__(self, texts: DataFrame, nodes: DataFrame) -> None:
         self.texts, self.nodes, self.links = texts, nodes, None
 
+    def sets(self, needed: DataFrame, read, column: str) -> DataFrame:
+        """(node, what ``read`` makes of the text) for ``needed`` (node, rep, sig)."""
+        ids = common.cut(needed.select(F.col("rep").alias("__id")).distinct())
+        rows = common.attach(self.texts, ids, "__id", "__text", how="inner", salts=1)
+        made = rows.select("__text").mapInArrow(read, f"__sig binary, {column}").dropDuplicates(["__sig"])
+        return needed.join(made, F.col("sig") == F.col("__sig")).drop("rep", "sig", "__sig")
+
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes that link."""
         side = lambda s: self.nodes.select(F.col("node").alias(s), F.col("bits").alias(f"bits_{s}"), F.col("n").alias(f"n_{s}"))
@@ -152,10 +197,7 @@ class _Join:
         reach = common.cut(reach.mapInArrow(_in_reach, "a bigint, b bigint"))
         needed = reach.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         needed = common.cut(needed.join(self.nodes.select("node", "rep", "sig"), "node"))
-        ids = common.cut(needed.select(F.col("rep").alias("__id")).distinct())
-        rows = common.attach(self.texts, ids, "__id", "__text", how="inner", salts=1)
-        sets = rows.select("__text").mapInArrow(_whole_sets, "__sig binary, own binary").dropDuplicates(["__sig"])
-        sets = common.cut(needed.join(sets, F.col("sig") == F.col("__sig")).select("node", "own"))
+        sets = common.cut(self.sets(needed, _whole_sets, "own binary"))
         both = reach.join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
         return common.cut(both.mapInArrow(_linked, "a bigint, b bigint"))
 
@@ -172,55 +214,168 @@ class _Join:
         return rows.join(components(self.links), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = STAR_ROUNDS) -> DataFrame:
+#: Whether a node can be the smaller, the larger side of a link at all (see step 4), in SQL.
+_SMALL, _LARGE = "lost <= n div 7", "lost <= n div 4"
+
+
+def _held(postings: DataFrame) -> DataFrame:
+    """Postings (h, node) of shingles that two nodes or more hold, with their number cnt."""
+    return postings.join(postings.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("cnt")).where("cnt > 1"), "h")
+
+
+def _picks(shared: DataFrame) -> DataFrame:
+    """Of (h, cnt, node, n, lost, now, ...) the rows (k, pick, few, ...) that a node is looked up by as smaller side.
+
+    Its shared shingles in the lowest quarter, rarest first, one more than it can still
+    miss; of a node with too few of them (few) all shingles of its region.
+    """
+    rest = [c for c in shared.columns if c not in ("h", "cnt")]
+    probes = shared.where(F.expr(_SMALL)).withColumn("few", F.expr("now <= n div 7 - lost"))
+    probes = probes.where(F.expr(f"few or h < {LOWEST_QUARTER}")).groupBy(*rest, "few").agg(F.sort_array(F.collect_list(F.struct("cnt", "h"))).alias("own"))
+    most = F.when(F.col("few"), F.size("own")).otherwise(F.expr("cast(n div 7 - lost + 1 as int)"))
+    return probes.select(*rest, "few", F.posexplode(F.slice("own", F.lit(1), most)).alias("k", "pick"))
+
+
+def _shared(classes: DataFrame, run: _Join) -> DataFrame:
+    """(h, cnt, node, n, lost, now): shingles of regions that two nodes hold, of nodes that can be either side of a link.
+
+    ``lost`` counts the node's shingles that none of the other nodes left holds, ``now`` its
+    others in the lowest quarter. First the regions are compared; nodes that are no smaller
+    side stay only if one that is looks them up. Then the other shingles of the nodes left
+    are compared.
+    """
+    shared = common.cut(_held(classes.select(F.explode("region").alias("h"), "node")))
+    now = shared.groupBy("node").agg(F.count_if(F.col("h") < LOWEST_QUARTER).alias("now"))
+    low = now.join(classes.select("node", "n", "m"), "node").withColumn("lost", F.col("m") - F.col("now")).where(_LARGE).drop("m")
+    shared = common.cut(shared.join(low, "node"))
+    picks = _picks(shared)
+    hit = picks.groupBy(F.col("pick.h").alias("h")).agg(F.min("node").alias("first"), F.max("node").alias("last"), F.min("n").alias("least"), F.max("n").alias("most"))
+    met = shared.join(hit, "h").where("(first != node or last != node) and n >= least and 3 * n <= 4 * most").select("node")
+    able = common.cut(met.union(shared.where(F.expr(_SMALL)).select("node")).distinct().join(low, "node"))
+
+    needed = able.select("node").join(classes.select("node", "rep", "sig"), "node")
+    rest = run.sets(needed, _rest, "h array<bigint>").select(F.explode("h").alias("h"), "node")
+    high = _held(rest).groupBy("node").agg(F.count(F.lit(1)).alias("high"))
+    able = able.join(high, "node", "left").join(classes.select("node", "m"), "node")
+    able = able.withColumn("lost", F.col("lost") + F.col("n") - F.col("m") - F.coalesce("high", F.lit(0))).where(_LARGE)
+    able = common.cut(able.select("node", "n", "lost", "now"))
+    # shingles that only nodes without a chance held are lost as well
+    left = common.cut(_held(shared.select("h", "node").join(able.select("node"), "node").select("h", "node")))
+    again = left.where(F.col("h") < LOWEST_QUARTER).groupBy("node").agg(F.count(F.lit(1)).alias("still"))
+    able = able.join(again, "node", "left").withColumn("still", F.coalesce("still", F.lit(0)))
+    able = able.select("node", "n", (F.col("lost") + F.col("now") - F.col("still")).alias("lost"), F.col("still").alias("now")).where(_LARGE)
+    left = common.cut(left.drop("cnt").join(able, "node"))
+    counts = left.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("cnt"), F.bool_or(F.expr(_SMALL)).alias("probed")).where("cnt > 1 and probed")
+    return common.cut(left.join(counts.drop("probed"), "h"))
+
+
+def _candidates(placed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that hold every link between components; a is the smaller.
+
+    A link of a and b lets a miss at most (4 n_a - 3 n_b) // 7 shingles and b at most
+    (4 n_b - 3 n_a) // 7. b must hold one of the first (4 n_a - 3 n_b) // 7 - lost_a + 1 of
+    a's picks.
+    """
+    x = _picks(placed).selectExpr("pick.h as h", "pick.cnt as cnt", "k", "few", "node as a", "n as n_a", "lost as lost_a", "component as of_a")
+    y = placed.selectExpr("h", "cnt", "node as b", "n as n_b", "lost as lost_b", "component as of_b")
+    few = x.where(F.col("cnt") <= SMALL_TILE).join(y.where(F.col("cnt") <= SMALL_TILE).drop("cnt"), "h").where(F.expr(_FITS)).select("a", "b")
+    return few.union(_tiled(x.where(F.col("cnt") > SMALL_TILE), y.where(F.col("cnt") > SMALL_TILE), nodes)).distinct()
+
+
+#: Whether candidates of different components fit by size, missed shingles and place of the shingle among a's.
+_FITS = (
+    "of_a != of_b and (n_a < n_b or n_a = n_b and a < b) and 4 * n_a >= 3 * n_b and lost_b <= (4 * n_b - 3 * n_a) div 7"
+    " and lost_a + if(few, 0, k) <= (4 * n_a - 3 * n_b) div 7"
+)
+
+
+def _tiled(x: DataFrame, y: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The fitting pairs of frequent shingles that are in reach by their bitmaps.
+
+    A frequent shingle's nodes are cut into tiles of about TILE by TILE nodes. A tile is
+    compared at once, bitmap by bitmap, and only pairs in reach leave it.
+    """
+    bits = nodes.select("node", "bits")
+    blocks = F.ceil(F.col("cnt") / TILE).cast("int")
+    own = lambda c: F.pmod(F.xxhash64(F.col(c)), blocks).cast("int")
+    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+    x = x.join(bits.withColumnRenamed("node", "a"), "a").withColumn("row", own("a")).withColumn("col", every).drop("cnt")
+    y = y.join(bits.withColumnRenamed("node", "b"), "b").withColumn("col", own("b")).withColumn("row", every).drop("cnt")
+    return x.groupBy("h", "row", "col").cogroup(y.groupBy("h", "row", "col")).applyInArrow(_tile, "a bigint, b bigint")
+
+
+def _words(column: pa.ChunkedArray, length: int) -> np.ndarray:
+    """A row of 64-bit words for each bitmap of ``length`` bytes or twice that, folded to ``length``."""
+    out = np.zeros((len(column), length // 8), np.uint64)
+    for i, b in enumerate(column):
+        own = np.frombuffer(b.as_buffer(), np.uint64)
+        while len(own) > length // 8:
+            own = own[: len(own) // 2] | own[len(own) // 2 :]
+        out[i] = own
+    return out
+
+
+def _tile(x: pa.Table, y: pa.Table) -> pa.Table:
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(x) and len(y):
+        length = {s: np.array([len(b.as_buffer()) for b in t.column("bits")]) for s, t in (("x", x), ("y", y))}
+        for p in np.unique(length["x"]):
+            for q in np.unique(length["y"]):
+                if not p // 2 <= q <= 2 * p:
+                    continue
+                to = int(min(p, q))
+                t, u = x.filter(pa.array(length["x"] == p)), y.filter(pa.array(length["y"] == q))
+                right, own = _words(u.column("bits"), to), {c: u.column(c).to_numpy() for c in ("b", "n_b", "lost_b", "of_b")}
+                rows = zip(_words(t.column("bits"), to), *(t.column(c).to_pylist() for c in ("a", "n_a", "lost_a", "of_a", "k", "few")), strict=True)
+                for left, a, n, lost, of, k, few in rows:
+                    n_b = own["n_b"]
+                    fit = (own["of_b"] != of) & ((n < n_b) | (n == n_b) & (a < own["b"])) & (4 * n >= 3 * n_b)
+                    fit &= (own["lost_b"] <= (4 * n_b - 3 * n) // 7) & (lost + (0 if few else k) <= (4 * n - 3 * n_b) // 7)
+                    at = np.flatnonzero(fit)
+                    most = np.minimum(n - np.bitwise_count(left & ~right[at]).sum(axis=1, dtype=np.int64), n_b[at] - np.bitwise_count(right[at] & ~left).sum(axis=1, dtype=np.int64))
+                    at = at[7 * most >= 3 * (n + n_b[at])]
+                    found_a.append(np.full(len(at), a))
+                    found_b.append(own["b"][at])
+    return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the text, with n_shingles, class_size and component_id."""
     made = ("n_shingles", "class_size", "component_id")
     carried = [c for c in docs.columns if c not in (*made, id_col, text_col)]
     whole = docs.select(F.col(f"`{id_col}`").alias("__id"), common.text_or_empty(F.col(f"`{text_col}`")).alias("__text"), *[F.col(f"`{c}`") for c in carried])
     types = dict(whole.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in ["__id", *carried]) + ", n bigint, m bigint, sig binary, region array<bigint>, bits binary"
-    rows = common.cut(whole.mapInArrow(_summaries, schema))
+    schema = ", ".join(f"`{c}` {types[c]}" for c in ["__id", *carried]) + ", n bigint, m bigint, sig binary, region array<bigint>, bits binary, bands array<bigint>"
+    rows = whole.mapInArrow(_summaries, schema)
     classes = rows.where("n > 0").groupBy("sig").agg(
-        F.min("__id").alias("rep"), F.count(F.lit(1)).alias("class_size"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("bits").alias("bits"), F.first("region").alias("region")
+        F.min("__id").alias("rep"), F.count(F.lit(1)).alias("class_size"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.first("region").alias("region")
     )
     classes = common.cut(classes.withColumn("node", F.monotonically_increasing_id()))
-    nodes = classes.drop("region")
-
-    postings = classes.select(F.explode("region").alias("h"), "node")
-    counts = postings.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("cnt")).where("cnt > 1")
-    shared = common.cut(postings.join(counts, "h"))
-    able = shared.groupBy("node").agg(F.count(F.lit(1)).alias("c_all"), F.count_if(F.col("h") < LOWEST_QUARTER).alias("c"))
-    able = able.join(nodes.select("node", "n", "m"), "node").select(
-        "node", "n", F.when(F.col("m") > F.floor(F.col("n") / 7), F.col("c") - F.col("m") + F.floor(F.col("n") / 7)).alias("spare"),
-        (F.col("c") >= F.col("m") - F.floor(F.col("n") / 4)).alias("large"),
-    )
-    # spare: how many more of its shared shingles the node as smaller side may miss; null: by the prefix principle alone
-    able = able.withColumn("small", F.col("spare").isNull() | (F.col("spare") >= 0))
-    shared = common.cut(shared.select("h", "node").join(able.where("small or large"), "node"))
-    counts = shared.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("cnt"), F.bool_or("small").alias("probed")).where("cnt > 1 and probed")
-    shared = common.cut(shared.join(counts, "h").drop("probed"))
-
+    nodes = common.cut(classes.drop("region"))
     run = _Join(whole.select("__id", "__text"), nodes)
-    for _ in range(star_rounds):
-        placed = common.cut(run.labelled(shared.select("h", "node", "cnt")))
-        ends = placed.groupBy("h").agg(F.min(F.struct("component", "node")).alias("lo"), F.max(F.struct("component", "node")).alias("hi")).where("lo.component != hi.component")
-        led = placed.join(ends, "h").select("node", F.when(F.col("component") != F.col("lo.component"), F.col("lo.node")).otherwise(F.col("hi.node")).alias("lead"))
+    for k in range(STAR_ROUNDS):
+        placed = common.cut(run.labelled(nodes.select("node", F.explode(F.slice("bands", 1 + k * STAR_BANDS, STAR_BANDS)).alias("key"))))
+        ends = placed.groupBy("key").agg(F.min(F.struct("component", "node")).alias("lo"), F.max(F.struct("component", "node")).alias("hi")).where("lo.component != hi.component")
+        led = placed.join(ends, "key").select("node", F.when(F.col("component") != F.col("lo.component"), F.col("lo.node")).otherwise(F.col("hi.node")).alias("lead"))
         led = led.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max(F.struct("k", "lead")).alias("best"))
-        if not run.add(led.select(F.col("node").alias("a"), F.col("best.lead").alias("b"))):
-            break
-    placed = run.labelled(shared)
-    probes = placed.where(F.col("small") & (F.col("spare").isNull() | (F.col("h") < LOWEST_QUARTER)))
-    probes = probes.groupBy("node", "n", "component", "spare").agg(F.sort_array(F.collect_list(F.struct("cnt", "h"))).alias("own"))
-    probes = probes.select("node", "n", "component", F.explode(F.when(F.col("spare").isNull(), F.col("own")).otherwise(F.slice("own", 1, F.greatest((F.col("spare") + 1).cast("int"), F.lit(0))))).alias("pick"))
-    x = probes.select(F.col("pick.h").alias("h"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
-    y = placed.where("large").select("h", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
-    met = x.join(y, "h").where("of_a != of_b and (n_a < n_b or n_a = n_b and a < b) and 4 * n_a >= 3 * n_b").select("a", "b").distinct()
-    run.add(met)
+        run.add(led.select(F.col("node").alias("a"), F.col("best.lead").alias("b")))
+    shared = _shared(classes, run)
+    del classes
+    common.release(docs.sparkSession)
+    for k in range(LEAD_ROUNDS):
+        placed = common.cut(run.labelled(shared))
+        # a pseudo-random node of the lowest and of the highest component, others in each round
+        pick = F.struct("component", F.xxhash64(F.lit(k), F.col("node")).alias("r"), "node")
+        ends = placed.groupBy("h").agg(F.min(pick).alias("lo"), F.max(pick).alias("hi")).where("lo.component != hi.component")
+        led = placed.join(ends, "h").select("node", F.when(F.col("component") != F.col("lo.component"), F.col("lo.node")).otherwise(F.col("hi.node")).alias("lead"))
+        led = led.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "lead")), asc=False), 1, LEADS).alias("best"))
+        run.add(led.select(F.col("node").alias("a"), F.explode("best.lead").alias("b")))
+    run.add(_candidates(common.cut(run.labelled(shared)), nodes))
 
     labels = run.labelled(nodes.select("node", "sig", "rep", "class_size"))
     labels = labels.join(labels.groupBy("component").agg(F.min("rep").alias("label"), F.sum("class_size").alias("rows")), "component")
     labels = common.cut(labels.where("rows > 1").select("sig", "class_size", "label"))
-    out = common.attach(rows.drop("region", "bits", "m"), labels, "sig", "__id")
+    out = common.attach(rows.select(*[f"`{c}`" for c in ["__id", *carried]], "n", "sig"), labels, "sig", "__id")
     return out.select(
         F.col("__id").alias(id_col), *[F.col(f"`{c}`") for c in carried], F.col("n").alias("n_shingles"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("label", "__id").alias("component_id"),
