@@ -204,6 +204,7 @@ class _Join:
     def add(self, pairs: DataFrame) -> bool:
         """Whether there was a new link."""
         found = self.verify(pairs)
+        common.release(pairs.sparkSession)
         self.links = found if self.links is None else self.links.union(found)
         return not found.isEmpty()
 
@@ -211,7 +212,10 @@ class _Join:
         """``rows`` (with node) and the component of the node by the links so far."""
         if self.links is None:
             return rows.withColumn("component", F.col("node"))
-        return rows.join(components(self.links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        found = components(self.links)
+        self.links = found.select(F.col("node").alias("a"), F.col("component").alias("b"))  # as connected as before
+        common.release(rows.sparkSession)
+        return rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 #: Whether a node can be the smaller, the larger side of a link at all (see step 4), in SQL.
@@ -247,7 +251,9 @@ def _shared(classes: DataFrame, run: _Join) -> DataFrame:
     shared = common.cut(_held(classes.select(F.explode("region").alias("h"), "node")))
     now = shared.groupBy("node").agg(F.count_if(F.col("h") < LOWEST_QUARTER).alias("now"))
     low = now.join(classes.select("node", "n", "m"), "node").withColumn("lost", F.col("m") - F.col("now")).where(_LARGE).drop("m")
+    common.release(classes.sparkSession)
     shared = common.cut(shared.join(low, "node"))
+    common.release(classes.sparkSession)
     picks = _picks(shared)
     hit = picks.groupBy(F.col("pick.h").alias("h")).agg(F.min("node").alias("first"), F.max("node").alias("last"), F.min("n").alias("least"), F.max("n").alias("most"))
     met = shared.join(hit, "h").where("(first != node or last != node) and n >= least and 3 * n <= 4 * most").select("node")
@@ -259,6 +265,8 @@ def _shared(classes: DataFrame, run: _Join) -> DataFrame:
     able = able.join(high, "node", "left").join(classes.select("node", "m"), "node")
     able = able.withColumn("lost", F.col("lost") + F.col("n") - F.col("m") - F.coalesce("high", F.lit(0))).where(_LARGE)
     able = common.cut(able.select("node", "n", "lost", "now"))
+    del high, rest
+    common.release(classes.sparkSession)
     # shingles that only nodes without a chance held are lost as well
     left = common.cut(_held(shared.select("h", "node").join(able.select("node"), "node").select("h", "node")))
     again = left.where(F.col("h") < LOWEST_QUARTER).groupBy("node").agg(F.count(F.lit(1)).alias("still"))
@@ -351,6 +359,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.min("__id").alias("rep"), F.count(F.lit(1)).alias("class_size"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.first("region").alias("region")
     )
     classes = common.cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    common.release(docs.sparkSession)
     nodes = common.cut(classes.drop("region"))
     run = _Join(whole.select("__id", "__text"), nodes)
     for k in range(STAR_ROUNDS):
