@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .npbytes import blocks
+from .npbytes import blocks, tidy
 
 #: Bytes of text handled at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Slices whose ids a worker remembers.
 CACHE = 150_000
 #: No rank.
@@ -341,8 +341,9 @@ def _encode(path: str, with_offsets: bool):
                     names.append("offsets")
                 rest = batch.slice(begin, end - begin)
                 yield pa.RecordBatch.from_arrays([*[rest.column(c) for c in kept], *made], [*kept, *names])
+        own.cache.clear()
 
-    return run
+    return tidy(run)
 
 
 def _decode(path: str):
@@ -361,7 +362,7 @@ def _decode(path: str):
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, made.cast(pa.binary())], [*batch.schema.names, "decoded"])
                 first = end
 
-    return run
+    return tidy(run)
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", keep_text: bool = False, with_offsets: bool = True) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, sampling
-from .npbytes import BLOCK, IS_DIGIT, IS_LETTER, IS_SPACE, IS_UPPER, TO_LOWER, blocks, hashes, runs, table
+from .npbytes import BLOCK, IS_DIGIT, IS_LETTER, IS_SPACE, IS_UPPER, TO_LOWER, blocks, hashes, runs, table, tidy
 
 #: Sample quantiles that bound the bins; the tails are finer, as rare traits tell most.
 QUANTILES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.93, 0.96, 0.98, 0.99)
@@ -213,7 +213,7 @@ def _scores(shared, with_lines: bool):
                 names.append("line_scores")
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], [*kept, *names])
 
-    return run
+    return tidy(run)
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = False, with_lines: bool = False) -> DataFrame:

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .npbytes import BLOCK, IS_SPACE, TO_LOWER, blocks, hashes, mixed, runs
+from .npbytes import BLOCK, IS_SPACE, TO_LOWER, blocks, hashes, mixed, runs, tidy
 
 SHINGLE = 5
 #: Odd multipliers of the words of a shingle, by place, and of its length.
@@ -187,19 +187,19 @@ class _Join:
         """(node, what ``read`` makes of the text) for ``needed`` (node, rep, sig)."""
         ids = common.cut(needed.select(F.col("rep").alias("__id")).distinct())
         rows = common.attach(self.texts, ids, "__id", "__text", how="inner", salts=1)
-        made = rows.select("__text").mapInArrow(read, f"__sig binary, {column}").dropDuplicates(["__sig"])
+        made = rows.select("__text").mapInArrow(tidy(read), f"__sig binary, {column}").dropDuplicates(["__sig"])
         return needed.join(made, F.col("sig") == F.col("__sig")).drop("rep", "sig", "__sig")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes that link."""
         side = lambda s: self.nodes.select(F.col("node").alias(s), F.col("bits").alias(f"bits_{s}"), F.col("n").alias(f"n_{s}"))
         reach = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where("4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
-        reach = common.cut(reach.mapInArrow(_in_reach, "a bigint, b bigint"))
+        reach = common.cut(reach.mapInArrow(tidy(_in_reach), "a bigint, b bigint"))
         needed = reach.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         needed = common.cut(needed.join(self.nodes.select("node", "rep", "sig"), "node"))
         sets = common.cut(self.sets(needed, _whole_sets, "own binary"))
         both = reach.join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
-        return common.cut(both.mapInArrow(_linked, "a bigint, b bigint"))
+        return common.cut(both.mapInArrow(tidy(_linked), "a bigint, b bigint"))
 
     def add(self, pairs: DataFrame) -> bool:
         """Whether there was a new link."""
@@ -354,7 +354,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     whole = docs.select(F.col(f"`{id_col}`").alias("__id"), common.text_or_empty(F.col(f"`{text_col}`")).alias("__text"), *[F.col(f"`{c}`") for c in carried])
     types = dict(whole.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in ["__id", *carried]) + ", n bigint, m bigint, sig binary, region array<bigint>, bits binary, bands array<bigint>"
-    rows = whole.mapInArrow(_summaries, schema)
+    rows = whole.mapInArrow(tidy(_summaries), schema)
     classes = rows.where("n > 0").groupBy("sig").agg(
         F.min("__id").alias("rep"), F.count(F.lit(1)).alias("class_size"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.first("region").alias("region")
     )
