@@ -1,5 +1,6 @@
 """Golden values and generated cases for the container operators."""
 
+import bisect
 import random
 
 import pytest
@@ -135,3 +136,16 @@ def test_durable_store(spark, tmp_path):
     assert rows(db.recover(), "k", "v") == [(1, "a"), (3, "c")]
     with pytest.raises(Exception, match="checksum"):
         db.recover(strict=True).collect()
+
+
+def test_base36_places_every_event(spark, tmp_path):
+    """5,000 events, none in the order of its id, some with the same id: all are placed by their text as by their number."""
+    from lattica.plans.registry import QUERIES
+
+    stamps = [((k * 7919) % 5000 // 2 * 37, k) for k in range(5000)] + [(0, k + 2**20) for k in range(3)] + [(0, k) for k in range(3)]
+    df = spark.createDataFrame([(i, m) for m, i in stamps], "event_id long, m long")
+    df.selectExpr("event_id", "timestamp_millis(1700000000000 + m) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["id64_base36_all"](spark, str(tmp_path)).collect()
+    want = sorted((1700000000000 + m) % 2**42 * 2**20 + i % 2**20 for m, i in stamps)
+    assert sorted(r["id"] for r in got) == want
+    assert all(r["place"] == bisect.bisect_left(want, r["id"]) + 1 and r["n"] == 13 for r in got)
