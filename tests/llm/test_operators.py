@@ -298,6 +298,21 @@ def test_toxicity_learns_words(spark):
     assert toxicity.fit([], np.zeros(0)).constant == 0.0 and toxicity.fit(["a"], np.ones(1)).constant == 1.0
 
 
+def test_toxicity_of_a_text_does_not_depend_on_the_next():
+    model = toxicity.Model()
+    model.embed *= 20
+    model.prepare()
+    texts = ["", "calm words", "nasty vile words", "", "one", "vile nasty", " ", "vile"]
+    blob = [t.encode() for t in texts]
+    ids, at = toxicity.word_buckets(np.frombuffer(b"".join(blob), np.uint8), np.cumsum([0, *map(len, blob)]))
+    together, where = model.pooled(ids, at, places=True)
+    alone = [model.pooled(ids[at[i] : at[i + 1]], np.array([0, at[i + 1] - at[i]]))[0] for i in range(len(texts))]
+    assert np.array_equal(together, np.array(alone))
+    assert np.array_equal(model.pooled(ids, at), together) and not together[[0, 3, 6]].any()
+    ends = at[1:] - toxicity.PAD
+    assert all((spots < ends[:, None]).all() for spots in where)
+
+
 def test_marginals_match_enumeration():
     rng = np.random.default_rng(3)
     emit, first = rng.normal(size=9), np.array([0, 1, 5, 9])
