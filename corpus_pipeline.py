@@ -32,10 +32,27 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
-    joined = ngram_jaccard.join(docs.select("doc_id", "text"))
-    gone = common.cut(joined.where("component_id != doc_id").select("doc_id").distinct())
-    return common.attach(docs, gone, "doc_id", "doc_id", how="left_anti", salts=1)
+    """Of each group of near duplicates one row: that with the smallest id, of these the one with the smallest key.
+
+    A row's key is a hash of 128 bits of all its columns. Null ids come after all others, and rows
+    with a null id that are near copies are a group like any other. Rows that share an id
+    are decided one by one. Of equal rows one stays, except that rows without a shingle
+    (null or wordless texts) link with nothing and all stay.
+    """
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    parts = [F.xxhash64(F.lit(k), *[c.isNull() for c in every], *every).cast("string") for k in range(2)]
+    keyed = docs.withColumn("__row", F.concat_ws(":", *parts))
+    rows = ngram_jaccard.join(keyed.select("doc_id", "text", "__row"), with_component=True).where("component is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")
+    found = common.cut(rows.groupBy("component", "doc_id", "__row").agg(F.count(F.lit(1)).alias("n")))
+    first = common.cut(found.groupBy("component").agg(F.min(order).getField("__row").alias("first")))
+    judged = common.attach(found, first, "component", "__row").select("__row", (F.col("__row") == F.col("first")).alias("stays"), "n")
+    judged = common.cut(judged.where("not stays or n > 1"))
+    out = common.attach(keyed, judged.select("__row"), "__row", "__row", how="left_anti", salts=1)
+    repeated = judged.where("stays").select("__row")
+    if not repeated.isEmpty():
+        out = out.union(common.attach(keyed, repeated, "__row", "__row", how="left_semi", salts=1).dropDuplicates(["__row"]))
+    return out.select(*every)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

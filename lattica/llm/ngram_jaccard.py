@@ -347,9 +347,13 @@ def _tile(x: pa.Table, y: pa.Table) -> pa.Table:
     return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, with n_shingles, class_size and component_id."""
-    made = ("n_shingles", "class_size", "component_id")
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_component: bool = False) -> DataFrame:
+    """``docs`` without the text, with n_shingles, class_size and component_id.
+
+    With ``with_component`` also component: a number that the rows of one component of
+    several rows share, null for a row alone. It tells components apart where ids are null or shared.
+    """
+    made = ("n_shingles", "class_size", "component_id", *(["component"] if with_component else []))
     carried = [c for c in docs.columns if c not in (*made, id_col, text_col)]
     whole = docs.select(F.col(f"`{id_col}`").alias("__id"), common.text_or_empty(F.col(f"`{text_col}`")).alias("__text"), *[F.col(f"`{c}`") for c in carried])
     types = dict(whole.dtypes)
@@ -383,9 +387,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     labels = run.labelled(nodes.select("node", "sig", "rep", "class_size"))
     labels = labels.join(labels.groupBy("component").agg(F.min("rep").alias("label"), F.sum("class_size").alias("rows")), "component")
-    labels = common.cut(labels.where("rows > 1").select("sig", "class_size", "label"))
+    labels = common.cut(labels.where("rows > 1").select("sig", "class_size", "label", "component"))
+    if not with_component:
+        labels = labels.drop("component")
     out = common.attach(rows.select(*[f"`{c}`" for c in ["__id", *carried]], "n", "sig"), labels, "sig", "__id")
     return out.select(
         F.col("__id").alias(id_col), *[F.col(f"`{c}`") for c in carried], F.col("n").alias("n_shingles"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("label", "__id").alias("component_id"),
+        *(["component"] if with_component else []),
     )

@@ -49,3 +49,26 @@ def test_against_sql(spark, name):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     got, want = __spark_entry__.queries()[name](spark, FOLDER).toPandas(), c.sql(__spark_entry__.oracle_sql()[name]).df()
     assert plain(got).equals(plain(want))
+
+
+def test_one_row_of_each_near_duplicate_group_stays(spark):
+    """Null ids, repeated rows, ids that several texts share, two groups with the same smallest id, wordless texts."""
+    text = lambda k, edit="": " ".join(f"t{k}w{i}" for i in range(60)) + edit
+    data = [
+        (1, text(1)), (1, text(1)), (1, text(1)),  # repeated: one stays
+        (None, text(2)), (None, text(2, " x")), (None, text(2)),  # null ids
+        (None, text(3)), (9, text(3, " x")),  # a null id comes last
+        (4, text(4)), (5, text(4, " x")), (5, text(5)),  # 5 is shared; its second text is clean
+        (6, text(6)), (7, text(6, " x")), (6, text(7)), (8, text(7, " x")),  # two groups led by 6
+        (10, text(8)), (10, text(8, " x")),  # near copies of one id
+        (11, ""), (11, ""), (12, None), (None, text(9)),
+    ]
+    docs = spark.createDataFrame([(i, t, k % 2) for k, (i, t) in enumerate(data)], "doc_id long, text string, n long")
+    docs = docs.withColumn("n", docs.n * 0)
+    runs = [sorted(map(str, rows(pipeline.near_duplicates(spark, d, None)))) for d in (docs, docs.repartition(7, "text"))]
+    assert runs[0] == runs[1]
+    for got in runs:
+        fixed = [(1, text(1)), (9, text(3, " x")), (4, text(4)), (5, text(5)), (6, text(6)), (6, text(7)), (11, ""), (11, ""), (12, None), (None, text(9))]
+        assert all(got.count(str(r)) == fixed.count(r) for r in fixed)
+        rest = [r for r in got if r not in map(str, fixed)]
+        assert len(rest) == 2 and sum(r in map(str, data[3:5]) for r in rest) == 1 and sum(r in map(str, data[15:17]) for r in rest) == 1
