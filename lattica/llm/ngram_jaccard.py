@@ -347,13 +347,15 @@ def _tile(x: pa.Table, y: pa.Table) -> pa.Table:
     return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_component: bool = False) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_component: bool = False, with_links: bool = False) -> DataFrame:
     """``docs`` without the text, with n_shingles, class_size and component_id.
 
     With ``with_component`` also component: a number that the rows of one component of
     several rows share, null for a row alone. It tells components apart where ids are null or shared.
+    With ``with_links`` also n_links: the number of other rows that the row links with. For that
+    every pair of classes is verified, in place of the stars.
     """
-    made = ("n_shingles", "class_size", "component_id", *(["component"] if with_component else []))
+    made = ("n_shingles", "class_size", "component_id", *(["component"] if with_component else []), *(["n_links"] if with_links else []))
     carried = [c for c in docs.columns if c not in (*made, id_col, text_col)]
     whole = docs.select(F.col(f"`{id_col}`").alias("__id"), common.text_or_empty(F.col(f"`{text_col}`")).alias("__text"), *[F.col(f"`{c}`") for c in carried])
     types = dict(whole.dtypes)
@@ -366,7 +368,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_c
     common.release(docs.sparkSession)
     nodes = common.cut(classes.drop("region"))
     run = _Join(whole.select("__id", "__text"), nodes)
-    for k in range(STAR_ROUNDS):
+    for k in range(0 if with_links else STAR_ROUNDS):
         placed = common.cut(run.labelled(nodes.select("node", F.explode(F.slice("bands", 1 + k * STAR_BANDS, STAR_BANDS)).alias("key"))))
         ends = placed.groupBy("key").agg(F.min(F.struct("component", "node")).alias("lo"), F.max(F.struct("component", "node")).alias("hi")).where("lo.component != hi.component")
         led = placed.join(ends, "key").select("node", F.when(F.col("component") != F.col("lo.component"), F.col("lo.node")).otherwise(F.col("hi.node")).alias("lead"))
@@ -375,7 +377,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_c
     shared = _shared(classes, run)
     del classes
     common.release(docs.sparkSession)
-    for k in range(LEAD_ROUNDS):
+    for k in range(0 if with_links else LEAD_ROUNDS):
         placed = common.cut(run.labelled(shared))
         # a pseudo-random node of the lowest and of the highest component, others in each round
         pick = F.struct("component", F.xxhash64(F.lit(k), F.col("node")).alias("r"), "node")
@@ -383,16 +385,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_c
         led = placed.join(ends, "h").select("node", F.when(F.col("component") != F.col("lo.component"), F.col("lo.node")).otherwise(F.col("hi.node")).alias("lead"))
         led = led.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "lead")), asc=False), 1, LEADS).alias("best"))
         run.add(led.select(F.col("node").alias("a"), F.explode("best.lead").alias("b")))
-    run.add(_candidates(common.cut(run.labelled(shared)), nodes))
+    run.add(_candidates(common.cut(run.labelled(shared)), nodes))  # without stars each node is a component: all links
+    found = run.links
 
     labels = run.labelled(nodes.select("node", "sig", "rep", "class_size"))
     labels = labels.join(labels.groupBy("component").agg(F.min("rep").alias("label"), F.sum("class_size").alias("rows")), "component")
-    labels = common.cut(labels.where("rows > 1").select("sig", "class_size", "label", "component"))
-    if not with_component:
-        labels = labels.drop("component")
+    labels = labels.where("rows > 1")
+    if with_links:
+        ends = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        sizes = nodes.select(F.col("node").alias("b"), F.col("class_size").alias("size"))
+        linked = ends.join(sizes, "b").groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("linked"))
+        labels = labels.join(linked, "node", "left").withColumn("n_links", F.col("class_size") - 1 + F.coalesce("linked", F.lit(0)))
+    more = [c for c, wanted in (("component", with_component), ("n_links", with_links)) if wanted]
+    labels = common.cut(labels.select("sig", "class_size", "label", *more))
     out = common.attach(rows.select(*[f"`{c}`" for c in ["__id", *carried]], "n", "sig"), labels, "sig", "__id")
     return out.select(
         F.col("__id").alias(id_col), *[F.col(f"`{c}`") for c in carried], F.col("n").alias("n_shingles"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("label", "__id").alias("component_id"),
-        *(["component"] if with_component else []),
+        *([F.col("component")] if with_component else []), *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if with_links else []),
     )

@@ -94,6 +94,14 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op9_ngram_jaccard, with the number of rows that each links with; grows with the number of links."""
+    from .ngram_jaccard import join
+
+    got = join(common.table(spark, sf_dir, "documents").select("doc_id", "text"), with_links=True)
+    return got.select("doc_id", "n_shingles", "class_size", "component_id", "n_links")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import dedup
 
@@ -102,7 +110,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_training_order, op2_mix_sources, op3_token_rollups, op4_host_rules, op5_toxicity, op6_line_dedup, op7_byte_bpe, op8_line_crf, op9_ngram_jaccard, op10_exact_dedup)
+    for f in (op1_training_order, op2_mix_sources, op3_token_rollups, op4_host_rules, op5_toxicity, op6_line_dedup, op7_byte_bpe, op8_line_crf, op9_ngram_jaccard, op9_ngram_links, op10_exact_dedup)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

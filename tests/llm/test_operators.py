@@ -266,6 +266,27 @@ def test_ngram_jaccard_of_a_large_near_copy_group(spark, monkeypatch):
         assert got == want
 
 
+def test_ngram_jaccard_counts_every_link(spark, docs, empty, monkeypatch):
+    """Links inside near-copy groups and between copies, whatever the tiles."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(50):
+        words = [f"w{k}" for k in range(80)]
+        for k in rng.sample(range(80), rng.randint(0, 4)):
+            words[k] = f"e{rng.randint(0, 5)}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, rows[i % 3][1].upper()) for i in range(6)] + [(200, "alone"), (201, ""), (202, None), (203, "")]
+    for df, own, small, tile in ((docs, corpus(), 64, 1024), (spark.createDataFrame(rows, "doc_id long, text string"), rows, 2, 7)):
+        monkeypatch.setattr(ngram_jaccard, "SMALL_TILE", small)
+        monkeypatch.setattr(ngram_jaccard, "TILE", tile)
+        want, links = brute_components(own)
+        ends = Counter(x for pair in links for x in pair)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_jaccard.join(df, with_links=True).collect()}
+        assert got == {i: (*v, ends[i]) for i, v in want.items()}
+    assert max(ends.values()) > 10
+    assert ngram_jaccard.join(empty, with_links=True).count() == 0
+
+
 def test_bitmap_bound_is_an_upper_bound():
     rng = np.random.default_rng(2)
     for _ in range(50):
