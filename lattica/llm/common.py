@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a maximal run of characters that are none of these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,24 +49,95 @@ def ascii_lower(text: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """This session's folder in the one that ``spark.checkpoint.dir`` names, which all executors share.
 
-    Only where that is unset (a local session, as in tests) is a temporary folder made.
+    Only a local session, as in tests, gets a temporary folder where that is unset; on a
+    cluster such a folder would be another one on each machine.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattica-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lattica-"))
     return sc.getCheckpointDir()
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle and checkpoint files of frames that are no longer referenced."""
+    """Let Spark delete the shuffle files of frames that are no longer referenced."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: a table written to the shared folder and read again. ``drop`` deletes it."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote. What was made of them must have been cut itself."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """__id, __text (null is empty) and __rest, a struct of all other columns, so that none can clash with an operator's own."""
+    rest = [F.col(f"`{f.name}`") for f in docs.schema if f.name not in (id_col, text_col) and not isinstance(f.dataType, T.NullType)]
+    rest = F.struct(*rest) if rest else F.lit(None).cast("int")
+    return docs.select(F.col(f"`{id_col}`").alias("__id"), text_or_empty(F.col(f"`{text_col}`")).alias("__text"), rest.alias("__rest"))
+
+
+def unpacked(docs: DataFrame, id_col: str, text_col: str, made: dict[str, Column], text: Column | None = None) -> list[Column]:
+    """What to select of a packed frame: the columns of ``docs`` in their order, the text only if given, then ``made``, which replaces columns of its names."""
+    out = []
+    for f in docs.schema:
+        if f.name == id_col:
+            out.append(F.col("__id").alias(id_col))
+        elif f.name == text_col:
+            out += [] if text is None else [text.alias(text_col)]
+        elif f.name not in made:
+            out.append((F.lit(None) if isinstance(f.dataType, T.NullType) else F.col("__rest").getField(f.name)).alias(f.name))
+    return out + [c.alias(name) for name, c in made.items()]
+
+
+def with_fields(df: DataFrame, names: list[str], ddl: str) -> T.StructType:
+    """The schema of the columns ``names`` of ``df`` and then those of ``ddl``."""
+    fields = {f.name: f for f in df.schema}
+    return T.StructType([fields[n] for n in names] + T.StructType.fromDDL(ddl).fields)
+
+
+#: Bits of a membership filter at most (16 MB) and for each key.
+MEMBER_BITS, BITS_A_KEY = 1 << 27, 16
+#: Where in a 64-bit key its probes begin.
+_PROBES = (0, 18, 37)
+
+
+def members(keys: DataFrame):
+    """A broadcast Bloom filter of ``keys`` (one column of 64-bit hashes), of 2 MB a million keys and 16 MB at most, for ``is_member``.
+
+    A filter that is too small for its keys only lets more rows through to the exact join after it.
+    """
+    (name,) = keys.columns
+    bits = min(MEMBER_BITS, 1 << max(16, (BITS_A_KEY * keys.count() - 1).bit_length()))
+    place = F.explode(F.array(*[F.shiftrightunsigned(name, k).bitwiseAND(F.lit(bits - 1)) for k in _PROBES]))
+    words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+    filled = np.zeros(bits // 64, np.uint64)
+    got = words.toArrow()
+    filled[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(filled)
+
+
+def is_member(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of ``keys`` (int64) may be among those of the filter."""
+    found, keys = np.ones(len(keys), bool), keys.view(np.uint64)
+    for k in _PROBES:
+        place = (keys >> np.uint64(k)) & np.uint64(64 * len(filled) - 1)
+        found &= (filled[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+    return found
 
 
 #: Rows of a narrow table that may be broadcast. The row count is checked before each use.

@@ -4,34 +4,35 @@ Two documents link when 100 * |A & B| >= 75 * |A | B|, A and B being their sets
 shingles. Nothing is sampled; all steps below only leave out pairs that provably don't link.
 
 1. Equal sets are one class. From here on a class is one node with n shingles.
-2. A node's region is its shingles whose hash lies in the lowest quarter of hashes, and at
-   least the n // 4 + 1 lowest. By the prefix principle linked nodes share one in both
-   regions.
-3. Stars: nodes that agree in a band of min-hashes are likely to link. In each such bucket
-   one node leads; each node is paired with the leader, of another component, of most of its
-   buckets; verified pairs are links. A few rounds with other bands collapse large groups of
-   near copies, with at most one pair a node and round. This only saves work in step 4.
-4. The rest: of linked x and y (n(x) <= n(y)) x misses at most (4 n(x) - 3 n(y)) // 7, so
-   n(x) // 7, shingles of its own, y at most n(y) // 4. A shingle that no other node holds
-   is missed in any case. Counting these, in the regions and then in the other shingles of
-   the nodes left, leaves the nodes that can be either side of a link at all. Of x's shared
-   shingles in the lowest quarter the rarest ones, one more than x can still miss, are
-   looked up (after two rounds of stars among these nodes, led by shared shingle); nodes of other components that fit by size and missed shingles are
-   candidates. Every link between components is among them.
-5. Tiles: nodes are banded by size, a band fixing the length of the bitmap that their
-   shingles are hashed into. Bits that x has and y lacks bound the overlap from above. The
-   nodes of a frequent shingle are compared in tiles of bounded size, of which only pairs in
-   reach leave; pairs in reach are verified by intersecting their sorted arrays.
+2. Slack. Take any order of all shingles and the first common shingle of two nodes in it. If
+   r shingles of x stand before it, all r are missed by the other node. Linked nodes miss at
+   most (n(x) + n(y)) / 7 of each other's shingles in all, so their slacks n - 7 r add up to 0
+   or more. A shingle that no other node holds comes first, then the rarest.
+   A group is a shingle and a band of sizes; in it each node needs a fit partner, which is the
+   one with the largest slack or nobody. This takes one row a node and shingle, no pairs.
+3. First the slack is taken over regions: a node's shingles whose hash lies in the lowest
+   quarter of hashes, and at least the n // 4 + 1 lowest. Nodes without a partner go; of
+   the others (the texts are read again, through a filter of their classes) the whole sets are
+   kept in a table, and the slack is taken again over all shingles. All nodes that attach to
+   one largest node in one band are a block.
+4. Tiles: a block is cut into tiles of bounded count and bytes, each with the largest node. A
+   tile makes a bitmap of one length, fixed by its band of sizes, of each set. Bits
+   that x has and y lacks bound the overlap from above; pairs still in reach are decided by
+   intersecting their sorted arrays. Of the links only a spanning forest leaves the tile.
+5. Pairs of different tiles of a block: once components are known, the nodes outside the largest
+   component of the block meet all others of the block, in tiles again.
 6. Components of the links; a component's label is its smallest document id.
 
 Shingles are compared by 64-bit hashes: a pair of texts with n shingles each takes a false
 common shingle with a chance of n * n / 2**64.
 
 Edge cases: A-Z are lower-cased; fewer than 5 words make one shingle of them all; null or
-wordless texts have no shingle, link with nothing and are their own component; repeated
-rows are separate documents of one class; a null id never labels a component that has
-another id; an empty table gives an empty result; extra columns are carried, and replaced
-where they clash with results.
+wordless texts have no shingle, link with nothing and are their own component; very long
+texts are shingled whole, and one that exceeds a tile's bytes is handled with as few others as
+possible; repeated rows are separate documents of one class; a null id never labels a component
+that has another id, and a document with a null id that links with nothing has a null
+component; ties don't matter, as labels are the smallest id; an empty table gives an empty
+result; extra columns are carried, whatever their names, and replaced where they clash with results.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -52,12 +53,12 @@ SHINGLE = 5
 #: Odd multipliers of the words of a shingle, by place, and of its length.
 PLACES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 LOWEST_QUARTER = -(1 << 62)
-#: Rounds of stars, bands of min-hashes in each, min-hashes in a band.
-STAR_ROUNDS, STAR_BANDS, BAND = 2, 4, 3
-#: Rounds of leaders by shared shingle, and leaders a node is compared with in each.
-LEAD_ROUNDS, LEADS = 2, 3
-#: A shingle of more nodes is compared in tiles of about TILE by TILE nodes.
-SMALL_TILE, TILE = 64, 1024
+#: Sizes of a band differ by a factor of less than BAND, which is more than sizes of linked sets do (4/3).
+BAND = 1.35
+#: Nodes and bytes of sets of a side of a tile.
+TILE, TILE_BYTES = 1024, 8 << 20
+#: Bits of a bitmap for each shingle of the largest set that it is made for, at least.
+BITS = 4
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -82,269 +83,209 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def bands(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of STAR_ROUNDS * STAR_BANDS keys for each set, each from BAND min-hashes; zeros for an empty set."""
-    out = np.zeros((len(sets), STAR_ROUNDS * STAR_BANDS), np.int64)
-    some = [i for i, s in enumerate(sets) if len(s)]
-    if not some:
-        return out
-    flat = np.concatenate([sets[i] for i in some]).view(np.uint64)
-    first = np.concatenate(([0], np.cumsum([len(sets[i]) for i in some])))[:-1]
-    rng = np.random.default_rng(11)
-    for k in range(out.shape[1]):
-        key = np.full(len(some), k, np.uint64)
-        for factor in rng.integers(1 << 62, 1 << 63, BAND, dtype=np.uint64) | np.uint64(1):
-            key = mixed(key ^ np.minimum.reduceat(flat * factor, first))
-        out[some, k] = key.view(np.int64)
-    return out
-
-
-def bitmap(own: np.ndarray) -> bytes:
-    """Bits of a set: a power of two, at least twice its size."""
-    bits = max(64, 1 << int(2 * len(own) - 1).bit_length())
-    out = np.zeros(bits, np.uint8)
-    out[(own.view(np.uint64) >> np.uint64(7)) & np.uint64(bits - 1)] = 1
-    return np.packbits(out, bitorder="little").tobytes()
-
-
-def _fold(bits: int, length: int, to: int) -> int:
-    """A bitmap of 8 * ``length`` bits brought to 8 * ``to`` bits."""
-    while length > to:
-        length //= 2
-        bits = (bits >> (8 * length)) | (bits & ((1 << (8 * length)) - 1))
-    return bits
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """128 bits of each set, as two columns of 64."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
 
 
-def most_common(x: bytes, n_x: int, y: bytes, n_y: int) -> int:
-    """An upper bound of the overlap of two sets, from their bitmaps and sizes."""
-    to = min(len(x), len(y))
-    a = _fold(int.from_bytes(x, "little"), len(x), to)
-    b = _fold(int.from_bytes(y, "little"), len(y), to)
-    return min(n_x - (a & ~b).bit_count(), n_y - (b & ~a).bit_count())
+def lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(v) for v in values])))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In place of the text: n, m (in the lowest quarter), sig (128 bits of the set), region, bits and bands."""
+    """In place of the text: n, m (shingles in the lowest quarter), s1 and s2 (signature of the set) and region."""
     for batch in batches:
-        kept = [c for c in batch.schema.names if c != "__text"]
         for begin, end, data, offsets in blocks(batch.column("__text"), BLOCK):
             sets = shingles(data, offsets)
-            n = np.array([len(s) for s in sets], np.int64)
-            m = np.array([np.searchsorted(s, LOWEST_QUARTER) for s in sets], np.int64)
+            n = np.array([len(s) for s in sets], np.int32)
+            m = np.array([np.searchsorted(s, LOWEST_QUARTER) for s in sets], np.int32)
             take = np.minimum(np.maximum(m, n // 4 + 1), n)
-            region = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(take))), pa.int32()), pa.array(np.concatenate([s[:k] for s, k in zip(sets, take, strict=True)])))
-            made = [pa.array(n), pa.array(m), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), region, pa.array([bitmap(s) for s in sets], pa.binary())]
-            keys = bands(sets)
-            made.append(pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel())))
+            sig = signatures(sets)
+            region = lists([s[:k] for s, k in zip(sets, take.tolist(), strict=True)])
             rest = batch.slice(begin, end - begin)
-            yield pa.RecordBatch.from_arrays([*[rest.column(c) for c in kept], *made], [*kept, "n", "m", "sig", "region", "bits", "bands"])
-
-
-def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) to (sig, own): whole sorted sets."""
-    for batch in batches:
-        for _, _, data, offsets in blocks(batch.column("__text"), BLOCK):
-            sets = shingles(data, offsets)
-            own = pa.array([s.tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), own], ["__sig", "own"])
+            columns = [rest.column("__id"), rest.column("__rest"), pa.array(n), pa.array(m), pa.array(sig[:, 0]), pa.array(sig[:, 1]), region]
+            yield pa.RecordBatch.from_arrays(columns, ["__id", "__rest", "n", "m", "s1", "s2", "region"])
 
 
-def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) to (sig, h): the shingles above the lowest quarter."""
-    for batch in batches:
-        for _, _, data, offsets in blocks(batch.column("__text"), BLOCK):
-            sets = shingles(data, offsets)
-            high = [s[np.searchsorted(s, LOWEST_QUARTER) :] for s in sets]
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in high])))
-            h = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(high)))
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), h], ["__sig", "h"])
+def _whole_sets(wanted):
+    """(text) to (s1, s2, own) of the texts whose signature may be wanted: whole sorted sets."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = wanted.value
+        for batch in batches:
+            for _, _, data, offsets in blocks(batch.column("__text"), BLOCK):
+                sets = shingles(data, offsets)
+                sig = signatures(sets)
+                at = np.flatnonzero(common.is_member(filled, np.ascontiguousarray(sig[:, 0])))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[at, 0]), pa.array(sig[at, 1]), lists([sets[i] for i in at])], ["s1", "s2", "own"])
 
-def _in_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("bits_a", "n_a", "bits_b", "n_b")), strict=True)
-        keep = [7 * most_common(x, p, y, q) >= 3 * (p + q) for x, p, y, q in rows]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return run
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("own_a"), batch.column("own_b"), strict=True):
-            p, q = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-            common_ = len(p) + len(q) - len(np.unique(np.concatenate((p, q))))
-            keep.append(7 * common_ >= 3 * (len(p) + len(q)))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-class _Join:
-    """The state of one run: nodes, shared shingles, texts, links so far."""
-
-    def __init__(self, texts: DataFrame, nodes: DataFrame) -> None:
-        self.texts, self.nodes, self.links = texts, nodes, None
-
-    def sets(self, needed: DataFrame, read, column: str) -> DataFrame:
-        """(node, what ``read`` makes of the text) for ``needed`` (node, rep, sig)."""
-        ids = common.cut(needed.select(F.col("rep").alias("__id")).distinct())
-        rows = common.attach(self.texts, ids, "__id", "__text", how="inner", salts=1)
-        made = rows.select("__text").mapInArrow(tidy(read), f"__sig binary, {column}").dropDuplicates(["__sig"])
-        return needed.join(made, F.col("sig") == F.col("__sig")).drop("rep", "sig", "__sig")
-
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of nodes that link."""
-        side = lambda s: self.nodes.select(F.col("node").alias(s), F.col("bits").alias(f"bits_{s}"), F.col("n").alias(f"n_{s}"))
-        reach = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where("4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
-        reach = common.cut(reach.mapInArrow(tidy(_in_reach), "a bigint, b bigint"))
-        needed = reach.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        needed = common.cut(needed.join(self.nodes.select("node", "rep", "sig"), "node"))
-        sets = common.cut(self.sets(needed, _whole_sets, "own binary"))
-        both = reach.join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
-        return common.cut(both.mapInArrow(tidy(_linked), "a bigint, b bigint"))
-
-    def add(self, pairs: DataFrame) -> bool:
-        """Whether there was a new link."""
-        found = self.verify(pairs)
-        common.release(pairs.sparkSession)
-        self.links = found if self.links is None else self.links.union(found)
-        return not found.isEmpty()
-
-    def labelled(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (with node) and the component of the node by the links so far."""
-        if self.links is None:
-            return rows.withColumn("component", F.col("node"))
-        found = components(self.links)
-        self.links = found.select(F.col("node").alias("a"), F.col("component").alias("b"))  # as connected as before
-        common.release(rows.sparkSession)
-        return rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-
-#: Whether a node can be the smaller, the larger side of a link at all (see step 4), in SQL.
-_SMALL, _LARGE = "lost <= n div 7", "lost <= n div 4"
-
-
-def _held(postings: DataFrame) -> DataFrame:
-    """Postings (h, node) of shingles that two nodes or more hold, with their number cnt."""
-    return postings.join(postings.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("cnt")).where("cnt > 1"), "h")
+def _met(slacks: DataFrame) -> DataFrame:
+    """(node, lead, band): of (h, node, n, slack), the nodes with a fit partner in a group of shingle and band, and its lead.
 
-
-def _picks(shared: DataFrame) -> DataFrame:
-    """Of (h, cnt, node, n, lost, now, ...) the rows (k, pick, few, ...) that a node is looked up by as smaller side.
-
-    Its shared shingles in the lowest quarter, rarest first, one more than it can still
-    miss; of a node with too few of them (few) all shingles of its region.
+    A band's group has the nodes of its sizes (low) and of the next band's (high). The
+    lead is the node of most slack. A low node fits if its slack and that of the lead, or of the next
+    where it is the lead, add up to 0; a high node needs a low one.
     """
-    rest = [c for c in shared.columns if c not in ("h", "cnt")]
-    probes = shared.where(F.expr(_SMALL)).withColumn("few", F.expr("now <= n div 7 - lost"))
-    probes = probes.where(F.expr(f"few or h < {LOWEST_QUARTER}")).groupBy(*rest, "few").agg(F.sort_array(F.collect_list(F.struct("cnt", "h"))).alias("own"))
-    most = F.when(F.col("few"), F.size("own")).otherwise(F.expr("cast(n div 7 - lost + 1 as int)"))
-    return probes.select(*rest, "few", F.posexplode(F.slice("own", F.lit(1), most)).alias("k", "pick"))
-
-
-def _shared(classes: DataFrame, run: _Join) -> DataFrame:
-    """(h, cnt, node, n, lost, now): shingles of regions that two nodes hold, of nodes that can be either side of a link.
-
-    ``lost`` counts the node's shingles that none of the other nodes left holds, ``now`` its
-    others in the lowest quarter. First the regions are compared; nodes that are no smaller
-    side stay only if one that is looks them up. Then the other shingles of the nodes left
-    are compared.
-    """
-    shared = common.cut(_held(classes.select(F.explode("region").alias("h"), "node")))
-    now = shared.groupBy("node").agg(F.count_if(F.col("h") < LOWEST_QUARTER).alias("now"))
-    low = now.join(classes.select("node", "n", "m"), "node").withColumn("lost", F.col("m") - F.col("now")).where(_LARGE).drop("m")
-    common.release(classes.sparkSession)
-    shared = common.cut(shared.join(low, "node"))
-    common.release(classes.sparkSession)
-    picks = _picks(shared)
-    hit = picks.groupBy(F.col("pick.h").alias("h")).agg(F.min("node").alias("first"), F.max("node").alias("last"), F.min("n").alias("least"), F.max("n").alias("most"))
-    met = shared.join(hit, "h").where("(first != node or last != node) and n >= least and 3 * n <= 4 * most").select("node")
-    able = common.cut(met.union(shared.where(F.expr(_SMALL)).select("node")).distinct().join(low, "node"))
-
-    needed = able.select("node").join(classes.select("node", "rep", "sig"), "node")
-    rest = run.sets(needed, _rest, "h array<bigint>").select(F.explode("h").alias("h"), "node")
-    high = _held(rest).groupBy("node").agg(F.count(F.lit(1)).alias("high"))
-    able = able.join(high, "node", "left").join(classes.select("node", "m"), "node")
-    able = able.withColumn("lost", F.col("lost") + F.col("n") - F.col("m") - F.coalesce("high", F.lit(0))).where(_LARGE)
-    able = common.cut(able.select("node", "n", "lost", "now"))
-    del high, rest
-    common.release(classes.sparkSession)
-    # shingles that only nodes without a chance held are lost as well
-    left = common.cut(_held(shared.select("h", "node").join(able.select("node"), "node").select("h", "node")))
-    again = left.where(F.col("h") < LOWEST_QUARTER).groupBy("node").agg(F.count(F.lit(1)).alias("still"))
-    able = able.join(again, "node", "left").withColumn("still", F.coalesce("still", F.lit(0)))
-    able = able.select("node", "n", (F.col("lost") + F.col("now") - F.col("still")).alias("lost"), F.col("still").alias("now")).where(_LARGE)
-    left = common.cut(left.drop("cnt").join(able, "node"))
-    counts = left.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("cnt"), F.bool_or(F.expr(_SMALL)).alias("probed")).where("cnt > 1 and probed")
-    return common.cut(left.join(counts.drop("probed"), "h"))
-
-
-def _candidates(placed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that hold every link between components; a is the smaller.
-
-    A link of a and b lets a miss at most (4 n_a - 3 n_b) // 7 shingles and b at most
-    (4 n_b - 3 n_a) // 7. b must hold one of the first (4 n_a - 3 n_b) // 7 - lost_a + 1 of
-    a's picks.
-    """
-    x = _picks(placed).selectExpr("pick.h as h", "pick.cnt as cnt", "k", "few", "node as a", "n as n_a", "lost as lost_a", "component as of_a")
-    y = placed.selectExpr("h", "cnt", "node as b", "n as n_b", "lost as lost_b", "component as of_b")
-    few = x.where(F.col("cnt") <= SMALL_TILE).join(y.where(F.col("cnt") <= SMALL_TILE).drop("cnt"), "h").where(F.expr(_FITS)).select("a", "b")
-    return few.union(_tiled(x.where(F.col("cnt") > SMALL_TILE), y.where(F.col("cnt") > SMALL_TILE), nodes)).distinct()
-
-
-#: Whether candidates of different components fit by size, missed shingles and place of the shingle among a's.
-_FITS = (
-    "of_a != of_b and (n_a < n_b or n_a = n_b and a < b) and 4 * n_a >= 3 * n_b and lost_b <= (4 * n_b - 3 * n_a) div 7"
-    " and lost_a + if(few, 0, k) <= (4 * n_a - 3 * n_b) div 7"
-)
-
-
-def _tiled(x: DataFrame, y: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The fitting pairs of frequent shingles that are in reach by their bitmaps.
-
-    A frequent shingle's nodes are cut into tiles of about TILE by TILE nodes. A tile is
-    compared at once, bitmap by bitmap, and only pairs in reach leave it.
-    """
-    bits = nodes.select("node", "bits")
-    blocks = F.ceil(F.col("cnt") / TILE).cast("int")
-    own = lambda c: F.pmod(F.xxhash64(F.col(c)), blocks).cast("int")
-    every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    x = x.join(bits.withColumnRenamed("node", "a"), "a").withColumn("row", own("a")).withColumn("col", every).drop("cnt")
-    y = y.join(bits.withColumnRenamed("node", "b"), "b").withColumn("col", own("b")).withColumn("row", every).drop("cnt")
-    return x.groupBy("h", "row", "col").cogroup(y.groupBy("h", "row", "col")).applyInArrow(_tile, "a bigint, b bigint")
-
-
-def _words(column: pa.ChunkedArray, length: int) -> np.ndarray:
-    """A row of 64-bit words for each bitmap of ``length`` bytes or twice that, folded to ``length``."""
-    out = np.zeros((len(column), length // 8), np.uint64)
-    for i, b in enumerate(column):
-        own = np.frombuffer(b.as_buffer(), np.uint64)
-        while len(own) > length // 8:
-            own = own[: len(own) // 2] | own[len(own) // 2 :]
-        out[i] = own
-    return out
+    band = F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int")
+    both = slacks.select("h", "node", "slack", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("low")), F.struct((band - 1).alias("band"), F.lit(False).alias("low")))).alias("b"))
+    both = both.select("h", "node", "slack", "b.*")
+    tops = both.groupBy("h", "band").agg(
+        F.max(F.struct("slack", "node")).alias("top"), F.max(F.when(F.col("low"), F.col("slack"))).alias("low_slack"), F.count(F.lit(1)).alias("members")
+    ).where("low_slack is not null and members > 1").select("h", "band", F.col("top.node").alias("lead"), F.col("top.slack").alias("lead_slack"), "low_slack")
+    fit = both.join(tops, ["h", "band"]).where("node != lead and slack + if(low, lead_slack, low_slack) >= 0").select("node", "lead", "band").distinct()
+    return common.cut(fit.union(fit.select(F.col("lead").alias("node"), "lead", "band")).distinct())
+
+
+def _shared(postings: DataFrame) -> DataFrame:
+    """``postings`` (h, ...) of shingles that two nodes or more hold, with their number cnt."""
+    return postings.join(postings.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("cnt")).where("cnt > 1"), "h")
 
 
-def _tile(x: pa.Table, y: pa.Table) -> pa.Table:
-    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if len(x) and len(y):
-        length = {s: np.array([len(b.as_buffer()) for b in t.column("bits")]) for s, t in (("x", x), ("y", y))}
-        for p in np.unique(length["x"]):
-            for q in np.unique(length["y"]):
-                if not p // 2 <= q <= 2 * p:
-                    continue
-                to = int(min(p, q))
-                t, u = x.filter(pa.array(length["x"] == p)), y.filter(pa.array(length["y"] == q))
-                right, own = _words(u.column("bits"), to), {c: u.column(c).to_numpy() for c in ("b", "n_b", "lost_b", "of_b")}
-                rows = zip(_words(t.column("bits"), to), *(t.column(c).to_pylist() for c in ("a", "n_a", "lost_a", "of_a", "k", "few")), strict=True)
-                for left, a, n, lost, of, k, few in rows:
-                    n_b = own["n_b"]
-                    fit = (own["of_b"] != of) & ((n < n_b) | (n == n_b) & (a < own["b"])) & (4 * n >= 3 * n_b)
-                    fit &= (own["lost_b"] <= (4 * n_b - 3 * n) // 7) & (lost + (0 if few else k) <= (4 * n - 3 * n_b) // 7)
-                    at = np.flatnonzero(fit)
-                    most = np.minimum(n - np.bitwise_count(left & ~right[at]).sum(axis=1, dtype=np.int64), n_b[at] - np.bitwise_count(right[at] & ~left).sum(axis=1, dtype=np.int64))
-                    at = at[7 * most >= 3 * (n + n_b[at])]
-                    found_a.append(np.full(len(at), a))
-                    found_b.append(own["b"][at])
-    return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+def _of_regions(classes: DataFrame) -> DataFrame:
+    """Slacks by region. Of the shingles of the lowest quarter it is known who shares them; the others come after them, by hash."""
+    shared = _shared(classes.select("node", F.posexplode("region").alias("i", "h")))
+    shared = shared.join(classes.select("node", "n", "m"), "node").withColumn("high", F.expr(f"h >= {LOWEST_QUARTER}"))
+    own = Window.partitionBy("node")
+    place = F.row_number().over(own.orderBy("high", "cnt", "h"))
+    before = F.when(F.col("high"), F.col("i")).otherwise(F.col("m") - F.count_if(~F.col("high")).over(own) + place - 1)
+    return shared.select("h", "node", "n", before.alias("r")).where("r <= n div 4").select("h", "node", "n", F.expr("n - 7 * r").alias("slack"))
+
+
+def _of_sets(sets: DataFrame) -> DataFrame:
+    """Slacks by the whole sets."""
+    shared = _shared(sets.select("node", "n", F.explode("own").alias("h")))
+    own = Window.partitionBy("node")
+    before = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("cnt", "h")) - 1
+    return shared.select("h", "node", "n", before.alias("r")).where("r <= n div 4").select("h", "node", "n", F.expr("n - 7 * r").alias("slack"))
+
+
+def bitmaps(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A row of 64-bit words for each of the sets that ``flat`` lists, of one length for all."""
+    bits = max(64, 1 << int(BITS * int(sizes.max()) - 1).bit_length())
+    out = np.zeros((len(sizes), bits), bool)
+    out[np.repeat(np.arange(len(sizes)), sizes), ((flat.view(np.uint64) >> np.uint64(7)) & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
+
+
+class Tile:
+    """The sets of a tile, by place."""
+
+    def __init__(self, own: pa.Array, n: np.ndarray, low: np.ndarray) -> None:
+        self.flat, self.n, self.low = own.values.to_numpy()[own.offsets[0].as_py() : own.offsets[-1].as_py()], n.astype(np.int64), low
+        self.first = np.concatenate(([0], np.cumsum(self.n)))
+        self.bits = bitmaps(self.flat, self.n)
+
+    def fits(self, a: int) -> np.ndarray:
+        return (self.low | self.low[a]) & (4 * self.n >= 3 * self.n[a]) & (4 * self.n[a] >= 3 * self.n)
+
+    def linked(self, a: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that link with ``a``: bitmaps bound the overlap, then sorted arrays are intersected."""
+        n, m = self.n[a], self.n[others]
+        lacking = np.bitwise_count(self.bits[a] & ~self.bits[others]).sum(axis=1, dtype=np.int64), np.bitwise_count(self.bits[others] & ~self.bits[a]).sum(axis=1, dtype=np.int64)
+        others = others[7 * np.minimum(n - lacking[0], m - lacking[1]) >= 3 * (n + m)]
+        if not len(others):
+            return others
+        left, right = self.flat[self.first[a] : self.first[a + 1]], np.concatenate([self.flat[self.first[b] : self.first[b + 1]] for b in others])
+        at = np.searchsorted(left, right)
+        same = left[np.minimum(at, n - 1)] == right
+        m = self.n[others]
+        overlap = np.add.reduceat(same, np.concatenate(([0], np.cumsum(m)[:-1])), dtype=np.int64)
+        return others[7 * overlap >= 3 * (n + m)]
+
+
+def _array(t: pa.Table, name: str) -> np.ndarray:
+    return t.column(name).to_numpy()
+
+
+def _tile_of(t: pa.Table) -> Tile:
+    own = t.column("own").combine_chunks()
+    return Tile(own.chunk(0) if isinstance(own, pa.ChunkedArray) else own, _array(t, "n"), _array(t, "low"))
+
+
+def _forest(t: pa.Table) -> pa.Table:
+    """Links (a, b) that connect what the rows (role not 2) and columns (role not 1) of a tile connect, components being known."""
+    made_a, made_b = [], []
+    tile, node, role, of = _tile_of(t), _array(t, "node"), _array(t, "role"), np.array(_array(t, "component"))
+    place = np.arange(len(node))
+    for a in np.flatnonzero(role < 2).tolist():
+        others = np.flatnonzero(tile.fits(a) & (of != of[a]) & (role != 1) & ((role != 0) | (place > a)))
+        if not len(others):
+            continue
+        for b in tile.linked(a, others).tolist():
+            if of[b] != of[a]:
+                made_a.append(node[a])
+                made_b.append(node[b])
+                of[of == of[b]] = of[a]
+    return pa.table({"a": pa.array(made_a, pa.int64()), "b": pa.array(made_b, pa.int64())})
+
+
+def _degrees(t: pa.Table) -> pa.Table:
+    """(node, linked): documents that a node's class links with, of the pairs of this tile; a pair counts in the first block that both are in."""
+    tile, node, role, weight = _tile_of(t), _array(t, "node"), _array(t, "role"), _array(t, "class_size")
+    lead, leads, place, total = t.column("lead")[0].as_py(), t.column("leads").to_pylist(), np.arange(len(node)), np.zeros(len(node), np.int64)
+    several = np.array([len(x) > 1 for x in leads])
+    for a in np.flatnonzero(role < 2).tolist():
+        others = np.flatnonzero(tile.fits(a) & (node != node[a]) & (role != 1) & ((role != 0) | (place > a)))
+        linked = tile.linked(a, others) if len(others) else others
+        if several[a] and several[linked].any():
+            own = set(leads[a])
+            linked = linked[[min(own.intersection(leads[b])) == lead for b in linked]]
+        total[a] += weight[linked].sum()
+        total[linked] += weight[a]
+    return pa.table({"node": node, "linked": total})
+
+
+def _blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``members`` (node, lead, band, ...) with n, own, low and tiles, their number in the block."""
+    placed = members.join(sets.select("node", "n"), "node")
+    size = placed.groupBy("lead", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") * 8 / TILE_BYTES)).cast("int").alias("tiles"))
+    low = F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int") == F.col("band")
+    return members.join(size, ["lead", "band"]).join(sets, "node").withColumn("low", low)
+
+
+def _tile_number(column: str, tiles) -> F.Column:
+    return F.pmod(F.xxhash64(F.lit(3), F.col(column)), tiles).cast("int")
+
+
+def _first_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links within tiles. The lead is in all tiles of its block."""
+    every = F.when(F.col("node") == F.col("lead"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(_tile_number("node", F.col("tiles"))))
+    placed = _blocks(members, sets).select("lead", "band", "node", "n", "own", "low", F.lit(0).alias("role"), F.col("node").alias("component"), F.explode(every).alias("tile"))
+    return common.cut(placed.groupBy("lead", "band", "tile").applyInArrow(_forest, "a bigint, b bigint"))
+
+
+def _later_links(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame | None:
+    """Links between the tiles of a block, of nodes that are not yet in one component."""
+    blocks_ = members.join(sets.select("node", "n"), "node").groupBy("lead", "band").agg(F.count(F.lit(1)).alias("cnt"), (F.sum("n") * 8).alias("bytes"))
+    large = common.cut(members.join(blocks_.where(f"cnt > {TILE} or bytes > {TILE_BYTES}"), ["lead", "band"]))
+    if large.isEmpty():
+        return None
+    of = components(found)
+    large = large.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counts = large.groupBy("lead", "band", "component").agg(F.count(F.lit(1)).alias("size"))
+    most = counts.groupBy("lead", "band").agg(F.max(F.struct("size", "component")).getField("component").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    large = large.join(most, ["lead", "band"]).select("node", "lead", "band", "component", (F.col("component") != F.col("main")).alias("minor"))
+    placed = _blocks(common.cut(large), sets)
+    kept = ["lead", "band", "node", "n", "own", "low", "component"]
+    every, own = F.sequence(F.lit(0), F.col("tiles") - 1), _tile_number("node", F.col("tiles"))
+    rows = placed.where("minor").select(*kept, F.lit(1).alias("role"), own.alias("row"), F.explode(every).alias("col"))
+    cols = placed.select(*kept, F.lit(2).alias("role"), F.explode(every).alias("row"), own.alias("col"))
+    return common.cut(rows.union(cols).groupBy("lead", "band", "row", "col").applyInArrow(_forest, "a bigint, b bigint"))
+
+
+def _counted_links(members: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(node, linked) by comparing all pairs of each block, tile by tile."""
+    leads = members.groupBy("node", "band").agg(F.collect_list("lead").alias("leads"))
+    placed = _blocks(members.join(leads, ["node", "band"]).join(sizes, "node"), sets).withColumn("t", _tile_number("node", F.col("tiles")))
+    kept = ["lead", "band", "node", "n", "own", "low", "class_size", "leads"]
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least("t", k).alias("row"), F.greatest("t", k).alias("col")))
+    placed = placed.select(*kept, "t", F.explode(pairs).alias("at")).select(*kept, "at.*", F.expr("if(at.row = at.col, 0, if(t = at.row, 1, 2))").alias("role"))
+    return placed.groupBy("lead", "band", "row", "col").applyInArrow(_degrees, "node bigint, linked bigint").groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_component: bool = False, with_links: bool = False) -> DataFrame:
@@ -352,55 +293,43 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_c
 
     With ``with_component`` also component: a number that the rows of one component of
     several rows share, null for a row alone. It tells components apart where ids are null or shared.
-    With ``with_links`` also n_links: the number of other rows that the row links with. For that
-    every pair of classes is verified, in place of the stars.
+    With ``with_links`` also n_links: the number of other rows that the row links with; for that
+    all pairs of each block are compared, not only those of different components.
     """
-    made = ("n_shingles", "class_size", "component_id", *(["component"] if with_component else []), *(["n_links"] if with_links else []))
-    carried = [c for c in docs.columns if c not in (*made, id_col, text_col)]
-    whole = docs.select(F.col(f"`{id_col}`").alias("__id"), common.text_or_empty(F.col(f"`{text_col}`")).alias("__text"), *[F.col(f"`{c}`") for c in carried])
-    types = dict(whole.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in ["__id", *carried]) + ", n bigint, m bigint, sig binary, region array<bigint>, bits binary, bands array<bigint>"
-    rows = whole.mapInArrow(tidy(_summaries), schema)
-    classes = rows.where("n > 0").groupBy("sig").agg(
-        F.min("__id").alias("rep"), F.count(F.lit(1)).alias("class_size"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.first("region").alias("region")
-    )
+    whole = common.packed(docs, id_col, text_col)
+    schema = common.with_fields(whole, ["__id", "__rest"], "n int, m int, s1 bigint, s2 bigint, region array<bigint>")
+    rows = common.cut(whole.mapInArrow(tidy(_summaries), schema))
+    classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("__id").alias("rep"), F.count(F.lit(1)).alias("class_size"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("region").alias("region"))
     classes = common.cut(classes.withColumn("node", F.monotonically_increasing_id()))
     common.release(docs.sparkSession)
-    nodes = common.cut(classes.drop("region"))
-    run = _Join(whole.select("__id", "__text"), nodes)
-    for k in range(0 if with_links else STAR_ROUNDS):
-        placed = common.cut(run.labelled(nodes.select("node", F.explode(F.slice("bands", 1 + k * STAR_BANDS, STAR_BANDS)).alias("key"))))
-        ends = placed.groupBy("key").agg(F.min(F.struct("component", "node")).alias("lo"), F.max(F.struct("component", "node")).alias("hi")).where("lo.component != hi.component")
-        led = placed.join(ends, "key").select("node", F.when(F.col("component") != F.col("lo.component"), F.col("lo.node")).otherwise(F.col("hi.node")).alias("lead"))
-        led = led.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max(F.struct("k", "lead")).alias("best"))
-        run.add(led.select(F.col("node").alias("a"), F.col("best.lead").alias("b")))
-    shared = _shared(classes, run)
-    del classes
+
+    able = _met(_of_regions(classes))
+    able_nodes = common.cut(able.select("node").distinct().join(classes.select("node", "n", "s1", "s2"), "node"))
+    common.drop(able)
+    common.release(docs.sparkSession)
+    wanted = common.members(able_nodes.select("s1"))
+    sets = whole.select("__text").mapInArrow(tidy(_whole_sets(wanted)), "s1 bigint, s2 bigint, own array<bigint>").dropDuplicates(["s1", "s2"])
+    sets = common.cut(able_nodes.join(sets, ["s1", "s2"]).select("node", "n", "own"))
+    common.release(docs.sparkSession)
+
+    members = _met(_of_sets(sets))
+    common.release(docs.sparkSession)
+    links = _first_links(members, sets)
+    if (more := _later_links(members, sets, links)) is not None:
+        links = links.union(more)
+    nodes = classes.select("node", "s1", "s2", "rep", "class_size")
+    labels = nodes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labels = labels.join(labels.groupBy("component").agg(F.min("rep").alias("label"), F.sum("class_size").alias("rows")).where("rows > 1"), "component")
+    if with_links:
+        labels = labels.join(_counted_links(members, sets, classes.select("node", "class_size")), "node", "left").withColumn("n_links", F.col("class_size") - 1 + F.coalesce("linked", F.lit(0)))
+    else:
+        labels = labels.withColumn("n_links", F.lit(0))
+    labels = common.cut(labels.select("s1", "s2", "class_size", "label", "component", "n_links"))
+    common.drop(classes, able_nodes, sets, members)
     common.release(docs.sparkSession)
-    for k in range(0 if with_links else LEAD_ROUNDS):
-        placed = common.cut(run.labelled(shared))
-        # a pseudo-random node of the lowest and of the highest component, others in each round
-        pick = F.struct("component", F.xxhash64(F.lit(k), F.col("node")).alias("r"), "node")
-        ends = placed.groupBy("h").agg(F.min(pick).alias("lo"), F.max(pick).alias("hi")).where("lo.component != hi.component")
-        led = placed.join(ends, "h").select("node", F.when(F.col("component") != F.col("lo.component"), F.col("lo.node")).otherwise(F.col("hi.node")).alias("lead"))
-        led = led.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "lead")), asc=False), 1, LEADS).alias("best"))
-        run.add(led.select(F.col("node").alias("a"), F.explode("best.lead").alias("b")))
-    run.add(_candidates(common.cut(run.labelled(shared)), nodes))  # without stars each node is a component: all links
-    found = run.links
-
-    labels = run.labelled(nodes.select("node", "sig", "rep", "class_size"))
-    labels = labels.join(labels.groupBy("component").agg(F.min("rep").alias("label"), F.sum("class_size").alias("rows")), "component")
-    labels = labels.where("rows > 1")
+    made = {"n_shingles": F.col("n").cast("long"), "class_size": F.coalesce("class_size", F.lit(1)).cast("long"), "component_id": F.coalesce("label", "__id")}
+    if with_component:
+        made["component"] = F.col("component")
     if with_links:
-        ends = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        sizes = nodes.select(F.col("node").alias("b"), F.col("class_size").alias("size"))
-        linked = ends.join(sizes, "b").groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("linked"))
-        labels = labels.join(linked, "node", "left").withColumn("n_links", F.col("class_size") - 1 + F.coalesce("linked", F.lit(0)))
-    more = [c for c, wanted in (("component", with_component), ("n_links", with_links)) if wanted]
-    labels = common.cut(labels.select("sig", "class_size", "label", *more))
-    out = common.attach(rows.select(*[f"`{c}`" for c in ["__id", *carried]], "n", "sig"), labels, "sig", "__id")
-    return out.select(
-        F.col("__id").alias(id_col), *[F.col(f"`{c}`") for c in carried], F.col("n").alias("n_shingles"),
-        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("label", "__id").alias("component_id"),
-        *([F.col("component")] if with_component else []), *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if with_links else []),
-    )
+        made["n_links"] = F.coalesce("n_links", F.lit(0)).cast("long")
+    return rows.drop("region").join(labels, ["s1", "s2"], "left").select(*common.unpacked(docs, id_col, text_col, made))

@@ -244,41 +244,36 @@ def test_ngram_jaccard(docs, empty):
     assert ngram_jaccard.join(empty).count() == 0
 
 
-def test_ngram_jaccard_of_a_large_near_copy_group(spark, monkeypatch):
-    """Chains of edits at the threshold, without any star round and with tiny tiles: candidates alone must find all links."""
-    rng = random.Random(4)
-    base = [f"w{k}" for k in range(80)]
-    rows = []
-    for i in range(60):
-        words = list(base)
-        for k in rng.sample(range(80), rng.randint(0, 4)):
+def near_copies(seed, n):
+    """Texts at the threshold: chains of edits of one text, among them some that link with none."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        words = [f"w{k}" for k in range(80)]
+        for k in rng.sample(range(80), rng.choice([0, 1, 2, 3, 4, 6])):
             words[k] = f"e{rng.randint(0, 5)}"
         rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize(("tile", "size"), [(1024, 8 << 20), (7, 8 << 20), (1024, 3000)])
+def test_ngram_jaccard_of_near_copies_over_many_tiles(spark, monkeypatch, tile, size):
+    monkeypatch.setattr(ngram_jaccard, "TILE", tile)
+    monkeypatch.setattr(ngram_jaccard, "TILE_BYTES", size)
+    rows = near_copies(4, 60)
     want, links = brute_components(rows)
     assert len(links) > 100
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    for stars, leads, small, tile in ((2, 2, 64, 1024), (0, 0, 2, 7)):
-        monkeypatch.setattr(ngram_jaccard, "STAR_ROUNDS", stars)
-        monkeypatch.setattr(ngram_jaccard, "LEAD_ROUNDS", leads)
-        monkeypatch.setattr(ngram_jaccard, "SMALL_TILE", small)
-        monkeypatch.setattr(ngram_jaccard, "TILE", tile)
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.join(df).collect()}
-        assert got == want
+    assert len({c for _, c in want.values()}) > 3
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
 
 
-def test_ngram_jaccard_counts_every_link(spark, docs, empty, monkeypatch):
+@pytest.mark.parametrize("tile", [1024, 7])
+def test_ngram_jaccard_counts_every_link(spark, docs, empty, monkeypatch, tile):
     """Links inside near-copy groups and between copies, whatever the tiles."""
-    rng = random.Random(5)
-    rows = []
-    for i in range(50):
-        words = [f"w{k}" for k in range(80)]
-        for k in rng.sample(range(80), rng.randint(0, 4)):
-            words[k] = f"e{rng.randint(0, 5)}"
-        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(ngram_jaccard, "TILE", tile)
+    rows = near_copies(5, 50)
     rows += [(100 + i, rows[i % 3][1].upper()) for i in range(6)] + [(200, "alone"), (201, ""), (202, None), (203, "")]
-    for df, own, small, tile in ((docs, corpus(), 64, 1024), (spark.createDataFrame(rows, "doc_id long, text string"), rows, 2, 7)):
-        monkeypatch.setattr(ngram_jaccard, "SMALL_TILE", small)
-        monkeypatch.setattr(ngram_jaccard, "TILE", tile)
+    for df, own in ((docs, corpus()), (spark.createDataFrame(rows, "doc_id long, text string"), rows)):
         want, links = brute_components(own)
         ends = Counter(x for pair in links for x in pair)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_jaccard.join(df, with_links=True).collect()}
@@ -287,12 +282,45 @@ def test_ngram_jaccard_counts_every_link(spark, docs, empty, monkeypatch):
     assert ngram_jaccard.join(empty, with_links=True).count() == 0
 
 
-def test_bitmap_bound_is_an_upper_bound():
+def test_ngram_jaccard_of_null_ids_repeated_rows_and_clashing_columns(spark):
+    """Ids may be null or shared; every other column comes back whatever its name."""
+    a, b, c = " ".join(map(str, range(40))), " ".join(map(str, range(39))), " ".join(map(str, range(100, 140)))
+    rows = [(None, a), (5, a), (5, c), (3, b), (3, b), (None, c.upper()), (9, "x " * 200_000 + "y"), (None, "word"), (None, "word"), (None, ""), (1, None)]
+    names = ["n", "m", "s1", "s2", "sig", "region", "bits", "bands", "label", "component", "node", "lead", "class_size", "__own", "a b.c"]
+    df = spark.createDataFrame([(i, t, *[f"{k}{j}" for j in range(len(names))]) for k, (i, t) in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = sorted((r.asDict() for r in ngram_jaccard.join(df).collect()), key=lambda r: int(r["n"][:-1]))
+    assert [(r["doc_id"], r["component_id"], r["class_size"]) for r in got] == [
+        (None, 3, 2), (5, 3, 2), (5, 5, 2), (3, 3, 2), (3, 3, 2), (None, 5, 2), (9, 9, 1), (None, None, 2), (None, None, 2), (None, None, 1), (1, 1, 1)
+    ]
+    assert [r["a b.c"] for r in got] == [f"{k}14" for k in range(len(rows))]
+    assert set(got[0]) == {*df.columns, "n_shingles", "component_id"} - {"text"}
+
+
+def test_tile_finds_links_by_bitmaps_and_arrays():
+    """The bound is never below the overlap, and what a tile finds is what sets say."""
     rng = np.random.default_rng(2)
-    for _ in range(50):
-        pool = rng.integers(-(1 << 62), 1 << 62, 300)
-        x, y = np.unique(rng.choice(pool, rng.integers(1, 200))), np.unique(rng.choice(pool, rng.integers(1, 200)))
-        assert ngram_jaccard.most_common(ngram_jaccard.bitmap(x), len(x), ngram_jaccard.bitmap(y), len(y)) >= len(np.intersect1d(x, y))
+    pool = rng.integers(-(1 << 62), 1 << 62, 60)
+    sets = [np.sort(rng.choice(np.unique(pool), rng.integers(40, 60), replace=False)) for _ in range(80)]
+    n = np.array([len(s) for s in sets])
+    tile = ngram_jaccard.Tile(ngram_jaccard.lists(sets), n, np.ones(len(sets), bool))
+    found = 0
+    for a in range(len(sets)):
+        others = np.delete(np.arange(len(sets)), a)
+        want = [b for b in others.tolist() if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))]
+        assert tile.linked(a, others).tolist() == want
+        assert set(want) <= set(np.flatnonzero(tile.fits(a)).tolist())
+        found += len(want)
+    assert found > 50
+
+
+def test_members_hold_every_key(spark):
+    from hashlib import blake2b
+
+    keys = [int.from_bytes(blake2b(str(k).encode(), digest_size=8).digest(), "little", signed=True) for k in range(5000)]
+    filled = common.members(spark.createDataFrame([(k,) for k in keys[:2000]], "k long")).value
+    got = common.is_member(filled, np.array(keys, np.int64))
+    assert got[:2000].all()
+    assert got[2000:].mean() < 0.05
 
 
 def test_components_of_chains_and_stars(spark):
