@@ -312,14 +312,18 @@ class Codec:
         base = np.append(before, ends[-1] if len(ends) else 0)[first[:-1]]
         return (before - np.repeat(base, np.diff(first))).astype(np.int32)
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of the ids, concatenated."""
+    def decode(self, ids: np.ndarray, begin: np.ndarray | None = None) -> np.ndarray:
+        """The bytes of the ids: each token at its place ``begin``, or one after the other."""
         sizes = self.length[ids]
         if len(sizes) and sizes.min() < 0:
             raise ValueError("an id has no token")
         ends = np.cumsum(sizes)
+        if begin is None:
+            begin = ends - sizes
+        elif not np.array_equal(begin, ends - sizes):
+            raise ValueError("offsets don't fit the ids")
         total = int(ends[-1]) if len(ends) else 0
-        return self.bytes[np.arange(total) + np.repeat(self.start[ids] - (ends - sizes), sizes)]
+        return self.bytes[np.arange(total) + np.repeat(self.start[ids] - begin, sizes)]
 
 
 @lru_cache(maxsize=2)
@@ -327,11 +331,10 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _encode(path: str, with_offsets: bool):
+def _encode(path: str, kept: list[str], with_offsets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            kept = [c for c in batch.schema.names if c != "__text"]
             for begin, end, data, offsets in blocks(batch.column("__text"), BLOCK):
                 ids, first = own.encode(data, offsets)
                 ends = pa.array(first, pa.int32())
@@ -350,16 +353,18 @@ def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            lists = batch.column("ids")
+            lists, places = batch.column("__ids"), batch.column("__offsets")
             at = lists.offsets.to_numpy().astype(np.int64)
             ids = lists.values.to_numpy(zero_copy_only=False)
-            first, n = 0, len(lists)
+            where = None if places.null_count else places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            first, n, base = 0, len(lists), at[0]
             while first < n:
                 end = min(n, max(first + 1, int(np.searchsorted(at, at[first] + BLOCK // 4, "right")) - 1))
                 own_ids = ids[at[first] : at[end]]
                 ends = np.concatenate(([0], np.cumsum(own.length[own_ids])))[at[first : end + 1] - at[first]]
-                made = pa.Array.from_buffers(pa.large_binary(), end - first, [None, pa.py_buffer(ends), pa.py_buffer(own.decode(own_ids))])
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, made.cast(pa.binary())], [*batch.schema.names, "decoded"])
+                begin = None if where is None else where[at[first] - base : at[end] - base] + np.repeat(ends[:-1], np.diff(at[first : end + 1]))
+                made = pa.Array.from_buffers(pa.large_binary(), end - first, [None, pa.py_buffer(ends), pa.py_buffer(own.decode(own_ids, begin))])
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, made.cast(pa.binary())], [*batch.schema.names, "__decoded"])
                 first = end
 
     return tidy(run)
@@ -367,15 +372,23 @@ def _decode(path: str):
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", keep_text: bool = False, with_offsets: bool = True) -> DataFrame:
     """``docs`` (without the text unless ``keep_text``) with ids and the byte offset of each token."""
-    carried = [c for c in docs.columns if c not in ("ids", "offsets") and (keep_text or c != text_col)]
-    whole = docs.select(common.text_or_empty(F.col(f"`{text_col}`")).alias("__text"), *[F.col(f"`{c}`") for c in carried])
-    types = dict(whole.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in carried), "ids array<int>"]) + ", offsets array<int>" * with_offsets
-    return whole.mapInArrow(_encode(path, with_offsets), schema)
+    whole = common.packed(docs, text_col, nulls=True)
+    kept = ["__rest", "__text"] if keep_text else ["__rest"]
+    schema = common.with_fields(whole, kept, "ids array<int>" + ", offsets array<int>" * with_offsets)
+    made = {"ids": F.col("ids")} | ({"offsets": F.col("offsets")} if with_offsets else {})
+    return whole.mapInArrow(_encode(path, kept, with_offsets), schema).select(*common.unpacked(docs, text_col, made, text=F.col("__text") if keep_text else None))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Adds decoded (binary) from ids; null ids decode to no bytes."""
-    own = encoded.select(*[F.col(f"`{c}`") for c in encoded.columns if c not in ("ids", "decoded")], F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    types = dict(own.dtypes)
-    return own.mapInArrow(_decode(path), ", ".join(f"`{c}` {types[c]}" for c in own.columns) + ", decoded binary")
+    """Adds decoded (binary) from ids and offsets, each token's bytes at its offset; offsets that don't fit are an error.
+
+    Null ids decode to no bytes. Without a column of offsets, tokens follow one another.
+    """
+    none = F.array().cast("array<int>")
+    ids = F.coalesce(F.col("ids").cast("array<int>"), none)
+    places = F.coalesce(F.col("offsets").cast("array<int>"), none) if "offsets" in encoded.columns else F.lit(None).cast("array<int>")
+    rest = [F.col(f"`{c}`") for c in encoded.columns if c not in ("ids", "offsets", "decoded")]
+    whole = encoded.select((F.struct(*rest) if rest else F.lit(None).cast("int")).alias("__row"), ids.alias("__ids"), places.alias("__offsets"))
+    out = whole.mapInArrow(_decode(path), common.with_fields(whole, whole.columns, "__decoded binary"))
+    made = {"ids": F.col("__ids"), "offsets": F.col("__offsets")}
+    return out.select(*[made.get(c, F.col("__row").getField(c)).alias(c) for c in encoded.columns if c != "decoded"], F.col("__decoded").alias("decoded"))

@@ -84,21 +84,23 @@ def drop(*frames: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """__id, __text (null is empty) and __rest, a struct of all other columns, so that none can clash with an operator's own."""
+def packed(docs: DataFrame, text_col: str, id_col: str | None = None, nulls: bool = False) -> DataFrame:
+    """__id (if named), __text (a null is empty unless ``nulls``) and __rest, a struct of all other columns, so that none can clash with an operator's own."""
     rest = [F.col(f"`{f.name}`") for f in docs.schema if f.name not in (id_col, text_col) and not isinstance(f.dataType, T.NullType)]
     rest = F.struct(*rest) if rest else F.lit(None).cast("int")
-    return docs.select(F.col(f"`{id_col}`").alias("__id"), text_or_empty(F.col(f"`{text_col}`")).alias("__text"), rest.alias("__rest"))
+    text = F.col(f"`{text_col}`")
+    first = [F.col(f"`{id_col}`").alias("__id")] if id_col else []
+    return docs.select(*first, (text.cast("string") if nulls else text_or_empty(text)).alias("__text"), rest.alias("__rest"))
 
 
-def unpacked(docs: DataFrame, id_col: str, text_col: str, made: dict[str, Column], text: Column | None = None) -> list[Column]:
+def unpacked(docs: DataFrame, text_col: str, made: dict[str, Column], id_col: str | None = None, text: Column | None = None) -> list[Column]:
     """What to select of a packed frame: the columns of ``docs`` in their order, the text only if given, then ``made``, which replaces columns of its names."""
     out = []
     for f in docs.schema:
         if f.name == id_col:
-            out.append(F.col("__id").alias(id_col))
+            out.append(F.col("__id").alias(f.name))
         elif f.name == text_col:
-            out += [] if text is None else [text.alias(text_col)]
+            out += [] if text is None else [text.alias(f.name)]
         elif f.name not in made:
             out.append((F.lit(None) if isinstance(f.dataType, T.NullType) else F.col("__rest").getField(f.name)).alias(f.name))
     return out + [c.alias(name) for name, c in made.items()]
@@ -140,28 +142,21 @@ def is_member(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return found
 
 
-#: Rows of a narrow table that may be broadcast. The row count is checked before each use.
-BROADCAST_ROWS = 100_000
+#: Bytes of a narrow table that may be broadcast. They are counted before each use.
+BROADCAST_BYTES = 8 << 20
 
 
-def attach(big: DataFrame, small: DataFrame, key: str, salt_by: str, how: str = "left", salts: int = 32, most_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join ``small`` (one row a key, already cut) to ``big`` on a null-safe key.
+def attach(big: DataFrame, small: DataFrame, key: str, salt_by: str, salts: int = 32, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Left join of ``small`` (one row a key, already cut, numbers beside the key) to ``big`` on a null-safe key.
 
-    Broadcast if ``small`` has at most ``most_rows`` rows. Beyond that both sides are
-    salted, so that a key holding a third of ``big`` is spread over ``salts`` tasks; one
-    salt is for keys of which ``big`` has few rows, such as document ids.
+    Broadcast if ``small`` has at most ``most_bytes``. Beyond that both sides are
+    salted, so that a key holding a third of ``big`` is spread over ``salts`` tasks.
     """
     right = small.withColumnRenamed(key, "__key")
-    if small.count() <= most_rows:
-        return big.join(F.broadcast(right), big[key].eqNullSafe(right["__key"]), how).drop("__key")
-    if salts == 1:
-        return big.join(right.hint("merge"), big[key].eqNullSafe(right["__key"]), how).drop("__key")
+    size = small.agg(F.sum(F.lit(16 * len(small.columns)) + F.coalesce(F.octet_length(F.col(key).cast("string")), F.lit(0)))).first()[0] or 0
+    if size <= most_bytes:
+        return big.join(F.broadcast(right), big[key].eqNullSafe(right["__key"]), "left").drop("__key")
     right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     left = big.withColumn("__salt0", F.pmod(F.xxhash64(F.col(salt_by)), F.lit(salts)).cast("int"))
     on = left[key].eqNullSafe(right["__key"]) & (left["__salt0"] == right["__salt"])
-    return left.join(right, on, how).drop("__key", "__salt", "__salt0")
-
-
-def pick(df: DataFrame, *names: str) -> list[str]:
-    """The columns of ``df`` other than ``names``, quoted; for carrying extra columns."""
-    return [f"`{c}`" for c in df.columns if c not in names]
+    return left.join(right, on, "left").drop("__key", "__salt", "__salt0")

@@ -7,13 +7,15 @@ share a recipe go on, and their chunks are verified by content: chunks are dedup
 hash and bytes, and a hash found with two contents makes its chunks be told apart. Then
 documents are equal exactly if their lists of verified chunk identifiers are equal.
 
-Whole texts never move: distinct chunks of suspected documents do, once, after map-side
-deduplication. Groups are formed by counts and maxima, so a group may be of any size.
+Whole texts never leave their task, at any size: a filter of the shared recipes is broadcast, each
+task cuts the suspected texts again, and their distinct chunks are shuffled, after
+deduplication in the task. Groups are formed by counts and maxima, so a group may be of any size.
 
 Edge cases: null counts as the empty text, whose recipe is empty; texts of any length are
 cut by the same rule; on ties of the id (repeated rows) each row is a member of the group
-and all rows with the kept id are kept; an empty table gives an empty result; extra columns
-are carried, and replaced where they clash with results.
+and all rows with the kept id are kept; a null id is below all others, so it is kept only where
+all ids of its group are null; an empty table gives an empty result; extra columns
+are carried, whatever their names, and replaced where they clash with results.
 """
 
 from __future__ import annotations
@@ -27,10 +29,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .npbytes import tidy
 
 AVERAGE = 2048
 LONGEST = 16384
 SPAN = 32
+#: Bits of a chunk's hash. Fewer only make more chunks to be told apart by content.
+HASH_BITS = 64
 #: Bytes of text that a task handles at once, apart from single longer texts.
 BLOCK = 2 << 20
 
@@ -68,95 +73,112 @@ def boundaries(data: np.ndarray, average: int = AVERAGE, longest: int = LONGEST)
     return np.array(ends, np.int64)
 
 
-def chunks(data: bytes) -> list[tuple[int, bytes]]:
-    """(64-bit hash, bytes) of each chunk, in order."""
+def chunks(data: bytes, bits: int = HASH_BITS) -> list[tuple[int, bytes]]:
+    """(hash, bytes) of each chunk, in order; the hash is cut to ``bits``."""
     out, start = [], 0
     for end in boundaries(np.frombuffer(data, np.uint8)).tolist():
         piece = data[start:end]
-        out.append((int(np.uint64(xxhash.xxh3_64_intdigest(piece)).view(np.int64)), piece))
+        out.append((int(np.uint64(xxhash.xxh3_64_intdigest(piece) >> (64 - bits)).view(np.int64)), piece))
         start = end
     return out
 
 
-def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds recipe and digest in place of the text; the digest is 128 bits of the recipe."""
-    for batch in batches:
-        hashes, ends, digests = [], [0], []
-        for text in batch.column("__text"):
-            own = chunks(text.as_py().encode())
-            hashes += [h for h, _ in own]
-            ends.append(len(hashes))
-            listed = np.array([(h, len(b)) for h, b in own], np.int64).tobytes()
-            digests.append(xxhash.xxh3_128_digest(listed))
-        recipe = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes, pa.int64()))
-        kept = [c for c in batch.schema.names if c != "__text"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], recipe, pa.array(digests, pa.binary())], [*kept, "recipe", "digest"])
+def digest(recipe: list[tuple[int, bytes]]) -> bytes:
+    """128 bits of the hashes and lengths of a recipe."""
+    return xxhash.xxh3_128_digest(np.array([(h, len(b)) for h, b in recipe], np.int64).tobytes())
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) to distinct (hash, piece) within blocks of texts."""
+def _recipes(bits: int):
+    """Adds recipe and its digest (d1, d2) in place of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, ends, digests = [], [0], []
+            for text in batch.column("__text"):
+                own = chunks(text.as_py().encode(), bits)
+                found += [h for h, _ in own]
+                ends.append(len(found))
+                digests.append(digest(own))
+            recipe = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found, pa.int64()))
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in KEPT], recipe, pa.array(halves[:, 0]), pa.array(halves[:, 1])], [*KEPT, "recipe", "d1", "d2"])
+
+    return tidy(run)
+
+
+KEPT = ["__id", "__rest", "__sha"]
+
+
+def _suspected(texts: pa.Array, filled: np.ndarray, bits: int) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """(row, chunks) of the texts whose recipe may be in the filter."""
+    for i, text in enumerate(texts):
+        own = chunks(text.as_py().encode(), bits)
+        if common.is_member(filled, np.frombuffer(digest(own)[:8], np.int64))[0]:
+            yield i, own
+
+
+def _pieces(wanted, bits: int):
+    """(text) to distinct (hash, piece) of suspected texts, within blocks of them."""
     schema = pa.schema([("hash", pa.int64()), ("piece", pa.binary())])
-    seen, held = {}, 0
-
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.int64()), pa.array([b for _, b in seen], pa.binary())], schema=schema)
-
-    for batch in batches:
-        for text in batch.column("__text"):
-            for h, piece in chunks(text.as_py().encode()):
-                if (h, piece) not in seen:
-                    seen[h, piece] = True
-                    held += len(piece)
-            if held > 4 * BLOCK:
-                yield out()
-                seen, held = {}, 0
-    if seen:
-        yield out()
-
-
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sha, text) to (sha, place, hash, piece): every chunk of the documents that have an ambiguous hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held = {}, 0
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.int64()), pa.array([b for _, b in seen], pa.binary())], schema=schema)
+        for batch in batches:
+            for _, own in _suspected(batch.column("__text"), wanted.value, bits):
+                for h, piece in own:
+                    if (h, piece) not in seen:
+                        seen[h, piece] = True
+                        held += len(piece)
+                if held > 4 * BLOCK:
+                    yield out()
+                    seen, held = {}, 0
+        if seen:
+            yield out()
+
+    return tidy(run)
+
+
+def _numbered(wanted, bits: int):
+    """(sha, text) to (sha, place, hash, piece): every chunk of the documents that may have an ambiguous hash."""
     schema = pa.schema([("__sha", pa.string()), ("place", pa.int32()), ("hash", pa.int64()), ("piece", pa.binary())])
-    for batch in batches:
-        for sha, text in zip(batch.column("__sha").to_pylist(), batch.column("__text"), strict=True):
-            own = chunks(text.as_py().encode())
-            yield pa.RecordBatch.from_pydict({"__sha": [sha] * len(own), "place": list(range(len(own))), "hash": [h for h, _ in own], "piece": [b for _, b in own]}, schema=schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, own in _suspected(batch.column("__text"), wanted.value, bits):
+                sha = batch.column("__sha")[i].as_py()
+                yield pa.RecordBatch.from_pydict({"__sha": [sha] * len(own), "place": list(range(len(own))), "hash": [h for h, _ in own], "piece": [b for _, b in own]}, schema=schema)
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return tidy(run)
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = HASH_BITS) -> DataFrame:
     """``docs`` without the text, with keep_id, group_size, kept, text_sha256 and recipe.
 
     Of equal texts the row with the largest id is kept.
     """
-    made = ("keep_id", "group_size", "kept", "text_sha256", "recipe")
-    carried = [c for c in docs.columns if c not in (*made, text_col, id_col)]
-    whole = docs.select(F.col(f"`{id_col}`").alias("__id"), common.ascii_lower(common.text_or_empty(F.col(f"`{text_col}`"))).alias("__text"), *[F.col(f"`{c}`") for c in carried])
-    whole = whole.withColumn("__sha", F.sha2(F.col("__text").cast("binary"), 256))
-    names = ["__id", *carried, "__sha"]
-    types = dict(whole.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in names) + ", recipe array<bigint>, digest binary"
-    made_recipes = common.cut(whole.select("__text", *[f"`{c}`" for c in names]).mapInArrow(_recipes, schema))
-
-    shared = common.cut(made_recipes.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    suspects = common.attach(made_recipes.select("__id", "__sha", "digest"), shared, "digest", "__id", how="inner")
-    ids = common.cut(suspects.select("__id").distinct())
-    texts = common.attach(whole.select("__id", "__sha", "__text"), ids, "__id", "__sha", how="inner", salts=1)
-    pieces = texts.select("__text").mapInArrow(_pieces, "hash bigint, piece binary").distinct()
+    whole = common.packed(docs, text_col, id_col).withColumn("__text", common.ascii_lower(F.col("__text"))).withColumn("__sha", F.sha2(F.col("__text").cast("binary"), 256))
+    made = common.cut(whole.mapInArrow(_recipes(hash_bits), common.with_fields(whole, KEPT, "recipe array<bigint>, d1 bigint, d2 bigint")))
+
+    shared = made.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    wanted = common.members(common.cut(shared.select("d1")))
+    pieces = common.cut(whole.select("__text").mapInArrow(_pieces(wanted, hash_bits), "hash bigint, piece binary").distinct())
     ambiguous = common.cut(pieces.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
 
-    listed = made_recipes.withColumn("variants", F.lit(None).cast("array<int>"))
+    listed = made.withColumn("variants", F.array().cast("array<int>"))
     if not ambiguous.isEmpty():  # chunks of one hash and several contents are numbered by content
-        numbers = common.cut(pieces.join(ambiguous, "hash").select("hash", "piece", (F.row_number().over(Window.partitionBy("hash").orderBy("piece")) - 1).alias("variant")))
-        doubtful = made_recipes.select("__sha", F.explode("recipe").alias("hash")).join(ambiguous, "hash").select("__sha").distinct()
-        every = texts.join(doubtful, "__sha", "left_semi").dropDuplicates(["__sha"]).select("__sha", "__text").mapInArrow(_numbered, "__sha string, place int, hash bigint, piece binary")
-        lists = every.join(numbers, ["hash", "piece"]).groupBy("__sha").agg(F.sort_array(F.collect_list(F.struct("place", "variant"))).alias("v"))
-        listed = made_recipes.join(lists.select("__sha", F.transform("v", lambda x: x["variant"]).alias("variants")), "__sha", "left")
-    listed = listed.withColumn("__same", F.struct("digest", "recipe", F.coalesce("variants", F.array().cast("array<int>")).alias("variants")))
-    groups = listed.groupBy("__same").agg(F.max("__id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    out = common.attach(listed, common.cut(groups), "__same", "__id")
-    size = F.coalesce("group_size", F.lit(1)).cast("long")
+        numbers = pieces.join(ambiguous, "hash").select("hash", "piece", (F.row_number().over(Window.partitionBy("hash").orderBy("piece")) - 1).alias("variant"))
+        doubtful = common.cut(made.select("d1", "__sha", F.explode("recipe").alias("hash")).join(ambiguous, "hash").select("d1", "__sha").distinct())
+        every = whole.select("__sha", "__text").mapInArrow(_numbered(common.members(doubtful.select("d1")), hash_bits), "__sha string, place int, hash bigint, piece binary")
+        every = every.dropDuplicates(["__sha", "place"]).join(doubtful.select("__sha").distinct(), "__sha")
+        numbered = every.join(numbers, ["hash", "piece"], "left").groupBy("__sha").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("variant", F.lit(-1)).alias("variant")))).alias("v"))
+        variants = common.cut(numbered.select("__sha", F.transform("v", lambda x: x["variant"]).alias("variants")))
+        listed = made.join(variants, "__sha", "left").withColumn("variants", F.coalesce("variants", F.array().cast("array<int>")))
+    same = ["d1", "d2", "recipe", "variants"]
+    groups = common.cut(listed.groupBy(*same).agg(F.max("__id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"))
+    common.drop(pieces)
+    out = listed.join(groups, same, "left")
     keep = F.when(F.col("group_size").isNull(), F.col("__id")).otherwise(F.col("keep_id"))
-    return out.select(
-        F.col("__id").alias(id_col), *[F.col(f"`{c}`") for c in carried], keep.alias("keep_id"), size.alias("group_size"),
-        keep.eqNullSafe(F.col("__id")).alias("kept"), F.col("__sha").alias("text_sha256"), "recipe",
-    )
+    return out.select(*common.unpacked(docs, text_col, {
+        "keep_id": keep, "group_size": F.coalesce("group_size", F.lit(1)).cast("long"), "kept": keep.eqNullSafe(F.col("__id")), "text_sha256": F.col("__sha"), "recipe": F.col("recipe"),
+    }, id_col))

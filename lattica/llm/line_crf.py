@@ -196,10 +196,9 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "qu
     return fit([r["text"] for r in rows], np.array([r["__label"] for r in rows], np.float64))
 
 
-def _scores(shared, with_lines: bool):
+def _scores(shared, kept: list[str], with_lines: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [c for c in batch.schema.names if c != "__text"]
             scores, good, ends = [np.zeros(0)], [np.zeros(0)], [np.zeros(1, np.int64)]
             for _, _, data, offsets in blocks(batch.column("__text"), BLOCK):
                 score, line, first = shared.value.score(data, offsets)
@@ -218,9 +217,10 @@ def _scores(shared, with_lines: bool):
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = False, with_lines: bool = False) -> DataFrame:
     """``docs`` (without the text unless ``keep_text``) with score, and P(good) of every line if ``with_lines``."""
-    carried = [c for c in docs.columns if c not in ("score", "line_scores") and (keep_text or c != text_col)]
-    whole = docs.select(common.text_or_empty(F.col(f"`{text_col}`")).alias("__text"), *[F.col(f"`{c}`") for c in carried])
-    types = dict(whole.dtypes)
+    whole = common.packed(docs, text_col, nulls=True)
+    kept = ["__rest", "__text"] if keep_text else ["__rest"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in carried) + ", score double" + ", line_scores array<double>" * with_lines
-    return whole.mapInArrow(_scores(shared, with_lines), schema)
+    schema = common.with_fields(whole, kept, "score double" + ", line_scores array<double>" * with_lines)
+    made = {"score": F.col("score")} | ({"line_scores": F.col("line_scores")} if with_lines else {})
+    scored = whole.mapInArrow(_scores(shared, kept, with_lines), schema)
+    return scored.select(*common.unpacked(docs, text_col, made, text=F.col("__text") if keep_text else None))

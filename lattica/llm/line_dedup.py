@@ -8,7 +8,7 @@ Pass 1: every task fills two filters of one size, for keys seen once and keys se
 or more; the filters are merged by segment (what is once in two parts is twice in both).
 Pass 2: only keys that the merged "twice" filter holds leave their task, are pre-aggregated
 and confirmed by their whole text. Pass 3: documents with lines to drop get the list of
-them by their id. A filter too small for its keys lets more keys through to the exact
+their keys by a join on the id, at every size; so each text is shuffled once. A filter too small for its keys lets more keys through to the exact
 count; it never loses one.
 
 Sizes: partial filters are sent as positions of set bits while that is shorter, so what
@@ -18,8 +18,8 @@ by at most MOST_PARTS tasks.
 
 Edge cases: a null or empty text is one empty line; several lines of one document with one
 key count as one document; repeated rows count as documents of their own, and rows tied on
-the largest id all keep the line; an empty table gives an empty result; extra columns are
-carried, and replaced where they clash with results. A null id is below all others.
+the largest id all keep the line; an empty table gives an empty result; very long texts are split whole; extra columns are
+carried, whatever their names, and replaced where they clash with results. A null id is below all others.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .npbytes import tidy
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -41,8 +42,6 @@ MAX_BITS = 1 << 29
 PROBES = 3
 SEGMENT = 8192
 MOST_PARTS = 8192
-#: Documents' lists of lines to drop that may be broadcast; beyond it lists and texts are joined by id.
-MOST_LISTS = 10_000
 STRIP = common.SPACE_CHARS.encode()
 
 
@@ -145,13 +144,10 @@ def _suspects(shared, min_chars: int):
                 found += own
                 hashes += map(key_hash, own)
             if hashes:
-                hashed = np.array(hashes, np.uint64)
-                hit = np.flatnonzero(filters.holds(packed, filters.places(hashed)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("__id").take(pa.array(np.array(ids)[hit])), pa.array([found[i] for i in hit], pa.binary()), pa.array(hashed[hit].view(np.int64))], ["__id", "key", "hash"]
-                )
+                hit = np.flatnonzero(filters.holds(packed, filters.places(np.array(hashes, np.uint64))))
+                yield pa.RecordBatch.from_arrays([batch.column("__id").take(pa.array(np.array(ids)[hit])), pa.array([found[i] for i in hit], pa.binary())], ["__id", "key"])
 
-    return run
+    return tidy(run)
 
 
 def _rewrite(min_chars: int):
@@ -164,17 +160,16 @@ def _rewrite(min_chars: int):
                 if drop:
                     gone = set(drop)
                     lines = data.encode().split(b"\n")
-                    stay = [x for x, k in zip(lines, keys(b"\n".join(lines), min_chars), strict=True) if k is None or int(np.uint64(key_hash(k)).view(np.int64)) not in gone]
+                    stay = [x for x, k in zip(lines, keys(b"\n".join(lines), min_chars), strict=True) if k is None or k not in gone]
                     n_dropped.append(len(lines) - len(stay))
                     data = b"\n".join(stay).decode()
                 else:
                     n_dropped.append(0)
                 texts.append(data)
-            kept = [c for c in batch.schema.names if c not in ("__text", "__drop")]
             made = [pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], [*kept, "__text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__rest"), *made], ["__id", "__rest", "__text", "n_lines", "n_dropped"])
 
-    return run
+    return tidy(run)
 
 
 def twice_seen(texts: DataFrame, bits: int, min_chars: int = MIN_CHARS) -> bytes:
@@ -194,20 +189,16 @@ def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_bits: int = MAX_BITS
 ) -> DataFrame:
     """``docs`` with shared lines dropped from the text, n_lines (before) and n_dropped."""
-    carried = [c for c in docs.columns if c not in (id_col, text_col, "n_lines", "n_dropped")]
-    whole = docs.select(F.col(f"`{id_col}`").alias("__id"), common.text_or_empty(F.col(f"`{text_col}`")).alias("__text"), *[F.col(f"`{c}`") for c in carried])
+    whole = common.packed(docs, text_col, id_col)
     n = whole.agg(F.sum(F.regexp_count("__text", F.lit("\n")) + 1)).first()[0] or 0
     bits = min(max_bits, 1 << max(16, (BITS_A_LINE * n - 1).bit_length()))
     shared = whole.sparkSession.sparkContext.broadcast(twice_seen(whole.select("__text"), bits, min_chars))
 
-    types = dict(whole.dtypes)
-    found = common.cut(whole.select("__id", "__text").mapInArrow(_suspects(shared, min_chars), f"__id {types['__id']}, key binary, hash bigint"))
+    found = common.cut(whole.select("__id", "__text").mapInArrow(_suspects(shared, min_chars), common.with_fields(whole, ["__id"], "key binary")))
     confirmed = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("__id").alias("keep")).where(F.col("n") >= min_docs)
-    confirmed = common.cut(confirmed.select("key", "keep"))
-    drops = common.attach(found, confirmed, "key", "__id", how="inner").where(~F.col("__id").eqNullSafe(F.col("keep")))
-    drops = common.cut(drops.groupBy("__id").agg(F.collect_set("hash").alias("__drop")))
-    lined = common.attach(whole, drops, "__id", "__text", salts=1, most_rows=MOST_LISTS)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in ["__id", *carried]) + ", __text string, n_lines bigint, n_dropped bigint"
-    out = lined.mapInArrow(_rewrite(min_chars), schema)
-    order = [id_col if c == "__id" else text_col if c == "__text" else c for c in out.columns]
-    return out.toDF(*order).select(*[f"`{c}`" for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    drops = found.join(confirmed, "key").where(~F.col("__id").eqNullSafe(F.col("keep")))
+    drops = common.cut(drops.groupBy("__id").agg(F.collect_set("key").alias("__drop")))
+    common.drop(found)
+    lined = whole.join(drops.withColumnRenamed("__id", "__key").hint("merge"), F.col("__id").eqNullSafe(F.col("__key")), "left")
+    out = lined.mapInArrow(_rewrite(min_chars), common.with_fields(whole, ["__id", "__rest"], "__text string, n_lines bigint, n_dropped bigint"))
+    return out.select(*common.unpacked(docs, text_col, {"n_lines": F.col("n_lines"), "n_dropped": F.col("n_dropped")}, id_col, F.col("__text")))

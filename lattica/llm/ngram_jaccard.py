@@ -93,8 +93,8 @@ def lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))
 
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In place of the text: n, m (shingles in the lowest quarter), s1 and s2 (signature of the set) and region."""
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, n, m, s1, s2, region): m is the number of shingles in the lowest quarter, s1 and s2 the signature."""
     for batch in batches:
         for begin, end, data, offsets in blocks(batch.column("__text"), BLOCK):
             sets = shingles(data, offsets)
@@ -103,9 +103,18 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             take = np.minimum(np.maximum(m, n // 4 + 1), n)
             sig = signatures(sets)
             region = lists([s[:k] for s, k in zip(sets, take.tolist(), strict=True)])
-            rest = batch.slice(begin, end - begin)
-            columns = [rest.column("__id"), rest.column("__rest"), pa.array(n), pa.array(m), pa.array(sig[:, 0]), pa.array(sig[:, 1]), region]
-            yield pa.RecordBatch.from_arrays(columns, ["__id", "__rest", "n", "m", "s1", "s2", "region"])
+            columns = [batch.column("__id").slice(begin, end - begin), pa.array(n), pa.array(m), pa.array(sig[:, 0]), pa.array(sig[:, 1]), region]
+            yield pa.RecordBatch.from_arrays(columns, ["__id", "n", "m", "s1", "s2", "region"])
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In place of the text: n, s1 and s2."""
+    for batch in batches:
+        for begin, end, data, offsets in blocks(batch.column("__text"), BLOCK):
+            sets = shingles(data, offsets)
+            sig, rest = signatures(sets), batch.slice(begin, end - begin)
+            columns = [rest.column("__id"), rest.column("__rest"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig[:, 0]), pa.array(sig[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, ["__id", "__rest", "n", "s1", "s2"])
 
 
 def _whole_sets(wanted):
@@ -146,14 +155,15 @@ def _shared(postings: DataFrame) -> DataFrame:
     return postings.join(postings.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("cnt")).where("cnt > 1"), "h")
 
 
-def _of_regions(classes: DataFrame) -> DataFrame:
-    """Slacks by region. Of the shingles of the lowest quarter it is known who shares them; the others come after them, by hash."""
-    shared = _shared(classes.select("node", F.posexplode("region").alias("i", "h")))
-    shared = shared.join(classes.select("node", "n", "m"), "node").withColumn("high", F.expr(f"h >= {LOWEST_QUARTER}"))
+def _of_regions(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(slacks by region, the table of shared postings that they are read from). Of the shingles of the lowest quarter it is known who shares them; the others come after them, by hash."""
+    shared = common.cut(_shared(classes.select("node", F.posexplode("region").alias("i", "h"))))
+    common.release(classes.sparkSession)  # the shuffles of all postings
+    placed = shared.join(classes.select("node", "n", "m"), "node").withColumn("high", F.expr(f"h >= {LOWEST_QUARTER}"))
     own = Window.partitionBy("node")
     place = F.row_number().over(own.orderBy("high", "cnt", "h"))
     before = F.when(F.col("high"), F.col("i")).otherwise(F.col("m") - F.count_if(~F.col("high")).over(own) + place - 1)
-    return shared.select("h", "node", "n", before.alias("r")).where("r <= n div 4").select("h", "node", "n", F.expr("n - 7 * r").alias("slack"))
+    return placed.select("h", "node", "n", before.alias("r")).where("r <= n div 4").select("h", "node", "n", F.expr("n - 7 * r").alias("slack")), shared
 
 
 def _of_sets(sets: DataFrame) -> DataFrame:
@@ -296,16 +306,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_c
     With ``with_links`` also n_links: the number of other rows that the row links with; for that
     all pairs of each block are compared, not only those of different components.
     """
-    whole = common.packed(docs, id_col, text_col)
-    schema = common.with_fields(whole, ["__id", "__rest"], "n int, m int, s1 bigint, s2 bigint, region array<bigint>")
-    rows = common.cut(whole.mapInArrow(tidy(_summaries), schema))
+    whole = common.packed(docs, text_col, id_col)
+    rows = whole.select("__id", "__text").mapInArrow(tidy(_regions), common.with_fields(whole, ["__id"], "n int, m int, s1 bigint, s2 bigint, region array<bigint>"))
     classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("__id").alias("rep"), F.count(F.lit(1)).alias("class_size"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("region").alias("region"))
     classes = common.cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    nodes = common.cut(classes.drop("m", "region"))
     common.release(docs.sparkSession)
 
-    able = _met(_of_regions(classes))
-    able_nodes = common.cut(able.select("node").distinct().join(classes.select("node", "n", "s1", "s2"), "node"))
-    common.drop(able)
+    slacks, shared = _of_regions(classes)
+    able = _met(slacks)
+    able_nodes = common.cut(able.select("node").distinct().join(nodes.select("node", "n", "s1", "s2"), "node"))
+    common.drop(able, shared, classes)
     common.release(docs.sparkSession)
     wanted = common.members(able_nodes.select("s1"))
     sets = whole.select("__text").mapInArrow(tidy(_whole_sets(wanted)), "s1 bigint, s2 bigint, own array<bigint>").dropDuplicates(["s1", "s2"])
@@ -317,19 +328,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_c
     links = _first_links(members, sets)
     if (more := _later_links(members, sets, links)) is not None:
         links = links.union(more)
-    nodes = classes.select("node", "s1", "s2", "rep", "class_size")
-    labels = nodes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labels = nodes.select("node", "s1", "s2", "rep", "class_size").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     labels = labels.join(labels.groupBy("component").agg(F.min("rep").alias("label"), F.sum("class_size").alias("rows")).where("rows > 1"), "component")
     if with_links:
-        labels = labels.join(_counted_links(members, sets, classes.select("node", "class_size")), "node", "left").withColumn("n_links", F.col("class_size") - 1 + F.coalesce("linked", F.lit(0)))
+        labels = labels.join(_counted_links(members, sets, nodes.select("node", "class_size")), "node", "left").withColumn("n_links", F.col("class_size") - 1 + F.coalesce("linked", F.lit(0)))
     else:
         labels = labels.withColumn("n_links", F.lit(0))
     labels = common.cut(labels.select("s1", "s2", "class_size", "label", "component", "n_links"))
-    common.drop(classes, able_nodes, sets, members)
+    common.drop(nodes, able_nodes, sets, members)
     common.release(docs.sparkSession)
-    made = {"n_shingles": F.col("n").cast("long"), "class_size": F.coalesce("class_size", F.lit(1)).cast("long"), "component_id": F.coalesce("label", "__id")}
+    made = {"n_shingles": F.col("n"), "class_size": F.coalesce("class_size", F.lit(1)).cast("long"), "component_id": F.coalesce("label", "__id")}
     if with_component:
         made["component"] = F.col("component")
     if with_links:
         made["n_links"] = F.coalesce("n_links", F.lit(0)).cast("long")
-    return rows.drop("region").join(labels, ["s1", "s2"], "left").select(*common.unpacked(docs, id_col, text_col, made))
+    signed = whole.mapInArrow(tidy(_signed), common.with_fields(whole, ["__id", "__rest"], "n bigint, s1 bigint, s2 bigint"))
+    return signed.join(labels, ["s1", "s2"], "left").select(*common.unpacked(docs, text_col, made, id_col))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -79,17 +81,25 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def tidy(run: Callable) -> Callable:
-    """A worker function that gives Arrow's unused memory back when its task ends; workers live on."""
+    """A worker function that gives unused memory of Arrow and of the C library back when its task ends; workers live on."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return tidied
 
 
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+
 def table(characters: bytes) -> np.ndarray:
     """256 booleans: which byte values are among ``characters``."""
     out = np.zeros(256, bool)

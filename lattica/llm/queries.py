@@ -70,7 +70,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import byte_bpe
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    got = byte_bpe.decode(byte_bpe.encode(common.table(spark, sf_dir, "documents").select("doc_id", "text"), path, with_offsets=False), path)
+    got = byte_bpe.decode(byte_bpe.encode(common.table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
     return got.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -170,14 +170,17 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.dedup(empty).count() == 0
 
 
-def test_exact_dedup_tells_colliding_chunks_apart(spark, monkeypatch):
+def test_exact_dedup_tells_colliding_chunks_apart(spark):
     """With chunk hashes of 2 bits, different texts share recipes; contents must decide."""
-    real = exact_dedup.chunks
-    weak = lambda data: [(h & 3, b) for h, b in real(data)]
-    a, b = weak(b"aaaa"), weak(b"aaab")
-    assert [x for _, x in a] == [b"aaaa"] and [x for _, x in b] == [b"aaab"]
-    pieces = [p for _, p in real(bytes(range(256)) * 200)]
-    assert b"".join(pieces) == bytes(range(256)) * 200 and len(pieces) > 1
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.choice([1, 3, 40, 3000]))) for _ in range(90)]
+    texts = ["Aaaa", "aaab", "aaac", "aaad", "aaae", *texts, *[t.upper() for t in texts[:40]], "AAAA"]
+    groups = defaultdict(list)
+    for i, t in enumerate(texts):
+        groups[t.lower()].append(i)
+    got = {r["doc_id"]: r for r in exact_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), hash_bits=2).collect()}
+    assert len({(len(texts[i]), tuple(r["recipe"])) for i, r in got.items()}) < 0.75 * len(groups)
+    assert {i: (r["keep_id"], r["group_size"]) for i, r in got.items()} == {i: (max(g), len(g)) for g in groups.values() for i in g}
 
 
 def test_chunks_follow_content():
@@ -440,8 +443,8 @@ def test_rollups_are_additive_and_idempotent(spark, tmp_path):
 
 def test_attach_salts_beyond_its_bound(spark, docs):
     small = common.cut(docs.groupBy("source").agg(F.count("*").alias("n")))
-    for limit in (100, 0):
-        got = common.attach(docs.select("doc_id", "source"), small, "source", "doc_id", most_rows=limit)
+    for limit in (1000, 0):
+        got = common.attach(docs.select("doc_id", "source"), small, "source", "doc_id", most_bytes=limit)
         assert Counter(r["n"] for r in got.collect()) == Counter(n for n in Counter(r[3] for r in corpus()).values() for _ in range(n))
 
 
@@ -449,3 +452,114 @@ def test_ascii_lower(spark):
     texts = ["ABC", "ÀB", "ΣΑΣ", "İI", "K", "ǅ", "ⅠA", "", "ß😀Z"]
     got = spark.createDataFrame([(t,) for t in texts], "s string").select(common.ascii_lower(F.col("s")).alias("x")).collect()
     assert [r["x"] for r in got] == [t.translate(LOWER) for t in texts]
+
+
+CLASH = ["n", "m", "sig", "region", "digest", "d1", "recipe_", "key", "keep", "hash", "drop", "label", "component", "host", "failed", "size_", "h", "w", "place", "ids_", "block", "t", "x", "i", "rn", "queue"]
+
+
+def edge_rows():
+    """(doc_id, text, source): null ids, texts and sources, repeated rows, ties, a very long text; with columns of every name."""
+    long, line = "long words " * 60_000, "a line that many documents share with others"
+    return [
+        (None, "Some text of ten words or more, to be kept as it is now", "a"), (None, None, None), (1, line, "a"), (1, line, "a"), (2, line.upper() + "\nother", "b"),
+        (3, line + "\n" + line, None), (4, long, "b"), (5, "", "a"), (5, "", "a"), (6, "tie one", "a"), (6, "tie two", "a"), (None, line, "a"),
+    ]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    wide = [(*r, *[f"{k}-{j}" for j in range(len(CLASH))]) for k, r in enumerate(edge_rows())]
+    return spark.createDataFrame(wide, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASH)).persist()
+
+
+def test_edges_of_exact_dedup(edges):
+    got = sorted((r.asDict() for r in exact_dedup.dedup(edges).collect()), key=lambda r: int(r["n"].split("-")[0]))
+    assert [(r["keep_id"], r["group_size"], r["kept"]) for r in got] == [
+        (None, 1, True), (5, 3, False), (1, 3, True), (1, 3, True), (2, 1, True), (3, 1, True), (4, 1, True), (5, 3, True), (5, 3, True), (6, 1, True), (6, 1, True), (1, 3, False)
+    ]
+    assert all(r[c] == f"{k}-{j}" for k, r in enumerate(got) for j, c in enumerate(CLASH))
+
+
+def test_edges_of_line_dedup(edges):
+    got = sorted((r.asDict() for r in line_dedup.dedup_lines(edges).collect()), key=lambda r: int(r["n"].split("-")[0]))
+    texts = [r[1] or "" for r in edge_rows()]
+    texts[2] = texts[3] = texts[11] = ""
+    texts[4] = "other"
+    assert [r["text"] for r in got] == texts
+    assert [r["n_dropped"] for r in got] == [0, 0, 1, 1, 1, 0, 0, 0, 0, 0, 0, 1]
+    assert all(r[c] == f"{k}-{j}" for k, r in enumerate(got) for j, c in enumerate(CLASH))
+
+
+def test_edges_of_ngram_jaccard(edges):
+    got = sorted((r.asDict() for r in ngram_jaccard.join(edges.drop("component")).collect()), key=lambda r: int(r["n"].split("-")[0]))
+    assert [r["component_id"] for r in got] == [None, None, 1, 1, 1, 3, 4, 5, 5, 6, 6, 1]
+    assert [r["n_shingles"] for r in got] == [brute_components([(0, t)])[0][0][0] for _, t, _ in edge_rows()]
+
+
+def test_edges_of_classifiers(edges, spark):
+    model = toxicity.fit(["bad vile words", "good kind words"] * 20, np.array([1, 0] * 20))
+    crf = line_crf.fit(["BAD!! ##\nVILE!!", "a good line of words.\nand one more."] * 20, np.array([0, 1] * 20))
+    for got in (toxicity.classify(edges, model, {None: 0.5}), line_crf.classify(edges, crf)):
+        rows = sorted((r.asDict() for r in got.collect()), key=lambda r: int(r["n"].split("-")[0]))
+        assert len(rows) == len(edge_rows())
+        assert all(0 <= r["score"] <= 1 for r in rows)
+        assert rows[2]["score"] == rows[3]["score"] == rows[11]["score"] and rows[1]["score"] == rows[7]["score"]
+        assert all(r[c] == f"{k}-{j}" for k, r in enumerate(rows) for j, c in enumerate(CLASH))
+    none = edges.where("false")
+    assert toxicity.classify(none, model, {None: 0.5}).count() == line_crf.classify(none, crf).count() == 0
+
+
+def test_edges_of_bpe(edges):
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode(edges.withColumn("ids", F.lit("clash")), path).withColumn("decoded", F.lit("clash"))
+    rows = sorted((r.asDict() for r in byte_bpe.decode(encoded, path).collect()), key=lambda r: int(r["n"].split("-")[0]))
+    assert [bytes(r["decoded"]).decode() for r in rows] == [r[1] or "" for r in edge_rows()]
+    assert all(r["offsets"][:1] in ([], [0]) and len(r["offsets"]) == len(r["ids"]) for r in rows)
+    bare = byte_bpe.decode(encoded.drop("offsets"), path).select("decoded", "n").collect()
+    assert {r["n"]: bytes(r["decoded"]) for r in bare} == {r["n"]: bytes(r["decoded"]) for r in rows}
+    with pytest.raises(Exception, match="offsets don't fit"):
+        byte_bpe.decode(encoded.withColumn("offsets", F.transform("offsets", lambda x: x + 1)), path).collect()
+
+
+def test_edges_of_host_rules_and_mixing(edges):
+    rows = sorted((r.asDict() for r in host_rules.judge(edges).collect()), key=lambda r: int(r["n"].split("-")[0]))
+    assert [r["n_words"] for r in rows] == [len(WORD.findall(t or "")) for _, t, _ in edge_rows()]
+    assert rows[2]["kept"] == rows[3]["kept"]
+    assert all(r[c] == f"{k}-{j}" for k, r in enumerate(rows) for j, c in enumerate(CLASH))
+    got = mixing.mix(edges).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"]) for r in got) == sorted((i is None, i or 0, len(WORD.findall(t or ""))) for i, t, _ in edge_rows())
+    assert mixing.mixture(edges).columns == edges.columns
+
+
+def test_convolution_and_pooling_match_plain_loops():
+    """Scores of the tables against filters slid over each text, word by word."""
+    model = toxicity.fit(["bad vile words here", "good kind words there", "vile", "kind"] * 10, np.array([1, 0, 1, 0] * 10), epochs=2)
+    texts = ["", "one", "bad vile words", "kind words there and then vile", "x y z bad"]
+    for text, ids in zip(texts, toxicity._encoded(texts), strict=True):
+        vectors = model.embed[ids].sum(axis=1)
+        pooled = []
+        for w, filters in model.filters.items():
+            for f in range(filters.shape[2]):
+                best = 0.0
+                for p in range(len(ids) - toxicity.PAD):
+                    best = max(best, sum(float(vectors[p + k] @ filters[k, :, f]) for k in range(w) if p + k < len(ids)))
+                pooled.append(best)
+        want = 1 / (1 + np.exp(-(np.array(pooled) @ model.weights.astype(np.float64) + float(model.bias))))
+        assert np.isclose(model.score(ids, np.array([0, len(ids)]))[0], want, atol=1e-4)
+        assert len(ids) == toxicity.PAD + len(text.split())
+
+
+def test_thresholds_come_from_rows_that_the_fit_never_saw(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(["vile", "bad"] if k % 3 == 0 else ["kind", "good"]) for _ in range(9)), "en" if k % 2 else "de", int(k % 3 == 0)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    fitted, real = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: fitted.append(len(texts)) or real(texts, y))
+    model, limits = toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic").union(docs.select("doc_id", F.lit(0))), F.lit(True))
+    assert fitted == [320] and {None, "en", "de"} >= set(limits)
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.classify(docs.drop("toxic"), model, limits).collect()}
+    assert np.mean([got[i] == bool(y) for i, _, _, y in rows]) > 0.98
+    assert toxicity.best_threshold(np.array([0.9, 0.8, 0.3, 0.1]), np.array([1, 1, 0, 0])) == pytest.approx(0.55)
+    small = toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"), F.lit(True), max_bytes=2000)
+    assert fitted[1] < 60 and small[1]
