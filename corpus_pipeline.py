@@ -46,12 +46,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")
     found = common.cut(rows.groupBy("component", "doc_id", "__row").agg(F.count(F.lit(1)).alias("n")))
     first = common.cut(found.groupBy("component").agg(F.min(order).getField("__row").alias("first")))
-    judged = common.attach(found, first, "component", "__row").select("__row", (F.col("__row") == F.col("first")).alias("stays"), "n")
+    judged = found.join(first, "component").select("__row", (F.col("__row") == F.col("first")).alias("stays"), "n")
     judged = common.cut(judged.where("not stays or n > 1"))
-    out = common.attach(keyed, judged.select("__row"), "__row", "__row", how="left_anti", salts=1)
-    repeated = judged.where("stays").select("__row")
-    if not repeated.isEmpty():
-        out = out.union(common.attach(keyed, repeated, "__row", "__row", how="left_semi", salts=1).dropDuplicates(["__row"]))
+    out = keyed.join(judged.select("__row"), "__row", "left_anti").select(*every)
+    repeated = keyed.join(judged.where("stays").select("__row"), "__row", "left_semi")
+    out = out.union(repeated.dropDuplicates(["__row"]).select(*every))
     return out.select(*every)
 
 
@@ -61,9 +60,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, n_tokens and ids of every document of the mixture."""
-    got = byte_bpe.encode(docs.select("doc_id", "source", "lang", "text"), public_tokenizers.path(TOKENIZER), with_offsets=False)
-    return got.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, source, lang, n_tokens, ids and the tokens' byte offsets of every document of the mixture."""
+    got = byte_bpe.encode(docs.select("doc_id", "source", "lang", "text"), public_tokenizers.path(TOKENIZER))
+    return got.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", "offsets")
 
 
 STAGES = [
