@@ -14,7 +14,7 @@ false repeat has a chance of n * n / 2**65, under 1e-10 for a text of 20,000 wor
 
 Edge cases: null or blank text has no words, so it fails the base rules and is dropped; a
 null host is a host of its own; an empty table gives an empty result; repeated rows count
-as separate documents; columns of the input that clash with results are replaced.
+as separate documents; very long texts are counted whole; columns of the input that clash with results are replaced, others carried whatever their names.
 """
 
 from __future__ import annotations
@@ -36,27 +36,26 @@ MAX_HOST_RATE = 0.5
 SYMBOLS = r"[#*$%&|<>]"
 
 
-def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
-    """Positions covered by windows that occur at least twice, from the words' hashes.
-
-    A hash set tells whether any window repeats at all; only then are windows sorted. Of
-    the repeating windows' sorted starts, each covers up to the next one or ``window`` words.
-    """
+def word_windows(hashes: Column, window: int = WINDOW) -> Column:
+    """A hash of each run of ``window`` words, from the words' hashes."""
     n = F.size(hashes)
     starts = F.when(n >= window, F.sequence(F.lit(0), n - window)).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(window)]))
-    return windows, n
+    return F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(window)]))
 
 
 def features(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines to ``docs`` (text dropped)."""
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines to ``docs`` (text dropped).
+
+    A hash set tells whether any window repeats at all; only then are windows sorted. Of
+    the repeating windows' sorted starts, each covers up to the next one or ``window`` words.
+    """
     text = common.text_or_empty(F.col(f"`{text_col}`"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
     carried = [F.col(f"`{c}`") for c in docs.columns if c != text_col and c not in names]
     step = docs.select(*carried, text.alias("__text"), common.words(F.col(f"`{text_col}`")).alias("__words"))
     step = step.withColumn("__lines", F.filter(F.split("__text", "\n"), lambda x: x.rlike(common.WORD)))
     step = step.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
-    windows, _ = repeated_words(F.col("__hashes"), window)
+    windows = word_windows(F.col("__hashes"), window)
     step = step.select(
         *carried,
         F.size("__words").cast("long").alias("n_words"),
@@ -67,9 +66,9 @@ def features(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> D
         windows.alias("__windows"),
     )
     placed = F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    same = lambda a, x, i: (F.get(a, i - 1)["h"] == x["h"]) | F.coalesce(F.get(a, i + 1)["h"] == x["h"], F.lit(False))
+    same = lambda x, i: F.coalesce(F.get(F.col("__placed"), i)["h"] == x["h"], F.lit(False))
     step = step.withColumn("__placed", F.when(F.size(F.array_distinct("__windows")) < F.size("__windows"), placed))
-    again = F.filter("__placed", lambda x, i: F.coalesce(same(F.col("__placed"), x, i), F.coalesce(F.get(F.col("__placed"), i + 1)["h"] == x["h"], F.lit(False))))
+    again = F.filter("__placed", lambda x, i: same(x, i - 1) | same(x, i + 1))
     step = step.withColumn("__starts", F.sort_array(F.transform(again, lambda x: x["i"])))
     covered = F.transform("__starts", lambda s, j: F.least(F.lit(window), F.coalesce(F.get(F.col("__starts"), j + 1), s + window) - s))
     step = step.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)).cast("long"))

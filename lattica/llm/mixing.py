@@ -8,13 +8,15 @@ runs out leaves its share to the others, which is water-filling.
 
 Nothing needs one task to see a source or the whole queue. Running totals take two levels:
 within a hash bucket of a source by a window, between buckets by totals of buckets. The
-global order takes fixed ranges of virtual time: fair queueing spends words evenly over
-virtual time, so ranges of equal width hold about equal numbers of words. Only the range in
-which the budget runs out is ordered to the row.
+global order takes ranges of virtual time, as many as keep RANGE_ROWS entries in one: fair queueing spends words evenly over
+virtual time, so ranges of equal width hold about equal numbers of words. To decide what is served (``mix``)
+only the range in which the budget runs out is ordered to the row; ``mixture`` sorts all of it by range partitions.
+The plan has one row a source, and is made by windows over sources: their number, not that of
+documents, must fit a task.
 
 Edge cases: null text or no word has size 0, is never served and takes 0; a null source is
 a source of its own, last in order; an empty table gives an empty result; repeated rows are
-separate documents; extra columns are kept, and replaced where they clash with a result.
+separate documents; very long texts are counted whole; extra columns are kept by ``mixture``, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 CAP = 2
 BUCKETS = 1024
-RANGES = 4096
+#: Ranges of virtual time at least, and entries in one.
+RANGES, RANGE_ROWS = 4096, 100_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: int = CAP) -> DataFrame:
@@ -105,10 +108,11 @@ def _schedule(base: DataFrame, weights: tuple[int, ...], budget: float, cap: int
         return offsets, plan, queued, {"last": 0.0, "cut": None}
 
     #: Entries served by the final virtual time never exceed the budget; one more range holds what rounding leaves.
-    width, last = ended["ended"] / RANGES, ended["ended"] * (1 + 1 / RANGES)
+    parts = max(RANGES, cap * queued.count() // RANGE_ROWS)
+    width, last = ended["ended"] / parts, ended["ended"] * (1 + 1 / parts)
     copies = F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), lambda k: F.col("virtual_finish") + k * F.col("source_size") / F.col("weight"))
     entries = queued.where("size > 0").select(F.explode(copies).alias("finish"), "source", "__order", "__id", "size").where(F.col("finish") <= F.lit(last))
-    entries = entries.withColumn("range", F.floor(F.col("finish") / F.lit(width)).cast("int"))
+    entries = entries.withColumn("range", F.floor(F.col("finish") / F.lit(width)))
     upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
     ranges = entries.groupBy("range").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(upto))
     edge = ranges.where(F.col("upto") > F.lit(ended["budget"])).orderBy("range").first()

@@ -15,9 +15,9 @@ They are written by Spark's own text sink, whose record separator is that 0; so
 on any store, and lost tasks are written again. Shards of one key and input are the same
 bytes whenever they are written.
 
-Edge cases: null ids or texts give one sequence that holds the end-of-document id only; repeated rows are sequences of their own; documents with a null id come first; an
-empty table gives no shard; extra columns are carried to the index, and replaced where they
-clash with results; ids must fit in 16 bits.
+Edge cases: null ids or texts give one sequence that holds the end-of-document id only; repeated rows are sequences of their own; documents with a null id come first; very long
+texts are cut whole, block by block; an empty table gives no shard; extra columns are carried to the index, whatever their names, and replaced where they
+clash with results; ids must fit in 16 bits beside the two special ones, which given ids are raised by.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .npbytes import BLOCK, IS_SPACE, blocks, hashes, runs
+from .npbytes import BLOCK, IS_SPACE, blocks, hashes, runs, tidy
 
 LENGTH = 512
 PER_SHARD = 8192
@@ -108,25 +108,23 @@ def invert(slot: int, n: int, key: int = KEY) -> int:
 
 
 def _cut(length: int, hashed: bool):
-    """Texts (hashed words) or lists of ids to records: place in the document, count, bytes."""
+    """Texts (hashed words) or lists of ids to records: id, place in the document, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [c for c in batch.schema.names if c != "__in"]
             for begin, end, ids, first in _hashed(batch.column("__in")) if hashed else _listed(batch.column("__in")):
-                rows, places, counts, records = [], [], [], []
+                rows, places, records = [], [], []
                 for i in range(end - begin):
                     own = ids[first[i] : first[i + 1]]
                     for place, a in enumerate(range(0, len(own), length)):
                         piece = own[a : a + length]
                         rows.append(begin + i)
                         places.append(place)
-                        counts.append(len(piece))
                         records.append(np.pad(piece, (0, length - len(piece))).astype("<u2").tobytes())
-                rest = batch.take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*[rest.column(c) for c in kept], pa.array(places, pa.int64()), pa.array(counts, pa.int64()), pa.array(records, pa.binary())], [*kept, "seq_no", "n_tokens", "record"])
+                own_ids = batch.column("__rid").take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([own_ids, pa.array(places, pa.int64()), pa.array(records, pa.binary())], ["__rid", "__rno", "record"])
 
-    return run
+    return tidy(run)
 
 
 def _hashed(column: pa.Array):
@@ -142,34 +140,39 @@ def _hashed(column: pa.Array):
 
 
 def _listed(column: pa.Array):
+    """Given ids, raised by SPECIAL so that none is taken for padding or an end, then the end-of-document id."""
     for i, own in enumerate(column):
-        ids = np.array([*(own.as_py() or []), 1], np.int64)
-        if ids.min() < 0 or ids.max() >= VOCABULARY:
-            raise ValueError("an id does not fit in 16 bits")
+        ids = np.array([*(x + SPECIAL for x in own.as_py() or []), 1], np.int64)
+        if ids[:-1].min(initial=SPECIAL) < SPECIAL or ids.max() >= VOCABULARY:
+            raise ValueError("an id does not fit in 16 bits beside the special ones")
         yield i, i + 1, ids, np.array([0, len(ids)])
 
 
+def records(docs: DataFrame, id_col: str = "doc_id", text_col: str | None = "text", ids_col: str | None = None, length: int = LENGTH) -> DataFrame:
+    """(__rid, __rno, record): id, place in the document and bytes of each sequence. Ids come from ``ids_col`` or from hashed words."""
+    taken = F.col(f"`{ids_col}`") if ids_col else common.text_or_empty(F.col(f"`{text_col}`"))
+    whole = docs.select(F.col(f"`{id_col}`").alias("__rid"), taken.alias("__in"))
+    return whole.mapInArrow(_cut(length, ids_col is None), common.with_fields(whole, ["__rid"], "__rno bigint, record binary"))
+
+
 def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str | None = "text", ids_col: str | None = None, length: int = LENGTH) -> DataFrame:
-    """A row for each sequence: carried columns, seq_no, n_tokens, record. Ids come from ``ids_col`` or from hashed words."""
+    """A row for each sequence: carried columns, seq_no and n_tokens; only counts are taken of texts or ids, no record is made."""
     source = ids_col or text_col
-    taken = F.col(f"`{source}`") if ids_col else common.text_or_empty(F.col(f"`{source}`"))
-    carried = [c for c in docs.columns if c not in (source, "seq_no", "n_tokens", "record")]
-    whole = docs.select(taken.alias("__in"), *[F.col(f"`{c}`") for c in carried])
-    types = dict(whole.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in carried) + ", seq_no bigint, n_tokens bigint, record binary"
-    return whole.mapInArrow(_cut(length, ids_col is None), schema)
-
-
-def place(seqs: DataFrame, id_col: str = "doc_id", key: int = KEY, per_shard: int = PER_SHARD, length: int = LENGTH) -> tuple[DataFrame, int]:
-    """``seqs`` with seq_index, slot, shard and byte_offset (the offset in the shard), and the number of sequences."""
-    made = ("seq_index", "slot", "shard", "byte_offset")
-    narrow = seqs.select(*[F.col(f"`{c}`") for c in seqs.columns if c not in made])
-    ordered = common.cut(narrow.repartitionByRange(_parts(narrow), F.col(f"`{id_col}`"), "seq_no").withColumn("__part", F.spark_partition_id()))
+    n = F.greatest(F.size(F.coalesce(F.col(f"`{ids_col}`"), F.array().cast(docs.schema[ids_col].dataType))), F.lit(0)) if ids_col else common.n_words(F.col(f"`{text_col}`"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (source, id_col)]
+    counted = common.cut(docs.select(F.col(f"`{id_col}`").alias("__id"), (F.struct(*rest) if rest else F.lit(None).cast("int")).alias("__rest"), (n + 1).cast("long").alias("__n")))
+    placed = counted.select("__id", "__rest", "__n", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("__n") - 1, F.lit(length)))).alias("seq_no"))
+    return placed.select("__id", "__rest", "seq_no", F.least(F.lit(length).cast("long"), F.col("__n") - F.col("seq_no") * length).alias("n_tokens"))
+
+
+def place(seqs: DataFrame, key: int = KEY, per_shard: int = PER_SHARD, length: int = LENGTH) -> tuple[DataFrame, int]:
+    """``seqs`` (__id, seq_no, ...) with seq_index, slot, shard and byte_offset (the offset in the shard), and the number of sequences."""
+    ordered = common.cut(seqs.repartitionByRange(_parts(seqs), "__id", "seq_no").withColumn("__part", F.spark_partition_id()))
     totals = common.cut(ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("n")))
     n = totals.agg(F.sum("n")).first()[0] or 0
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     ahead = totals.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__ahead"))
-    within = Window.partitionBy("__part").orderBy(F.col(f"`{id_col}`").asc_nulls_first(), "seq_no")
+    within = Window.partitionBy("__part").orderBy(F.col("__id").asc_nulls_first(), "seq_no")
     out = ordered.join(F.broadcast(ahead), "__part").withColumn("seq_index", F.col("__ahead") + F.row_number().over(within) - 1).drop("__part", "__ahead")
     out = permute(out, "seq_index", "slot", n, key).withColumn("shard", F.floor(F.col("slot") / per_shard))
     return out.withColumn("byte_offset", (F.col("slot") % per_shard) * F.lit(stride(length))), n
@@ -192,28 +195,51 @@ def write_shards(placed: DataFrame, path: str, n: int, per_shard: int = PER_SHAR
     rows.drop("slot").write.mode("overwrite").option("lineSep", "\x00\x00").partitionBy("shard").text(path)
 
 
-def read_slots(spark: SparkSession, path: str, first: int, count: int, per_shard: int = PER_SHARD, length: int = LENGTH) -> list[np.ndarray]:
-    """The ids of ``count`` slots from ``first`` on (clear of padding only at the end), for a reader that resumes."""
-    wanted = sorted({s // per_shard for s in (first, first + count - 1)} | set(range(first // per_shard, (first + count - 1) // per_shard + 1)))
-    out, size = [], stride(length)
-    for shard in wanted:
-        got = spark.read.format("binaryFile").load(f"{path}/shard={shard}").select("content").first()
-        data = got["content"]
-        low = max(first - shard * per_shard, 0)
-        high = min(first + count - shard * per_shard, per_shard, len(data) // size)
-        out += [np.frombuffer(data, "<u2", length, k * size) for k in range(low, high)]
-    return out
+def read_slots(spark: SparkSession, path: str, first: int, count: int, per_shard: int = PER_SHARD, length: int = LENGTH) -> Iterator[np.ndarray]:
+    """The ids of ``count`` slots from ``first`` on (clear of padding only at the end), for a reader that resumes.
+
+    Seeks to the first record of each shard and reads record by record: memory holds one record.
+    Ids that came from ``ids_col`` are those plus SPECIAL; 1 ends a document and 0 is padding.
+    """
+    hadoop, size = spark.sparkContext._jvm.org.apache.hadoop.fs, stride(length)
+    read = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray
+    for shard in range(first // per_shard, (first + count - 1) // per_shard + 1):
+        folder = hadoop.Path(f"{path}/shard={shard}")
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return
+        for status in fs.globStatus(hadoop.Path(folder, "part-*")):
+            low, high = max(first - shard * per_shard, 0), min(first + count - shard * per_shard, per_shard, status.getLen() // size)
+            if low >= high:
+                continue
+            stream = fs.open(status.getPath())
+            try:
+                stream.seek(low * size)
+                for _ in range(low, high):
+                    yield np.frombuffer(bytes(read(stream, size)), "<u2", length)
+            finally:
+                stream.close()
 
 
 def materialise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str | None = "text", ids_col: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
-    """Writes the shards and returns their index: a row for each sequence, without its record."""
-    seqs = sequences(docs, id_col, text_col, ids_col, length)
-    index, n = place(seqs.drop("record"), id_col, key, per_shard, length)
-    index = common.cut(index)
+    """Writes the shards and returns their index: a row for each sequence, without its record.
+
+    Sequences are counted and placed first, without records; then each record is made once and shuffled to its seat.
+    """
+    placed, n = place(sequences(docs, id_col, text_col, ids_col, length), key, per_shard, length)
+    index = common.cut(placed)
     # rows that share id and place in the document are told apart by their number among them
-    same = lambda order: F.row_number().over(Window.partitionBy("__id", "__no").orderBy(order))
-    seated = index.select(F.col(f"`{id_col}`").alias("__id"), F.col("seq_no").alias("__no"), "slot", "shard").withColumn("__k", same("slot"))
-    records = seqs.select(F.col(f"`{id_col}`").alias("__id"), F.col("seq_no").alias("__no"), "record").withColumn("__k", same("record")).toDF("__rid", "__rno", "record", "__rk")
+    same = lambda a, b, order: F.row_number().over(Window.partitionBy(a, b).orderBy(order))
+    seated = index.select("__id", F.col("seq_no").alias("__no"), "slot", "shard", "n_tokens").withColumn("__k", same("__id", "__no", F.struct("n_tokens", "slot"))).drop("n_tokens")
+    made = records(docs, id_col, text_col, ids_col, length).withColumn("__rk", same("__rid", "__rno", F.struct(_filled("record", length), "record")))
     on = F.col("__rid").eqNullSafe(F.col("__id")) & (F.col("__rno") == F.col("__no")) & (F.col("__rk") == F.col("__k"))
-    write_shards(records.join(seated, on), path, n, per_shard)
-    return index
+    write_shards(made.join(seated, on), path, n, per_shard)
+    names = {"seq_no", "n_tokens", "seq_index", "slot", "shard", "byte_offset"}
+    source = ids_col or text_col
+    carried = [F.col("__id").alias(id_col) if c == id_col else F.col("__rest").getField(c).alias(c) for c in docs.columns if c not in names | {source}]
+    return index.select(*carried, "seq_no", "n_tokens", "seq_index", "slot", "shard", "byte_offset")
+
+
+def _filled(record: str, length: int) -> Column:
+    """Bytes of a record before its padding: more of them, more tokens (its ids are never 0)."""
+    return F.octet_length(F.rtrim(F.hex(record), F.lit("0")))

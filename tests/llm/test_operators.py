@@ -403,8 +403,8 @@ def test_training_order(spark, docs, empty, tmp_path):
     assert sorted(r["slot"] for r in index) == list(range(n)) == sorted(r["seq_index"] for r in index)
     assert all(training_order.invert(r["slot"], n) == r["seq_index"] for r in index)
     assert sum(r["n_tokens"] for r in index) == sum(len(WORD.findall(t or "")) + 1 for _, t, *_ in corpus())
-    seqs = {(r["doc_id"], r["seq_no"]): bytes(r["record"]) for r in training_order.sequences(docs.select("doc_id", "text"), length=16).collect()}
-    read = training_order.read_slots(spark, path, 0, n, per_shard=32, length=16)
+    seqs = {(r["__rid"], r["__rno"]): bytes(r["record"]) for r in training_order.records(docs, length=16).collect()}
+    read = list(training_order.read_slots(spark, path, 0, n, per_shard=32, length=16))
     for r in index:
         assert read[r["slot"]].tobytes() == seqs[r["doc_id"], r["seq_no"]]
     assert [x.tolist() for x in training_order.read_slots(spark, path, 30, 5, per_shard=32, length=16)] == [x.tolist() for x in read[30:35]]
@@ -423,7 +423,33 @@ def test_training_order_of_repeated_rows_and_own_ids(spark, tmp_path):
     index = training_order.materialise(df, str(tmp_path / "s"), text_col=None, ids_col="tokens", length=4).collect()
     assert sorted(r["slot"] for r in index) == [0, 1, 2, 3]
     read = sorted(x.tolist() for x in training_order.read_slots(spark, str(tmp_path / "s"), 0, 4, length=4))
-    assert read == [[1, 0, 0, 0], [5, 6, 1, 0], [5, 6, 1, 0], [7, 1, 0, 0]]
+    assert read == [[1, 0, 0, 0], [7, 8, 1, 0], [7, 8, 1, 0], [9, 1, 0, 0]]
+
+
+def test_training_order_of_bpe_ids_is_read_back_as_text(spark, docs, tmp_path, own_codec):
+    """Shards of real token ids: every document is put together again from its slots."""
+    codec, public = own_codec
+    encoded = byte_bpe.encode(docs.select("doc_id", "text", F.lit("x").alias("slot")), public.path("byte_bpe_50k.tiktoken"))
+    index = training_order.materialise(encoded, str(tmp_path / "s"), text_col=None, ids_col="ids", length=64, per_shard=16).collect()
+    read = list(training_order.read_slots(spark, str(tmp_path / "s"), 0, len(index), per_shard=16, length=64))
+    parts = defaultdict(list)
+    for r in sorted(index, key=lambda r: (r["doc_id"], r["seq_no"])):
+        parts[r["doc_id"]].append(read[r["slot"]][: r["n_tokens"]])
+    got = {i: np.concatenate(p).astype(np.int64) for i, p in parts.items()}
+    assert all(ids[-1] == 1 for ids in got.values())
+    assert {i: codec.decode(ids[:-1] - training_order.SPECIAL).tobytes().decode() for i, ids in got.items()} == {i: t or "" for i, t, *_ in corpus()}
+
+
+def test_edges_of_training_order(spark, edges, tmp_path):
+    index = training_order.materialise(edges, str(tmp_path / "s"), length=128, per_shard=8).collect()
+    counts = [len(WORD.findall(t or "")) + 1 for _, t, _ in edge_rows()]
+    assert sorted(r["slot"] for r in index) == list(range(sum(-(-c // 128) for c in counts)))
+    by_row = defaultdict(int)
+    for r in index:
+        by_row[r["n"]] += r["n_tokens"]
+    assert sum(by_row.values()) == sum(counts)
+    read = list(training_order.read_slots(spark, str(tmp_path / "s"), 0, len(index), per_shard=8, length=128))
+    assert all(np.count_nonzero(read[r["slot"]]) == r["n_tokens"] for r in index)
 
 
 def test_rollups_are_additive_and_idempotent(spark, tmp_path):
@@ -441,6 +467,39 @@ def test_rollups_are_additive_and_idempotent(spark, tmp_path):
         s.commit(0, make([]))
 
 
+def test_rollups_follow_a_plain_dictionary_through_compactions(spark, tmp_path, monkeypatch):
+    """Ties, repeated rows, null ids and clashing columns, over many batches; the ledger is folded on the way."""
+    monkeypatch.setattr(token_rollups, "COMPACT_EVERY", 3)
+    rng, held, store = random.Random(8), {}, token_rollups.Rollup(spark, str(tmp_path))
+    for batch in range(7):
+        rows = [(rng.choice([None, *range(12)]), rng.choice(["a", "b", None]), rng.choice(["en", None]), rng.choice(["v", "w"]), rng.choice([None, 1, 5, 9]), rng.choice(["upsert", "upsert", "delete"]), rng.randint(0, 3), 7, "x") for _ in range(20)]
+        rows += rows[:3]
+        df = spark.createDataFrame(rows, "doc_id long, source string, lang string, version string, n_tokens long, op string, seq long, bucket int, tokens string")
+        assert store.commit(batch, df)
+        last = {}
+        for i, source, lang, version, n, op, seq, *_ in rows:
+            up = op != "delete"
+            # nulls are least, as in Spark
+            rank = (seq, up, (n or 0) if up else -1, source is not None, source or "", lang is not None, lang or "")
+            if rank >= last.get((i, version), ((-1,),))[0]:
+                last[i, version] = (rank, (source, lang, version, n or 0) if up else None)
+        for k, (_, row) in last.items():
+            held[k] = row
+            if row is None:
+                del held[k]
+        want = Counter()
+        for source, lang, version, n in held.values():
+            want[source, lang, version, "docs"] += 1
+            want[source, lang, version, "tokens"] += n
+        got = Counter()
+        for r in store.totals().collect():
+            got[r["source"], r["lang"], r["version"], "docs"] += r["n_docs"]
+            got[r["source"], r["lang"], r["version"], "tokens"] += r["n_tokens"]
+        assert +got == +want
+        assert store.ledger().count() == len(held)
+    assert len(store._bases()) == 2
+
+
 def test_attach_salts_beyond_its_bound(spark, docs):
     small = common.cut(docs.groupBy("source").agg(F.count("*").alias("n")))
     for limit in (1000, 0):
