@@ -48,3 +48,37 @@ def interleave(a: Column, b: Column, bits: int = 20) -> Column:
     for k in range(bits):
         out = out.bitwiseOR(F.shiftleft(F.shiftright(a, k).bitwiseAND(F.lit(1)), 2 * k + 1)).bitwiseOR(F.shiftleft(F.shiftright(b, k).bitwiseAND(F.lit(1)), 2 * k))
     return out
+
+
+def text_width(layout: str) -> int:
+    """Base-36 digits of a layout."""
+    return 13 if layout.endswith("64") else 7
+
+
+def most_ticks(layout: str) -> int:
+    return (1 << LAYOUTS[layout][1]) - 1
+
+
+def fits(ts_ns: Column, layout: str) -> Column:
+    """Whether a layout holds a time without wrapping around."""
+    unit = LAYOUTS[layout][0]
+    return (ts_ns >= 0) & (F.call_function("div", ts_ns, F.lit(unit)) <= F.lit(most_ticks(layout)))
+
+
+def is_null_id(value: Column) -> Column:
+    """Whether an id is the null id, all bits 0, or missing."""
+    return value.isNull() | (value == 0)
+
+
+def deinterleave(z: Column, bits: int = 20) -> tuple[Column, Column]:
+    """The two numbers whose bits ``interleave`` put in turn."""
+    a = b = F.lit(0).cast("long")
+    for k in range(bits):
+        a = a.bitwiseOR(F.shiftleft(F.shiftright(z, 2 * k + 1).bitwiseAND(F.lit(1)), k))
+        b = b.bitwiseOR(F.shiftleft(F.shiftright(z, 2 * k).bitwiseAND(F.lit(1)), k))
+    return a, b
+
+
+def dual(first_ns: Column, second_ns: Column) -> Column:
+    """Two times as 32 hexadecimal digits, the first one above."""
+    return F.concat(F.lpad(F.hex(first_ns), 16, "0"), F.lpad(F.hex(second_ns), 16, "0"))

@@ -43,10 +43,28 @@ def human_to_bytes(s: Column) -> Column:
 
 def bytes_to_human(n: Column) -> Column:
     """Five decimals and a binary unit."""
-    out = F.concat(n.cast("string"), F.lit(" B"))
+    value, unit = n.cast("double"), F.lit(" B")
     for k, name in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB"), 1):
-        out = F.when(n >= 1 << (10 * k), F.format_string(f"%.5f {name}", n / float(1 << (10 * k)))).otherwise(out)
-    return out
+        value, unit = F.when(n >= 1 << (10 * k), n / float(1 << (10 * k))).otherwise(value), F.when(n >= 1 << (10 * k), F.lit(" " + name)).otherwise(unit)
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat(fixed(value, 5), unit))
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """A double's exact value rounded to ``digits`` decimals, half to even, as C's printf does.
+
+    A double below 10 ** 9 in magnitude is a whole number of 2 ** -52 parts of its floor's remainder, so
+    the part after the point times 2 ** 52 is exact and the comparison with one half is one of whole numbers.
+    """
+    size, unit = F.abs(x), 10**digits
+    whole = F.floor(size)
+    parts = ((size - whole) * float(1 << 52)).cast("decimal(38,0)") * unit  # exact below 2 ** 53 * unit
+    low = F.call_function("div", parts, F.lit(1 << 52)).cast("decimal(38,0)")
+    rest = parts - low * (1 << 52)
+    up = (rest > 1 << 51) | ((rest == 1 << 51) & (low % 2 == 1))
+    total = whole.cast("decimal(38,0)") * unit + low + up.cast("int")
+    text = F.lpad(total.cast("decimal(38,0)").cast("string"), F.greatest(F.char_length(total.cast("decimal(38,0)").cast("string")), F.lit(digits + 1)), F.lit("0"))
+    head, tail = F.substr(text, F.lit(1), F.char_length(text) - digits), F.right(text, F.lit(digits))
+    return F.concat(F.when(x < 0, "-").otherwise(""), head, F.lit("."), tail)
 
 
 def log_estimate(n: Column) -> Column:
@@ -55,24 +73,75 @@ def log_estimate(n: Column) -> Column:
 
 
 def ten_power(k: Column) -> Column:
-    return F.pow(F.lit(10.0), k).cast("decimal(38,0)")
+    """10 ** k, exact, for 0 to 37; else null."""
+    return F.when(k.between(0, 37), F.rpad(F.lit("1"), (k + 1).cast("int"), F.lit("0"))).cast("decimal(38,0)")
+
+
+def parse_unsigned(s: Column) -> Column:
+    """A whole number from 0 to 2 ** 64 - 1, else null."""
+    n = F.when(s.rlike("^[0-9]+$"), s.try_cast("decimal(38,0)"))
+    return F.when(n < F.lit(str(1 << 64)).cast("decimal(38,0)"), n)
+
+
+def parse_radix(s: Column) -> Column:
+    """Whole numbers with a prefix: 0x hexadecimal, 0 octal; else decimal."""
+    digits = lambda skip, radix: F.conv(F.substr(s, F.lit(skip + 1)), radix, 10).cast("decimal(20,0)").try_cast("bigint")
+    return F.when(s.rlike("^0[xX][0-9a-fA-F]{1,16}$"), digits(2, 16)).when(s.rlike("^0[0-7]{1,21}$"), digits(1, 8)).otherwise(parse_long(s))
+
+
+def parse_any_double(s: Column) -> Column:
+    """As parse_double, and the words inf, infinity and nan in any case, signed."""
+    word = F.lower(s)
+    named = F.when(word.rlike(r"^\+?inf(inity)?$"), F.lit(float("inf"))).when(word.rlike("^-inf(inity)?$"), F.lit(float("-inf"))).when(word.rlike("^[+-]?nan$"), F.lit(float("nan")))
+    return F.coalesce(named, parse_double(s))
+
+
+def is_lossless(d: Column) -> Column:
+    """Whether a double is a whole number that a 64-bit integer holds."""
+    return F.coalesce(~F.isnan(d) & (F.abs(d) < float(LONG_MAX)) & (d == F.when(F.abs(d) < float(LONG_MAX), d).cast("bigint").cast("double")), F.lit(False))
+
+
+def compare_exact(whole: Column, real: Column) -> Column:
+    """-1, 0 or 1 of a 64-bit integer against a double, by value without loss; below NaN."""
+    held = to_long_saturating(real)
+    part = real - held.cast("double")
+    inside = F.when(whole < held, -1).when(whole > held, 1).when(part > 0, -1).when(part < 0, 1).otherwise(0)
+    return F.when(F.isnan(real) | (real >= float(LONG_MAX)), -1).when(real < float(LONG_MIN), 1).otherwise(inside).cast("long")
+
+
+def log_add(a: Column, b: Column) -> Column:
+    """The estimate of the sum of two numbers whose tenfold log2 estimates are given."""
+    return F.round(F.greatest(a, b) + 10 * F.log2(1 + F.pow(F.lit(2.0), -F.abs(a - b) / 10.0))).cast("bigint")
+
+
+def log_inverse(e: Column) -> Column:
+    """The number of an estimate, rounded."""
+    return F.round(F.pow(F.lit(2.0), e / 10.0)).cast("bigint")
 
 
 @F.pandas_udf(T.LongType())
 def half_encode(v: pd.Series) -> pd.Series:
-    """The 16 bits of the nearest half-precision float."""
-    with np.errstate(over="ignore"):
-        return pd.Series(v.to_numpy(np.float32).astype(np.float16).view(np.uint16).astype(np.int64))
+    """The 16 bits of the nearest half-precision float; null stays null."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        bits = pd.Series(v.to_numpy(np.float32).astype(np.float16).view(np.uint16).astype(np.int64))
+    return bits.astype("Int64").mask(v.isna().to_numpy())
 
 
 @F.pandas_udf(T.DoubleType())
 def half_decode(v: pd.Series) -> pd.Series:
-    return pd.Series(v.to_numpy(np.int64).astype(np.uint16).view(np.float16).astype(np.float64))
+    out = pd.Series(v.fillna(0).to_numpy(np.int64).astype(np.uint16).view(np.float16).astype(np.float64))
+    return out.astype("Float64").mask(v.isna().to_numpy())
+
 
+@F.pandas_udf(T.LongType())
+def brain_encode(v: pd.Series) -> pd.Series:
+    """The 16 high bits of a single-precision float, rounded half to even; null stays null."""
+    x = v.to_numpy(np.float32).view(np.uint32).astype(np.int64)
+    bits = np.where((x & 0x7FFFFFFF) > 0x7F800000, (x >> 16) | 0x40, (x + 0x7FFF + ((x >> 16) & 1)) >> 16)
+    return pd.Series(bits).astype("Int64").mask(v.isna().to_numpy())
 
-def splitmix(x: Column) -> Column:
-    """A bijective mix of 31-bit integers, in steps that cannot overflow 64 bits."""
-    m = F.lit(2147483648)
-    a = F.pmod(F.pmod(x, m) * F.lit(1103515245) + F.lit(12345), m)
-    a = a.bitwiseXOR(F.shiftright(a, 15))
-    return F.pmod(a * F.lit(1664525) + F.lit(1013904223), m)
+
+@F.pandas_udf(T.DoubleType())
+def brain_decode(v: pd.Series) -> pd.Series:
+    out = pd.Series((v.fillna(0).to_numpy(np.int64).astype(np.uint32) << 16).view(np.float32).astype(np.float64))
+    return out.astype("Float64").mask(v.isna().to_numpy())

@@ -63,10 +63,12 @@ def int_width(x: Column) -> Column:
 
 def human_seconds(seconds: Column) -> Column:
     """Four decimals and s, ms, us or ns."""
-    out = F.format_string("%.4f ns", seconds * 1e9)
+    from .numbers import fixed
+
+    value, name = seconds * 1e9, F.lit(" ns")
     for unit, factor in (("us", 1e6), ("ms", 1e3), ("s", 1.0)):
-        out = F.when(seconds >= 1 / factor, F.format_string(f"%.4f {unit}", seconds * factor)).otherwise(out)
-    return out
+        value, name = F.when(seconds >= 1 / factor, seconds * factor).otherwise(value), F.when(seconds >= 1 / factor, F.lit(" " + unit)).otherwise(name)
+    return F.concat(fixed(value, 4), name)
 
 
 def xorshift(x: Column) -> Column:
@@ -79,3 +81,9 @@ def xorshift(x: Column) -> Column:
 def random_hex(x: Column, digits: int = 16) -> Column:
     """Deterministic pseudo-random hexadecimal digits of a value."""
     return F.substring(F.sha2(x.cast("string").cast("binary"), 256), 1, digits)
+
+
+def big_compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 of two whole numbers of up to 38 digits, whatever their types."""
+    x, y = big(a), big(b)
+    return F.when(x < y, -1).when(x > y, 1).otherwise(0).cast("long")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 CHUNK = 8192
 
 
@@ -22,14 +24,9 @@ def complement(df: DataFrame, pos: str, chunk: int = CHUNK) -> DataFrame:
     return every.join(df.select(pos), pos, "left_anti")
 
 
-def ranks(df: DataFrame, pos: str, chunk: int = CHUNK) -> DataFrame:
-    """Distinct positions with rank (set bits strictly below). Running counts in chunks, offsets between them."""
-    bits = df.select(F.col(pos).cast("long").alias(pos)).distinct().withColumn("__c", F.floor(F.col(pos) / chunk))
-    totals = bits.groupBy("__c").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__c", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    inside = Window.partitionBy("__c").orderBy(pos)
-    return bits.join(offsets, "__c").select(pos, (F.col("__o") + F.row_number().over(inside) - 1).cast("long").alias("rank"))
+def ranks(df: DataFrame, pos: str) -> DataFrame:
+    """Distinct positions with rank (set bits strictly below)."""
+    return numbered(df.select(F.col(pos).cast("long").alias(pos)).distinct(), pos, "rank")
 
 
 def select_kth(df: DataFrame, pos: str, ks: list[int]) -> DataFrame:
@@ -78,3 +75,56 @@ def packed_count(df: DataFrame, pos: str) -> DataFrame:
     """Distinct count through packed bitmaps: 4 KB for 32,768 positions instead of a row each."""
     packed = df.groupBy(F.bitmap_bucket_number(F.col(pos)).alias("__c")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(pos))).alias("bits"))
     return packed.agg(F.sum(F.bitmap_count("bits")).alias("n"))
+
+
+def first_last(df: DataFrame, group: str, pos: str) -> DataFrame:
+    """(group, low, high): the smallest and largest set position."""
+    return df.groupBy(group).agg(F.min(pos).alias("low"), F.max(pos).alias("high"))
+
+
+def intersects(df: DataFrame, group: str, pos: str, a, b) -> DataFrame:
+    """One row: whether two bitmaps share a position. The answer of each position is partially aggregated."""
+    held = df.where(F.col(group).isin(a, b)).groupBy(pos).agg((F.bool_or(F.col(group) == a) & F.bool_or(F.col(group) == b)).alias("__both"))
+    return held.agg(F.coalesce(F.bool_or("__both"), F.lit(False)).alias("intersects"))
+
+
+def get_bits(df: DataFrame, asked: DataFrame, pos: str) -> DataFrame:
+    """The asked positions with bit: whether they are set."""
+    return asked.join(df.select(pos).distinct().withColumn("bit", F.lit(True)), pos, "left").withColumn("bit", F.coalesce("bit", F.lit(False)))
+
+
+def set_bits(df: DataFrame, changes: DataFrame, pos: str) -> DataFrame:
+    """Positions after ``changes`` (pos, bit), at most one a position."""
+    return df.select(pos).distinct().join(changes.select(pos), pos, "left_anti").unionByName(changes.where("bit").select(pos))
+
+
+def first_n(df: DataFrame, pos: str, n: int) -> DataFrame:
+    """The n smallest positions; each task keeps n."""
+    return df.select(pos).distinct().orderBy(pos).limit(n)
+
+
+def pack(df: DataFrame, group: str, pos: str) -> DataFrame:
+    """(group, chunk, bits): packed bitmaps of 32,768 positions each; positions must not be negative."""
+    at = F.col(pos) + 1  # Spark's buckets count from 1
+    return df.groupBy(group, F.bitmap_bucket_number(at).alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+
+
+def unpack(packed: DataFrame, group: str, pos: str) -> DataFrame:
+    """(group, pos) of packed bitmaps, read byte by byte from their hexadecimal form: set bits only."""
+    size = F.octet_length("bits")
+    every = F.sequence(F.lit(0), size - 1)
+    bytes_ = F.filter(F.transform(every, lambda i: F.struct(i.alias("i"), F.conv(F.substr(F.hex("bits"), 2 * i + 1, F.lit(2)), 16, 10).cast("int").alias("b"))), lambda x: x["b"] != 0)
+    rows = packed.select(group, "chunk", F.explode(bytes_).alias("x"))
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: F.call_function("shiftright", F.col("x.b"), k).bitwiseAND(F.lit(1)) == 1))
+    return rows.select(group, "chunk", "x", bit.alias("k")).select(group, ((F.col("chunk") - 1) * 32768 + F.col("x.i") * 8 + F.col("k")).cast("long").alias(pos))
+
+
+def matrix(df: DataFrame, row: str, col: str, value: str, width: int) -> DataFrame:
+    """A sparse matrix of ``width``-bit values: rows (row, col, value) with the value cut to its bits and zeros left out."""
+    cut = F.col(value).cast("long").bitwiseAND(F.lit((1 << width) - 1))
+    return df.select(row, col, cut.alias(value)).where(F.col(value) != 0)
+
+
+def matrix_positions(df: DataFrame, row: str, col: str, cols: int) -> DataFrame:
+    """Adds pos, the row-major position."""
+    return df.withColumn("pos", F.col(row) * cols + F.col(col))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections import OrderedDict
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import numbered, running_sum
+
 
 class SegmentedLRU:
     """Entries rise a level on each access; the coldest entry of the lowest used level is evicted, or demoted if above level 0."""
@@ -49,8 +51,8 @@ class SegmentedLRU:
 def replay(log: DataFrame, shard: str, order: str, key: str, capacity: int, levels: int = 4) -> DataFrame:
     """(shard, accesses, hits, evictions): each shard's log replayed in order.
 
-    The cache is sharded, as a large cache is, so the replay is parallel over shards; within
-    a shard it streams over Arrow batches in order and holds ``capacity`` entries.
+    The cache is sharded, as a large cache is, so the replay is parallel over shards. A shard's log is
+    one group, sent as a whole to a task: choose as many shards as keep it in memory.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -72,5 +74,24 @@ def expired(log: DataFrame, key: str, ts: str, ttl_us: int, now_us) -> DataFrame
 def coldest(log: DataFrame, key: str, ts: str, weight: str, keep: float) -> DataFrame:
     """Keys to evict, least recently used first, until the weight of the rest is at most ``keep``."""
     entries = log.groupBy(key).agg(F.max(ts).alias("last"), F.max_by(weight, ts).alias("w"))
-    warm = Window.orderBy(F.col("last").desc(), F.col(key).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return entries.withColumn("__w", F.sum("w").over(warm)).where(F.col("__w") > keep).drop("__w")
+    return running_sum(entries, "last", "w", "__w", [key], desc=True).where(F.col("__w") > keep).drop("__w")
+
+
+def evict(log: DataFrame, key: str, ts: str, keep: int, policy: str, seed: int = 1, veto: Column | None = None) -> DataFrame:
+    """Keys to evict until ``keep`` keys are left: by ``lru`` (least recently used first), ``lfu`` (least often used), ``random`` (by a seeded hash) or ``ttl`` (oldest first write).
+
+    ``veto``, over the columns key, first, last and uses, keeps keys from eviction; they count among those left.
+    """
+    entries = log.groupBy(key).agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("uses"))
+    order = {"lru": F.col("last"), "lfu": F.col("uses"), "random": F.xxhash64(F.lit(seed), F.col(key)), "ttl": F.col("first")}[policy]
+    held = F.coalesce(veto, F.lit(False)) if veto is not None else F.lit(False)
+    entries = entries.withColumn("__held", held).withColumn("__o", order)
+    over = entries.agg(F.greatest(F.count(F.lit(1)) - keep, F.lit(0)).alias("n")).scalar()
+    placed = numbered(entries.where("not __held"), "__o", "__p", [key])
+    return placed.where(F.col("__p") < over).drop("__held", "__o", "__p")
+
+
+def by_level(log: DataFrame, key: str, weight: str, levels: int) -> DataFrame:
+    """(level, keys, weight): entries by the level that their uses raise them to, and what they weigh."""
+    entries = log.groupBy(key).agg(F.least(F.count(F.lit(1)) - 1, F.lit(levels - 1)).alias("level"), F.max(weight).alias("__w"))
+    return entries.groupBy("level").agg(F.count(F.lit(1)).alias("keys"), F.sum("__w").alias("weight"))

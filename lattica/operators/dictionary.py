@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
     """(value, code, refs): dense codes in value order and reference counts; only distinct values are ordered."""
     refs = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("refs"))
-    return refs.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("long").alias("code"), "refs")
+    return numbered(refs, "value", "code").select("value", "code", "refs")
 
 
 def encode(df: DataFrame, column: str, words: DataFrame) -> DataFrame:

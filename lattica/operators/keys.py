@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,8 +31,13 @@ def is_subset(a: DataFrame, b: DataFrame, group: str, key: str) -> DataFrame:
 
 def same_sets(df: DataFrame, group: str, key: str) -> DataFrame:
     """Groups with equal key sets: each group with the smallest group that equals it."""
-    sets = df.groupBy(group).agg(F.sort_array(F.collect_set(key)).alias("__set"))
-    return sets.join(sets.groupBy("__set").agg(F.min(group).alias("same_as")), "__set").select(group, "same_as")
+    rows = df.select(F.col(group).alias("g"), F.col(key).alias("k")).distinct()
+    # an order-free print of each set, then the keys of each group against those of the first one with its print
+    mark = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "k")).alias("y"))
+    firsts = mark.groupBy("n", "x", "y").agg(F.min("g").alias("r"))
+    pairs = mark.join(firsts, ["n", "x", "y"]).select("g", "n", "r")
+    common = rows.join(pairs.where("g != r"), "g").join(rows.select(F.col("g").alias("r2"), F.col("k").alias("k2")), (F.col("r") == F.col("r2")) & F.col("k").eqNullSafe(F.col("k2"))).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    return pairs.join(common, "g", "left").select(F.col("g").alias(group), F.when(F.col("c") == F.col("n"), F.col("r")).otherwise(F.col("g")).alias("same_as"))
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:
@@ -53,7 +58,3 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     p = points.withColumn("__b", F.floor(F.col(point) / width))
     r = ranges.withColumn("__b", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
     return p.join(r, "__b").where(F.col(point).between(F.col(low), F.col(high))).drop("__b")
-
-
-def null_safe(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)

@@ -6,6 +6,10 @@ Node tables are small (a cluster's members) and are broadcast after a check of t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,18 +44,105 @@ def ring_points(nodes: DataFrame, points: int) -> DataFrame:
 
 
 def ring(keys: DataFrame, key: str, nodes: DataFrame, points: int = 40) -> DataFrame:
-    """(key, node_id): the node of the first ring point at or after the key's hash, wrapping around.
+    """(key, node_id): the node, whatever its state, of the first ring point at or after the key's hash, wrapping around."""
+    return ring_replicas(keys, key, nodes.select("node_id", "weight"), 1, points).select(key, "node_id")
+
+
+def ring_replicas(keys: DataFrame, key: str, nodes: DataFrame, replicas: int, points: int = 40) -> DataFrame:
+    """(key, replica, node_id): the first distinct nodes from the key's place on the ring on.
+
+    Nodes that aren't up (column state, if there is one) are passed over. The ring, of checked size, is
+    sorted once and goes to the tasks; each batch of keys is placed by binary search, so
+    keys aren't shuffled. Fewer live nodes than replicas give as many as there are.
+    """
+    live = nodes.where("state = 'up'") if "state" in nodes.columns else nodes
+    small(live, MOST_NODES)
+    sorted_points = [(r["point"], r["node_id"]) for r in ring_points(live, points).orderBy("point", "node_id").collect()]
+    at = keys.sparkSession.sparkContext.broadcast((np.array([p for p, _ in sorted_points], np.int64), np.array([n for _, n in sorted_points], np.int64)))
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, owner = at.value
+        follow: dict[int, list[int]] = {}  # replicas from each point that a key came to
+
+        def walk(start: int) -> list[int]:
+            found: dict[int, None] = {}
+            for step in range(len(owner)):
+                found.setdefault(int(owner[(start + step) % len(owner)]))
+                if len(found) == replicas:
+                    break
+            return list(found)
+
+        for f in frames:
+            starts = np.searchsorted(where, f["__h"].to_numpy(np.int64)) % max(len(where), 1)
+            for s in np.unique(starts).tolist():
+                if s not in follow:
+                    follow[s] = walk(s)
+            lists = [follow[s] for s in starts.tolist()]
+            rows = np.repeat(np.arange(len(f)), [len(x) for x in lists])
+            yield pd.DataFrame({key: f[key].to_numpy()[rows], "replica": np.concatenate([np.arange(len(x)) for x in lists] or [[]]).astype(np.int64), "node_id": np.array([n for x in lists for n in x], np.int64)})
+
+    hashed = keys.select(key, hash60(F.col(key)).alias("__h"))
+    return hashed.mapInPandas(place, f"`{key}` {dict(hashed.dtypes)[key]}, replica bigint, node_id bigint")
+
+
+def with_changes(nodes: DataFrame, changes: DataFrame) -> DataFrame:
+    """The node table after a log of changes (version, op, node_id, weight, state, rack).
+
+    ``add`` puts a node, ``state`` changes the state of a node that is there, ``remove`` takes it out.
+    Changes of a node apply by version; a state of an absent node is ignored. Each row keeps the version that last touched it.
+    """
+    columns = ["node_id", "weight", "state", "rack"]
+    start = nodes.select(*columns, F.lit(0).cast("long").alias("version"), F.lit("add").alias("op"))
+    log = start.unionByName(changes.select(*columns, F.col("version").cast("long"), "op"))
+    upto = Window.partitionBy("node_id").orderBy("version")
+    row = F.struct("weight", "rack")
+    seen = log.withColumn("__put", F.last(F.when(F.col("op") != "state", F.struct("op", row.alias("row"), "state", F.col("version").alias("at"))), ignorenulls=True).over(upto))
+    seen = seen.withColumn("__state", F.when(F.col("op") == "state", F.col("state")).otherwise(F.col("__put.state")))
+    last = seen.groupBy("node_id").agg(F.max_by(F.struct("__put", "__state", "version"), "version").alias("r")).where("r.__put.op = 'add'")
+    return last.select("node_id", F.col("r.__put.row.weight").alias("weight"), F.col("r.__state").alias("state"), F.col("r.__put.row.rack").alias("rack"), F.col("r.version").alias("version"))
+
+
+def delta(nodes: DataFrame, since: int) -> DataFrame:
+    """Rows that changed after a version; with ``with_changes`` of a full copy they bring it up to date."""
+    return nodes.where(F.col("version") > since)
+
 
-    The ring is one sorted array; each key finds its place inside its row.
+def plan_read(placed: DataFrame, key: str, nodes: DataFrame, need: int, load: str) -> DataFrame:
+    """(key, n_up, satisfied, node_id): reads go to the live replica with the least load, if enough replicas live."""
+    up = placed.join(_nodes(nodes.where("state = 'up'").select("node_id", load)), "node_id")
+    best = up.groupBy(key).agg(F.count(F.lit(1)).alias("n_up"), F.min_by("node_id", F.struct(load, "replica")).alias("__best"))
+    every = placed.select(key).distinct().join(best, key, "left")
+    enough = F.coalesce(F.col("n_up") >= need, F.lit(False))
+    return every.select(key, F.coalesce("n_up", F.lit(0)).cast("long").alias("n_up"), enough.alias("satisfied"), F.when(enough, F.col("__best")).alias("node_id"))
+
+
+def move_list(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(key, replica, from_node, to_node): the replicas that a change of nodes moves; the nodes left and joined are paired in order."""
+    left = before.join(after.select(key, "node_id"), [key, "node_id"], "left_anti")
+    new = after.join(before.select(key, "node_id"), [key, "node_id"], "left_anti")
+    numbered = lambda df: df.select(key, "node_id", (F.row_number().over(Window.partitionBy(key).orderBy("replica")) - 1).cast("long").alias("replica"))
+    return numbered(left).withColumnRenamed("node_id", "from_node").join(numbered(new).withColumnRenamed("node_id", "to_node"), [key, "replica"], "full").select(key, "replica", "from_node", "to_node")
+
+
+def keyspaces(keys: DataFrame, key: str, spaces: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, space, node_id): keys routed to the space with the longest prefix of theirs, then to a node of its rack by rendezvous.
+
+    Spaces (space, prefix, rack) are few and broadcast; a null rack takes all nodes.
     """
-    sorted_points = ring_points(_nodes(nodes), points).agg(F.sort_array(F.collect_list(F.struct("point", "node_id"))).alias("ring"))
-    at = hash60(F.col(key))
-    after = F.get(F.filter("ring", lambda p: p["point"] >= at), F.lit(0))
-    return keys.select(key, sorted_points.scalar().alias("ring")).select(key, F.coalesce(after, F.get("ring", F.lit(0)))["node_id"].alias("node_id"))
+    routed = keys.join(small(spaces, MOST_NODES), F.col(key).cast("string").startswith(F.col("prefix")), "left")
+    best = routed.groupBy(key).agg(F.max_by(F.struct("space", "rack"), F.char_length("prefix")).alias("s")).select(key, "s.*")
+    offers = _nodes(nodes.select("node_id", F.col("rack").alias("__rack")))
+    weight = hash60(F.concat_ws("/", F.col(key).cast("string"), F.col("node_id").cast("string")))
+    placed = best.where("space is not null").join(offers, F.col("rack").isNull() | (F.col("rack") == F.col("__rack")))
+    return placed.groupBy(key, "space").agg(F.max_by("node_id", F.struct(weight, "node_id")).alias("node_id"))
+
+
+#: Jumps that are folded in an expression; jumps number about the logarithm of the buckets, and a key that needs more raises.
+JUMPS = 64
 
 
 def jump(h: Column, buckets: int) -> Column:
-    """Jump consistent hash of a non-negative 60-bit hash: a fold over at most 64 jumps.
+    """Jump consistent hash of a non-negative 60-bit hash: a fold over jumps until one passes the last bucket.
 
     The generator is a linear congruence modulo 2**31 - 1, so nothing overflows.
     """
@@ -62,15 +153,29 @@ def jump(h: Column, buckets: int) -> Column:
         j = F.floor((s["j"] + 1) * (F.lit(2147483647.0) / (x + 1))).cast("long")
         return F.when(s["j"] >= buckets, s).otherwise(F.struct(x.alias("x"), s["j"].alias("b"), j.alias("j")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, step)["b"]
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(JUMPS)), start, step)
+    return F.when(end["j"] >= buckets, end["b"]).otherwise(F.raise_error(F.lit(f"a key has not settled in {JUMPS} jumps")))
 
 
 def lookup_table(nodes: DataFrame, size: int) -> DataFrame:
-    """A permutation table (slot, node_id): every slot goes to the node whose preference list names it first."""
-    ordered = nodes.select("node_id", (hash60(F.concat(F.lit("o"), F.col("node_id").cast("string"))) % size).alias("offset"), (hash60(F.concat(F.lit("s"), F.col("node_id").cast("string"))) % (size - 1) + 1).alias("skip"))
-    turns = ordered.select("node_id", "offset", "skip", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("turn"))
-    wish = turns.select("node_id", "turn", ((F.col("offset") + F.col("turn") * F.col("skip")) % size).alias("slot"))
-    return wish.groupBy("slot").agg(F.min_by("node_id", F.struct("turn", "node_id")).alias("node_id"))
+    """A permutation table (slot, node_id), filled in turns: each node in turn takes the first free slot of its preference list.
+
+    ``size`` is prime and the nodes are few (checked), so the table, which every key is looked up in, is filled
+    on the driver; nodes' shares differ by one slot at most.
+    """
+    text = F.col("node_id").cast("string")
+    ordered = nodes.select("node_id", (hash60(F.concat(F.lit("o"), text)) % size).alias("offset"), (hash60(F.concat(F.lit("s"), text)) % (size - 1) + 1).alias("skip"))
+    small(ordered, MOST_NODES)
+    rows, taken, turn = ordered.orderBy("node_id").collect(), {}, {}
+    while rows and len(taken) < size:
+        for r in rows:
+            k = turn.get(r["node_id"], 0)
+            while (slot := (r["offset"] + k * r["skip"]) % size) in taken:
+                k += 1
+            taken[slot], turn[r["node_id"]] = r["node_id"], k + 1
+            if len(taken) == size:
+                break
+    return nodes.sparkSession.createDataFrame(sorted(taken.items()), "slot int, node_id long")
 
 
 def plan_quorum(placed: DataFrame, key: str, nodes: DataFrame, need: int) -> DataFrame:

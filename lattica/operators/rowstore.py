@@ -99,3 +99,78 @@ def mixed_order(number: Column, text: Column) -> list[Column]:
     """A total order over mixed values: nulls, then numbers by value, then strings by bytes."""
     rank = F.when(number.isNotNull(), 1).when(text.isNotNull(), 2).otherwise(0)
     return [rank.alias("type_rank"), number, text]
+
+
+def page(df: DataFrame, key: str, cursor: int, pages: int) -> DataFrame:
+    """One page of a resumable scan: every row is on exactly one of ``pages`` pages, whatever was added meanwhile."""
+    return df.where(F.pmod(F.xxhash64(key), F.lit(pages)) == cursor)
+
+
+def dump(df: DataFrame, keys: list[str], chunk: int) -> DataFrame:
+    """(chunk, rows): all rows as arrays of ``chunk`` rows in key order within ranges of the first key, so no array holds them all."""
+    low = F.floor(F.col(keys[0]) / chunk).alias("chunk")
+    return df.groupBy(low).agg(F.sort_array(F.collect_list(F.struct(*keys, *[c for c in df.columns if c not in keys]))).alias("rows"))
+
+
+def update(df: DataFrame, key: str, values: DataFrame, column: str) -> DataFrame:
+    """``column`` replaced in place for the keys of ``values`` (key, column); other keys are ignored."""
+    new = values.select(F.col(key).alias("__k"), F.col(column).alias("__v"))
+    got = df.join(new, F.col(key) == F.col("__k"), "left")
+    return got.select(*[F.when(F.col("__k").isNotNull(), F.col("__v")).otherwise(F.col(c)).alias(c) if c == column else F.col(c) for c in df.columns])
+
+
+def get_and_delete(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(the rows of the keys, the store without them)."""
+    gone = keys.select(key).distinct()
+    return df.join(gone, key, "left_semi"), df.join(gone, key, "left_anti")
+
+
+def delete_one(df: DataFrame, keys: DataFrame, key: str, order: str) -> DataFrame:
+    """A bag with as many of a key's rows less as ``keys`` has of the key, in ``order``."""
+    gone = keys.groupBy(key).agg(F.count(F.lit(1)).alias("__gone"))
+    placed = df.join(gone, key, "left").withColumn("__i", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    return placed.where(F.col("__gone").isNull() | (F.col("__i") > F.col("__gone"))).drop("__gone", "__i")
+
+
+def truncate(df: DataFrame) -> DataFrame:
+    return df.where(F.lit(False))
+
+
+def at_or_after(df: DataFrame, probes: DataFrame, key: str, width: int) -> DataFrame:
+    """(probe, key): the smallest stored key at or after each probe, null beyond the last.
+
+    Stored keys and probes of a bucket of ``width`` are swept together, backwards; a probe after
+    the last key of its bucket takes the first key of the next bucket that has one.
+    """
+    stored = df.select(F.col(key).alias("__x"), F.lit(None).cast(df.schema[key].dataType).alias("probe"))
+    both = stored.union(probes.select(F.col("probe").alias("__x"), "probe")).withColumn("__b", F.floor(F.col("__x") / width))
+    back = Window.partitionBy("__b").orderBy(F.col("__x").desc(), F.col("probe").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    swept = both.withColumn("__k", F.last(F.when(F.col("probe").isNull(), F.col("__x")), ignorenulls=True).over(back))
+    later = Window.orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    firsts = both.groupBy("__b").agg(F.min(F.when(F.col("probe").isNull(), F.col("__x"))).alias("__f"))
+    firsts = firsts.select("__b", F.last("__f", ignorenulls=True).over(later).alias("__next"))
+    return swept.where("probe is not null").join(firsts, "__b").select("probe", F.coalesce("__k", "__next").alias(key))
+
+
+def put_present(df: DataFrame, values: DataFrame, key: str, value: str) -> DataFrame:
+    """A dictionary in which only keys that are present get new values."""
+    return update(df, key, values, value)
+
+
+def bucket_sizes(df: DataFrame, bucket: Column) -> DataFrame:
+    """(held, buckets, n): a histogram of the rows that buckets hold."""
+    sizes = df.groupBy(bucket.alias("__b")).agg(F.count(F.lit(1)).alias("held"))
+    return sizes.groupBy("held").agg(F.count(F.lit(1)).alias("buckets"), F.sum("held").alias("n"))
+
+
+def walk(df: DataFrame, key: str, visit, schema: str, going: Column) -> DataFrame:
+    """What ``visit`` makes of the rows before the first one, in key order, where ``going`` fails.
+
+    ``visit`` takes and returns a batch of rows as a pandas frame; batches are disjoint and in no order between them.
+    """
+
+    def run(frames):
+        for f in frames:
+            yield visit(f)
+
+    return take_while(df, [key], going).mapInPandas(run, schema)

@@ -69,3 +69,36 @@ def random_members(df: DataFrame, group: list[str], member: str, k: int, seed: i
     """k distinct members of each group, by a seeded hash order."""
     w = Window.partitionBy(*group).orderBy(F.xxhash64(F.lit(seed), F.col(member)), member)
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
+
+
+def add(df: DataFrame, new: DataFrame, group: list[str], score: str, member: str, mode: str = "set") -> DataFrame:
+    """The sets after upserts of ``new`` (group, member, score; members unique in each).
+
+    ``set`` replaces scores; ``nx`` only adds absent members; ``xx`` only changes present ones;
+    ``incr`` adds to the score, from nothing for an absent member. Whole numbers stay exact.
+    """
+    key = [*group, member]
+    both = df.select(*key, F.col(score).alias("__old"), F.lit(True).alias("__a")).join(new.select(*key, F.col(score).alias("__new"), F.lit(True).alias("__b")), key, "full")
+    old, fresh = F.col("__a").isNotNull(), F.col("__b").isNotNull()
+    value = {
+        "set": F.when(fresh, F.col("__new")).otherwise(F.col("__old")), "nx": F.when(old, F.col("__old")).otherwise(F.col("__new")),
+        "xx": F.when(fresh, F.col("__new")).otherwise(F.col("__old")), "incr": F.when(old & fresh, F.col("__old") + F.col("__new")).otherwise(F.coalesce("__old", "__new")),
+    }[mode]
+    return (both.where(old) if mode == "xx" else both).select(*key, value.alias(score))
+
+
+def remove(df: DataFrame, gone: DataFrame, group: list[str], member: str) -> tuple[DataFrame, DataFrame]:
+    """(removed members with their scores, what is left)."""
+    keys = gone.select(*group, member).distinct()
+    return df.join(keys, [*group, member], "left_semi"), df.join(keys, [*group, member], "left_anti")
+
+
+def scores(df: DataFrame, asked: DataFrame, group: list[str], score: str, member: str) -> DataFrame:
+    """The asked members with their scores, null where a member is absent."""
+    return asked.select(*group, member).join(df.select(*group, member, score), [*group, member], "left")
+
+
+def scan_from(df: DataFrame, group: list[str], score: str, member: str, at, k: int, forward: bool = True) -> DataFrame:
+    """A cursor: the next k rows of each set in (score, member) order from a score on, with place (1-based)."""
+    rows = df.where(F.col(score) >= at if forward else F.col(score) <= at)
+    return top(rows, group, score, member, k, largest=not forward)

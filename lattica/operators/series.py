@@ -42,8 +42,9 @@ def _xor_sizes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for f in frames:
         x = (f["__v"].to_numpy(np.float64).view(np.int64) ^ f["__p"].fillna(0.0).to_numpy(np.float64).view(np.int64)).view(np.uint64)
-        lead = np.array([64 - int(v).bit_length() for v in x], np.int64)
-        trail = np.array([(int(v) & -int(v)).bit_length() - 1 if v else 0 for v in x], np.int64)
+        high = np.frexp((x >> np.uint64(32)).astype(np.float64))[1], np.frexp((x & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
+        lead = 64 - np.where(high[0] > 0, 32 + high[0], high[1])
+        trail = np.where(x > 0, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.int64), 0)
         bits = np.where(f["__p"].isna(), 64, np.where(x == 0, 1, 14 + 64 - lead - trail))
         yield f.drop(columns=["__v", "__p"]).assign(xor_bits=x.view(np.int64), bits=bits.astype(np.int64))
 
@@ -97,3 +98,17 @@ def last_n(df: DataFrame, group: list[str], order: list[str], n: int) -> DataFra
 def buckets(df: DataFrame, ts: str, width: str, group: list[str], v: str) -> DataFrame:
     b = F.window(F.col(ts), width)["start"].cast("timestamp_ntz")
     return df.groupBy(*group, b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(v), 4).alias("total"), F.min(v).alias("low"), F.max(v).alias("high"))
+
+
+def products(df: DataFrame, group: str, v: str) -> DataFrame:
+    """(group, product): the exact product of whole numbers, modulo nothing: null beyond 38 digits, a long where it fits one.
+
+    Equal factors are counted before the shuffle, so what meets in a group is its distinct factors.
+    """
+    counts = df.groupBy(group, v).agg(F.count(F.lit(1)).alias("__n"))
+    big = lambda x: x.cast("decimal(38,0)")
+    power = F.aggregate(F.sequence(F.lit(1), F.col("__n")), big(F.lit(1)), lambda a, _: big(F.try_multiply(a, big(F.col(v)))))
+    powers = counts.select(group, F.when(F.abs(v) <= 1, F.when((F.col(v) < 0) & (F.col("__n") % 2 == 0), big(F.lit(1))).otherwise(big(F.col(v)))).when(F.col("__n") <= 126, power).alias("__p"))
+    each = powers.groupBy(group).agg(F.collect_list(F.coalesce("__p", big(F.lit(None)))).alias("__f"), F.count_if(F.col("__p").isNull()).alias("__lost"), F.count_if(F.col("__p") == 0).alias("__zero"))
+    product = F.aggregate("__f", big(F.lit(1)), lambda a, x: big(F.try_multiply(a, x)))
+    return each.select(group, F.when(F.col("__zero") > 0, big(F.lit(0))).when(F.col("__lost") == 0, product).try_cast("bigint").alias("product"))

@@ -56,3 +56,43 @@ def decayed(df: DataFrame, group: list[str], ts_us: str, now_us: int, half_life_
     """Counters of small width that halve every half life: floor(min(count, most) * 0.5 ** (age / half life)), age from the last event."""
     c = df.groupBy(*group).agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("n"), F.max(ts_us).alias("last"))
     return c.select(*group, F.col("n").cast("long").alias("n"), F.floor(F.col("n") * F.pow(F.lit(0.5), (F.lit(now_us) - F.col("last")) / F.lit(half_life_us))).alias("decayed"))
+
+
+#: Counting filter: cells of 3 bits, saturating.
+CELL_MOST = 7
+
+
+def counting_filter(df: DataFrame, x: str, cells: int = 1 << 20, probes: int = 4) -> DataFrame:
+    """(cell, n): a counting filter of 3-bit cells under conservative updates.
+
+    A conservative update raises only the smallest cells of a key, so what it leaves depends on
+    the order of keys; no order leaves a cell below the count of a key on it. Here a cell is the
+    largest of these counts, capped: the tightest such filter, and one that any partitions give alike.
+    """
+    counts = df.groupBy(x).agg(F.least(F.count(F.lit(1)), F.lit(CELL_MOST)).alias("n"))
+    return counts.select("n", F.explode(F.array_distinct(bloom_places(F.col(x), cells, probes))).alias("cell")).groupBy("cell").agg(F.max("n").cast("int").alias("n"))
+
+
+def counting_estimate(keys: DataFrame, x: str, filled: DataFrame, cells: int = 1 << 20, probes: int = 4) -> DataFrame:
+    """(x, estimate): the smallest cell of each key, never below its capped count; 0 if any of its cells is empty."""
+    asked = keys.select(x).distinct().select(x, F.explode(F.array_distinct(bloom_places(F.col(x), cells, probes))).alias("cell"))
+    return asked.join(filled, "cell", "left").groupBy(x).agg(F.min(F.coalesce("n", F.lit(0))).cast("long").alias("estimate"))
+
+
+def halved(filled: DataFrame, times: int = 1) -> DataFrame:
+    """Every cell halved so many times; empty cells go."""
+    return filled.withColumn("n", F.shiftright("n", times)).where("n > 0")
+
+
+def decayed_by(filled: DataFrame, factor: float, seed: int | None = None) -> DataFrame:
+    """Cells times a factor: rounded down, or with a seed up with the probability of the rest, by a hash of cell and seed.
+
+    A factor of 1 or more changes nothing; one of 1/8 or less empties the filter.
+    """
+    if factor >= 1:
+        return filled
+    if factor <= 0.125:
+        return filled.where(F.lit(False))
+    exact = F.col("n") * F.lit(factor)
+    up = F.lit(0) if seed is None else (F.pmod(F.xxhash64("cell", F.lit(seed)), F.lit(1 << 20)) < (exact - F.floor(exact)) * (1 << 20)).cast("int")
+    return filled.withColumn("n", (F.floor(exact) + up).cast("int")).where("n > 0")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dictionary, keys, rowstore, scored
+from ..operators.order import numbered
 from .registry import query
 
 
@@ -89,11 +90,10 @@ def rs_position(t, spark, sf):
 @query("SELECT k, row_number() OVER (ORDER BY (CASE WHEN n IS NOT NULL THEN 1 ELSE 2 END), n, k) - 1 AS pos FROM (SELECT DISTINCT k, TRY_CAST(k AS BIGINT) AS n FROM (SELECT CAST(n_nationkey AS VARCHAR) AS k FROM nation UNION ALL SELECT n_name FROM nation))")
 def rs_mixed_order(t, spark, sf):
     """Numbers before strings, each by value."""
-    from pyspark.sql import Window
-
     rows = t("nation").select(F.col("n_nationkey").cast("string").alias("k")).union(t("nation").select("n_name")).distinct()
     n = F.col("k").try_cast("bigint")
-    return rows.select("k", (F.row_number().over(Window.orderBy(*rowstore.mixed_order(n, F.col("k")))) - 1).cast("long").alias("pos"))
+    keyed = rows.select("k", F.struct(*rowstore.mixed_order(n.alias("n"), F.col("k").alias("s"))).alias("o"))
+    return numbered(keyed.select("k", "o.type_rank", "o.n", "o.s"), "type_rank", "pos", ["n", "s"]).select("k", "pos")
 
 
 _DICTS = "a AS (SELECT c_nationkey AS k, max(c_acctbal) AS v FROM customer WHERE c_nationkey < 20 GROUP BY 1), b AS (SELECT s_nationkey AS k, max(s_acctbal) AS v FROM supplier WHERE s_nationkey > 5 GROUP BY 1)"
@@ -122,11 +122,9 @@ def dict_encode(t, spark, sf):
 
 @query("SELECT p_type AS value, row_number() OVER (ORDER BY p_type) - 1 AS code0, refs FROM (SELECT p_type, count(*) - count(*) FILTER (p_size < 25) AS refs FROM part GROUP BY 1) WHERE refs > 0")
 def dict_refcount(t, spark, sf):
-    from pyspark.sql import Window
-
     parts = t("part")
     left = dictionary.release(dictionary.dictionary(parts, "p_type"), parts.where("p_size < 25"), "p_type")
-    return left.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("long").alias("code0"), "refs")
+    return numbered(left, "value", "code0").select("value", "code0", "refs")
 
 
 @query("SELECT l_partkey AS k FROM lineitem WHERE l_quantity < 10 INTERSECT ALL SELECT l_partkey FROM lineitem WHERE l_discount > 0.05")

@@ -143,8 +143,7 @@ def px_point_update(t, spark, sf):
 @query("SELECT o_custkey, CAST(product(1 + o_orderkey % 3) AS BIGINT) AS p FROM orders GROUP BY 1")
 def agg_product(t, spark, sf):
     """Products of small integers, exact in 64 bits."""
-    each = F.collect_list((1 + F.col("o_orderkey") % 3).cast("long"))
-    return t("orders").groupBy("o_custkey").agg(F.aggregate(each, F.lit(1).cast("long"), lambda a, x: a * x).alias("p"))
+    return series.products(t("orders").select("o_custkey", (1 + F.col("o_orderkey") % 3).cast("long").alias("f")), "o_custkey", "f").withColumnRenamed("product", "p")
 
 
 @query("SELECT user_id, count(*) FILTER (value < 50) AS low, count(*) FILTER (value >= 50) AS high, count(DISTINCT event_type) AS kinds, round(sum(-value), 3) AS negated FROM events GROUP BY 1")

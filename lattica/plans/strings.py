@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ids, numbers, text
+from ..operators.order import numbered
 from .registry import query
 
+
 def _names(t):
     return t("part").select("p_partkey", F.col("p_name").alias("s"))
 
@@ -30,10 +32,9 @@ def txt_prefix_suffix(t, spark, sf):
     return _names(t).select("p_partkey", F.col("s").startswith("a").alias("starts"), F.col("s").endswith("e").alias("ends"), F.col("s").contains("ed").alias("holds"))
 
 
-@query("SELECT doc_id, substring(text, 6, 10) AS mid, substring(text, 2, length(text) - 2) AS inner_part, left(text, 3) AS head FROM documents WHERE length(text) > 20")
+@query("SELECT doc_id, substring(text, 6, 10) AS mid, substring(text, 2, greatest(length(text) - 2, 0)) AS inner_part, left(text, 3) AS head FROM documents")
 def txt_substr(t, spark, sf):
-    d = _docs(t).where(F.char_length(F.col("s")) > 20)
-    return d.select("doc_id", text.substring(F.col("s"), 5, 10).alias("mid"), text.slice_inclusive(F.col("s"), 1, -2).alias("inner_part"), text.slice_inclusive(F.col("s"), 0, 2).alias("head"))
+    return _docs(t).select("doc_id", text.substring(F.col("s"), 5, 10).alias("mid"), text.slice_inclusive(F.col("s"), 1, -2).alias("inner_part"), text.slice_inclusive(F.col("s"), 0, 2).alias("head"))
 
 
 @query("SELECT p_partkey, trim(p_name, 'aeiou ') AS trimmed, length(p_name) - length(ltrim(p_name, 'abcdefghij')) AS spanned FROM part")
@@ -163,13 +164,11 @@ def id64_fields(t, spark, sf):
     return i.select("event_id", "id", ids.ticks(F.col("id"), "ms64").alias("ticks"), ids.random_part(F.col("id"), "ms64").alias("low"))
 
 
-@query(f"SELECT event_id, {_ID} AS id, 13 AS n, row_number() OVER (ORDER BY {_ID}) AS place FROM events WHERE event_id < 2000")
+@query(f"SELECT event_id, {_ID} AS id, 13 AS n, row_number() OVER (ORDER BY {_ID}, event_id) AS place FROM events")
 def id64_base36(t, spark, sf):
     """Base-36 text decodes to the id, has 13 digits, and sorts as the ids do."""
-    from pyspark.sql import Window
-
-    coded = _ids(t).where("event_id < 2000").withColumn("b", ids.base36(F.col("id")))
-    return coded.select("event_id", ids.from_base36(F.col("b")).alias("id"), F.char_length("b").alias("n"), F.row_number().over(Window.orderBy("b")).cast("long").alias("place"))
+    coded = numbered(_ids(t).withColumn("b", ids.base36(F.col("id"))), "b", "place", ["event_id"])
+    return coded.select("event_id", ids.from_base36(F.col("b")).alias("id"), F.char_length("b").alias("n"), (F.col("place") + 1).alias("place"))
 
 
 @query(f"SELECT event_id, {_ID} AS id, 13 AS n, rank() OVER (ORDER BY {_ID}) AS place FROM events")
@@ -190,7 +189,7 @@ def id128_fields(t, spark, sf):
     return t("events").select("event_id", ids.wide(ns, F.col("event_id")).alias("id")).withColumn("ns", ids.wide_ts(F.col("id")))
 
 
-@query()
+@query("SELECT event_id, CAST(list_sum(list_transform(range(0, 20), lambda k: (((user_id >> k) & 1) << (2 * k + 1)) | ((((event_id % 1048576) >> k) & 1) << (2 * k)))) AS BIGINT) AS z FROM events")
 def id_interleave(t, spark, sf):
     return t("events").select("event_id", ids.interleave(F.col("user_id"), F.col("event_id") % 1048576).alias("z"))
 

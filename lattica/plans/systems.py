@@ -18,7 +18,10 @@ def scratch(spark: SparkSession) -> str:
     """A folder of this session that all executors share."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattica-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lattica-"))
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
@@ -159,13 +162,13 @@ def stream_dedup(t, spark, sf):
 @query("SELECT user_id, count(*) AS writes, count(*) FILTER (d > 21600000000) AS expiries FROM (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, value) AS d FROM events) GROUP BY 1")
 def stream_ttl(t, spark, sf):
     events = flows.read_table(spark, sf, "events").select("user_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return flows.drain(flows.expiring(events, "user_id", "us", "value", 21_600_000_000), "update", scratch(spark))
+    return flows.drain(flows.expiring(events, "user_id", "us", "value", 21_600_000_000), "update", scratch(spark), ["user_id"])
 
 
 @query("SELECT user_id, (max(epoch_us(ts)) - min(epoch_us(ts))) // 3600000000 AS fired FROM events GROUP BY 1")
 def stream_timer(t, spark, sf):
     events = flows.read_table(spark, sf, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return flows.drain(flows.timers(events, "user_id", "us", 3_600_000_000), "update", scratch(spark))
+    return flows.drain(flows.timers(events, "user_id", "us", 3_600_000_000), "update", scratch(spark), ["user_id"])
 
 
 @query("SELECT l_shipdate, count(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1995-02-01' GROUP BY 1")
