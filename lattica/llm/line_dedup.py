@@ -196,6 +196,7 @@ def dedup_lines(
 
     found = common.cut(whole.select("__id", "__text").mapInArrow(_suspects(shared, min_chars), common.with_fields(whole, ["__id"], "key binary")))
     confirmed = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("__id").alias("keep")).where(F.col("n") >= min_docs)
+    confirmed = common.cut(confirmed.select("key", "keep"))  # read from a table, so that a skewed join can be split
     drops = found.join(confirmed, "key").where(~F.col("__id").eqNullSafe(F.col("keep")))
     drops = common.cut(drops.groupBy("__id").agg(F.collect_set("key").alias("__drop")))
     common.drop(found)
