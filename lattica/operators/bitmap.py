@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .checks import small
 from .order import numbered
 
 CHUNK = 8192
+#: Bitmaps that are compared pair by pair.
+MOST_GROUPS = 2000
 
 
 def combine(df: DataFrame, group: str, pos: str, groups: list, how: str) -> DataFrame:
@@ -57,13 +60,14 @@ def similarity(df: DataFrame, group: str, pos: str) -> DataFrame:
     """Jaccard, dice, overlap and hamming of all pairs of a few bitmaps.
 
     Positions carry the array of the groups that hold them, so the pairs grow with the
-    square of the number of groups (which must be small), not with a self-join of rows.
+    square of the number of groups (at most MOST_GROUPS, checked), not with a self-join of rows.
     """
     held = df.select(group, pos).distinct()
     sizes = held.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     sets = held.groupBy(pos).agg(F.sort_array(F.collect_set(group)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
     pairs = sets.select(F.explode("g").alias("a"), "g", "c").select("a", F.explode("g").alias("b"), "c").where("a < b").groupBy("a", "b").agg(F.sum("c").alias("both"))
     s = lambda x, n: sizes.select(F.col(group).alias(x), F.col("n").alias(n))
+    small(sizes, MOST_GROUPS)
     every = s("a", "na").join(s("b", "nb"), F.col("a") < F.col("b")).join(pairs, ["a", "b"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
     return every.select(
         "a", "b", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6).alias("jaccard"), F.round(2 * F.col("both") / (F.col("na") + F.col("nb")), 6).alias("dice"),

@@ -79,7 +79,10 @@ def txt_utf8_valid(t, spark, sf):
     return spark.createDataFrame([(k, bytearray(b)) for k, b in rows], "k int, b binary").select("k", F.is_valid_utf8(F.col("b").cast("string")).alias("valid"))
 
 
-@query()
+_WIDE = r"[\x{1100}-\x{115F}\x{2E80}-\x{303E}\x{3041}-\x{4DBF}\x{4E00}-\x{A4CF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE6F}\x{FF00}-\x{FF60}\x{FFE0}-\x{FFE6}\x{1F300}-\x{1F64F}\x{1F900}-\x{1F9FF}\x{20000}-\x{3FFFD}]"
+
+
+@query(rf"SELECT doc_id, length(text) - len(regexp_extract_all(text, '[\p{{Cc}}\p{{Cf}}\p{{Mn}}\p{{Me}}]')) + len(regexp_extract_all(text, '{_WIDE}')) AS width FROM documents")
 def txt_width(t, spark, sf):
     return _docs(t).select("doc_id", text.display_width(F.col("s")).alias("width"))
 
@@ -89,7 +92,7 @@ def txt_repr(t, spark, sf):
     return _docs(t).select("doc_id", text.escaped(F.col("s")).alias("repr"))
 
 
-@query()
+@query("SELECT doc_id, left(text, list_filter(range(0, 26), lambda k: strlen(left(text, k)) <= 25)[-1]) AS head FROM documents")
 def txt_truncate_bytes(t, spark, sf):
     return _docs(t).select("doc_id", text.truncate_bytes(F.col("s"), 25).alias("head"))
 

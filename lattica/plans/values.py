@@ -192,3 +192,11 @@ def id_dual(t, spark, sf):
     """Two times in one id."""
     ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
     return t("events").select("event_id", ids.dual(ns, ns + F.col("event_id")).alias("id"))
+
+
+@query("SELECT o_orderkey, o_orderkey * f AS n, NULL::BIGINT AS none FROM orders, (SELECT unnest(range(0, 6)) AS k, unnest([1, 1000, 1024, 1000000, 1048576, 1000000000]) AS f) WHERE o_orderkey % 6 = k")
+def human_bytes_all(t, spark, sf):
+    """Amounts with units, and a unit that isn't one."""
+    k = F.col("o_orderkey")
+    unit = F.get(F.array(*[F.lit(u) for u in ("", " kB", "KiB", "  M", "mib", "gb")]), (k % 6).cast("int"))
+    return t("orders").select("o_orderkey", numbers.human_to_bytes(F.concat(k.cast("string"), unit)).alias("n"), numbers.human_to_bytes(F.concat(k.cast("string"), F.lit(" parsecs"))).alias("none"))
