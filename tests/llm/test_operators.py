@@ -622,3 +622,39 @@ def test_thresholds_come_from_rows_that_the_fit_never_saw(spark, monkeypatch):
     assert toxicity.best_threshold(np.array([0.9, 0.8, 0.3, 0.1]), np.array([1, 1, 0, 0])) == pytest.approx(0.55)
     small = toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"), F.lit(True), max_bytes=2000)
     assert fitted[1] < 60 and small[1]
+
+
+def test_line_scores_are_weighted_by_length_and_read_both_neighbours():
+    """Features and document scores of a fitted model against plain loops over lines."""
+    rng = random.Random(2)
+    texts = ["\n".join("".join(rng.choice("aB 1#!.é ") for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(1, 6))) for _ in range(40)] + ["", "\n\n", "x x y"]
+    model = line_crf.fit(texts, np.array([k % 2 for k in range(len(texts))]), steps=8)
+    for _, _, data, offsets in blocks(pa.array(texts, pa.large_string())):
+        features, size, first = line_crf.line_features(data, offsets)
+        scores, good, _ = model.score(data, offsets)
+    for k, text in enumerate(texts):
+        lines = text.split("\n")
+        own = features[first[k] : first[k + 1]]
+        assert len(own) == len(lines)
+        emits = []
+        for line, f in zip(lines, own, strict=True):
+            raw, words = line.encode(), re.findall(rb"[^\x20\x09-\x0D]+", line.encode())
+            letters = sum(b >= 128 or chr(b).isalpha() for b in raw)
+            per_word, per_byte = max(len(words), 1), max(len(raw), 1)
+            low = [w.lower() for w in words]
+            want = [
+                np.log2(1 + len(raw)), np.log2(1 + len(words)), sum(map(len, words)) / per_word, sum(65 <= b <= 90 for b in raw) / max(letters, 1), sum(48 <= b <= 57 for b in raw) / per_byte,
+                raw.count(b"#") / per_word, raw.count(b"!") / per_word, raw.count(b".") / per_word, sum(a == b for a, b in zip(low, low[1:], strict=False)) / per_word,
+                len(set(low)) / per_word, max(letters, 1) / per_byte, sum(len(w) == 1 for w in words) / per_word, float(raw[-1:] == b"."),
+            ]
+            assert np.allclose(f, want)
+        bins = [[int(np.searchsorted(e, f[j], "right")) for j, e in enumerate(model.edges)] for f in own]
+        for i in range(len(lines)):
+            total = model.bias
+            for place, at in ((0, i), (1, i - 1), (2, i + 1)):
+                total += sum(model.weights[place, j][bins[at][j] if 0 <= at < len(lines) else line_crf.BINS + 1] for j in range(len(model.edges)))
+            emits.append(total)
+        marginal = line_crf.marginals(np.array(emits), np.array([0, len(lines)]), model.pair, model.begin)
+        assert np.allclose(marginal, good[first[k] : first[k + 1]])
+        weights = [len(x.encode()) for x in lines] if text.strip("\n") else [1] * len(lines)
+        assert np.isclose(scores[k], np.average(marginal, weights=weights))
