@@ -236,3 +236,15 @@ def natural_key(s: Column) -> Column:
 def pad_width(s: Column, width: int, fill: str = " ") -> Column:
     """Padded at the right to a width in characters; longer strings are cut."""
     return F.rpad(s, width, fill)
+
+
+def grapheme_head(s: Column, n: int) -> Column:
+    """The first ``n`` extended grapheme clusters."""
+    return F.regexp_extract(s, rf"^\X{{0,{n}}}", 0)
+
+
+def matches_number(s: Column, n: Column) -> Column:
+    """Whether a text reads as a whole number."""
+    from .numbers import parse_long
+
+    return F.coalesce(parse_long(s) == n, F.lit(False))

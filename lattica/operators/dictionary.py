@@ -39,3 +39,10 @@ def inverted_index(docs: DataFrame, doc: str, text: str) -> DataFrame:
 def search(index: DataFrame, doc: str, query: list[str]) -> DataFrame:
     """(doc, hits, freq): documents with any of the terms."""
     return index.where(F.col("term").isin(query)).groupBy(doc).agg(F.count(F.lit(1)).alias("hits"), F.sum("freq").alias("freq"))
+
+
+def smallest_free(words: DataFrame) -> DataFrame:
+    """One row, free_code: the smallest code from 0 on that no value holds. A code's successor is looked up, so no order of all codes is made."""
+    codes = words.select("code")
+    after = codes.select((F.col("code") + 1).alias("code")).union(words.sparkSession.range(1).toDF("code"))
+    return after.join(codes, "code", "left_anti").agg(F.min("code").alias("free_code"))

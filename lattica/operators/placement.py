@@ -6,7 +6,7 @@ Node tables are small (a cluster's members) and are broadcast after a check of t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -196,3 +196,13 @@ def moves(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """(from_node, to_node, n): how many keys a change of nodes moves."""
     both = before.select(key, F.col("node_id").alias("from_node")).join(after.select(key, F.col("node_id").alias("to_node")), key)
     return both.where("from_node != to_node").groupBy("from_node", "to_node").agg(F.count(F.lit(1)).alias("n"))
+
+
+def checked(nodes: DataFrame, provider: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
+    """``nodes`` with the states that a provider gives: it is called with batches of nodes as pandas frames."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(state=provider(f).to_numpy())
+
+    return nodes.mapInPandas(run, nodes.schema)

@@ -174,3 +174,10 @@ def walk(df: DataFrame, key: str, visit, schema: str, going: Column) -> DataFram
             yield visit(f)
 
     return take_while(df, [key], going).mapInPandas(run, schema)
+
+
+def row_members(df: DataFrame, store: DataFrame, name: str) -> DataFrame:
+    """Adds ``name``: whether a row's fields, those that ``store`` has, are a row of it; nulls equal nulls."""
+    right = store.distinct().select(*[F.col(c).alias(f"__{c}") for c in store.columns], F.lit(True).alias("__hit"))
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in store.columns]
+    return df.join(right, on, "left").select(*df.columns, F.coalesce("__hit", F.lit(False)).alias(name))

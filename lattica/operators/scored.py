@@ -38,11 +38,12 @@ def count_by_score(df: DataFrame, group: list[str], score: str, low, high) -> Da
     return df.groupBy(*group).agg(F.count_if(F.col(score).between(low, high)).alias("n"))
 
 
-def remove_ranks(df: DataFrame, group: list[str], score: str, member: str, start: int, stop: int) -> DataFrame:
-    """Without ranks start .. stop, inclusive; negatives count from the end, bounds are clamped."""
+def remove_ranks(df: DataFrame, group: list[str], score: str, member: str, start: int, stop: int, strict: bool = False) -> DataFrame:
+    """Without ranks start .. stop, inclusive; negatives count from the end. Bounds are clamped, or if ``strict`` a range that isn't inside removes nothing."""
     r = ranked(df, group, score, member)
     at = lambda k: F.lit(k) if k >= 0 else F.col("rank") + F.col("rev_rank") + 1 + k
-    return r.where(~F.col("rank").between(at(start), at(stop))).drop("rank", "rev_rank")
+    inside = (at(start) >= 0) & (at(stop) <= F.col("rank") + F.col("rev_rank")) if strict else F.lit(True)
+    return r.where(~(F.col("rank").between(at(start), at(stop)) & inside)).drop("rank", "rev_rank")
 
 
 def union(sets: list[DataFrame], weights: list[float], member: str, score: str, how: str = "sum") -> DataFrame:
@@ -102,3 +103,17 @@ def scan_from(df: DataFrame, group: list[str], score: str, member: str, at, k: i
     """A cursor: the next k rows of each set in (score, member) order from a score on, with place (1-based)."""
     rows = df.where(F.col(score) >= at if forward else F.col(score) <= at)
     return top(rows, group, score, member, k, largest=not forward)
+
+
+def random_pop(df: DataFrame, group: list[str], member: str, k: int, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(k random members of each group, what is left)."""
+    popped = random_members(df, group, member, k, seed)
+    return popped, df.join(popped.select(*group, member), [*group, member], "left_anti")
+
+
+def random_draws(df: DataFrame, group: list[str], member: str, k: int, seed: int = 1) -> DataFrame:
+    """k draws from each group, with repeats, by a seeded hash of group and draw."""
+    placed = df.select(*group, member, (F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64(F.lit(seed), F.col(member)), member)) - 1).cast("long").alias("__i"))
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).select(*group, "__n", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("draw"))
+    asked = sizes.select(*group, "draw", F.pmod(F.xxhash64(F.lit(seed), *group, "draw"), F.col("__n")).alias("__i"))
+    return asked.join(placed, [*group, "__i"]).drop("__i")

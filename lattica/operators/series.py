@@ -112,3 +112,17 @@ def products(df: DataFrame, group: str, v: str) -> DataFrame:
     each = powers.groupBy(group).agg(F.collect_list(F.coalesce("__p", big(F.lit(None)))).alias("__f"), F.count_if(F.col("__p").isNull()).alias("__lost"), F.count_if(F.col("__p") == 0).alias("__zero"))
     product = F.aggregate("__f", big(F.lit(1)), lambda a, x: big(F.try_multiply(a, x)))
     return each.select(group, F.when(F.col("__zero") > 0, big(F.lit(0))).when(F.col("__lost") == 0, product).try_cast("bigint").alias("product"))
+
+
+def blocks(df: DataFrame, group: list[str], order: str, size: int) -> DataFrame:
+    """Adds block and place: a series in blocks of ``size`` values."""
+    at = F.row_number().over(Window.partitionBy(*group).orderBy(order)) - 1
+    return df.withColumn("block", F.floor(at / size)).withColumn("place", F.pmod(at, F.lit(size)).cast("long"))
+
+
+def append(stored: DataFrame, new: DataFrame, group: list[str], order: str, size: int) -> DataFrame:
+    """``stored`` (with block and place) and ``new`` values after its end: its last block is filled before another begins."""
+    ends = stored.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    at = F.coalesce("__n", F.lit(0)) + F.row_number().over(Window.partitionBy(*group).orderBy(order)) - 1
+    placed = new.join(ends, group, "left").withColumn("block", F.floor(at / size)).withColumn("place", F.pmod(at, F.lit(size)).cast("long")).drop("__n")
+    return stored.unionByName(placed.select(*stored.columns))

@@ -26,4 +26,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import changes, cluster, containers, lives, numeric, ranges, star, strings, systems, values  # noqa: E402, F401
+from . import changes, cluster, containers, lives, numeric, ranges, rest, star, strings, systems, values  # noqa: E402, F401
