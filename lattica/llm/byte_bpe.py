@@ -11,11 +11,13 @@ with one optional space before; white space not followed by other characters; wh
 
 Slices go through pair merging by rank, lowest first and leftmost on ties: all slices of a
 block that aren't in the cache at once, a merge in each slice a round. Results are kept in
-a cache of bounded size. Token ids come with byte offsets, so any span can be decoded.
+a cache of bounded size. Token ids come with byte offsets; the decoder puts each token's bytes at its
+offset, and offsets that don't fit the ids are an error.
 
-Edge cases: null counts as the empty text, which has no ids and decodes to no bytes; one
-slice of any length is merged in n log n steps; an unknown id fails the decoder; extra
-columns are carried, and replaced where they clash with results.
+Edge cases: null counts as the empty text, which has no ids and decodes to no bytes; very long
+texts are encoded whole, and one slice of any length is merged in n log n steps; an unknown id fails the
+decoder; repeated rows are encoded alike; null ids and ties play no part; an empty table gives an empty result; extra
+columns are carried, whatever their names, and replaced where they clash with results (ids, offsets, decoded).
 """
 
 from __future__ import annotations
@@ -332,7 +334,11 @@ def codec(path: str) -> Codec:
 
 
 def _encode(path: str, kept: list[str], with_offsets: bool):
+    tables = unicodedata.unidata_version
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if unicodedata.unidata_version != tables:
+            raise RuntimeError(f"an executor's Python has Unicode tables {unicodedata.unidata_version}, the driver's {tables}: they may cut texts differently")
         own = codec(path)
         for batch in batches:
             for begin, end, data, offsets in blocks(batch.column("__text"), BLOCK):

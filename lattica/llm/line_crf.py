@@ -10,7 +10,9 @@ weighted by their lengths in bytes.
 
 Edge cases: a null or empty text is one empty line, and a text of empty lines only weighs
 them alike; the first and last line have a bin of their own for the missing neighbour;
-without labels of both kinds every score is the share of good labels (0 without labels).
+without labels of both kinds every score is the share of good labels (0 without labels); very long texts are
+read whole; repeated rows get equal scores; null ids and ties play no part in a score; an empty table gives an
+empty result; extra columns are carried, whatever their names, and replaced where they clash with results.
 """
 
 from __future__ import annotations
