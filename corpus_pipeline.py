@@ -2,6 +2,11 @@
 
 Each stage takes the documents its predecessor kept and returns documents; the last returns
 token ids. Stages are written as Parquet and read again, in ``run`` as by the caller.
+
+Edge cases, in every stage: a null text counts as empty (and stays null where documents are returned,
+but for line dedup, which returns the empty text); null ids, sources and languages are values of their own; repeated rows are documents of
+their own until near-duplicate removal keeps one; very long texts are read whole; ties are decided by the row,
+so reruns agree; an empty table gives an empty result; extra columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +23,10 @@ TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line model scores at its threshold or above; it learns from labels outside the held-out fold."""
+    """Documents that the line model scores at its threshold or above; it learns from labels outside the held-out fold.
+
+    Without labels of both kinds every score is the share of good ones, so none or all stay. Equal texts get equal scores.
+    """
     labels = common.table(spark, sf_dir, "labels")
     model = line_crf.train(docs, labels, sampling.remainder(F.col("doc_id"), 4) != 2)
     scored = line_crf.classify(docs, model, keep_text=True)
@@ -26,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many of them share; n_chars follows the text."""
+    """Documents without the lines that many of them share; n_chars follows the text. All documents stay, be it with an empty text."""
     out = line_dedup.dedup_lines(docs).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
@@ -55,12 +63,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture of sources, documents that are taken twice being two rows."""
+    """The mixture of sources, documents that are taken twice being two rows; those without a word are never taken."""
     return mixing.mixture(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, n_tokens, ids and the tokens' byte offsets of every document of the mixture."""
+    """doc_id, source, lang, n_tokens, ids and the tokens' byte offsets of every document of the mixture; an empty text has no id."""
     got = byte_bpe.encode(docs.select("doc_id", "source", "lang", "text"), public_tokenizers.path(TOKENIZER))
     return got.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", "offsets")
 
