@@ -146,19 +146,29 @@ def _met(slacks: DataFrame) -> DataFrame:
     tops = both.groupBy("h", "band").agg(
         F.max(F.struct("slack", "node")).alias("top"), F.max(F.when(F.col("low"), F.col("slack"))).alias("low_slack"), F.count(F.lit(1)).alias("members")
     ).where("low_slack is not null and members > 1").select("h", "band", F.col("top.node").alias("lead"), F.col("top.slack").alias("lead_slack"), "low_slack")
+    tops = common.cut(tops)  # read from a table, as in _shared
     fit = both.join(tops, ["h", "band"]).where("node != lead and slack + if(low, lead_slack, low_slack) >= 0").select("node", "lead", "band").distinct()
-    return common.cut(fit.union(fit.select(F.col("lead").alias("node"), "lead", "band")).distinct())
+    met = common.cut(fit.union(fit.select(F.col("lead").alias("node"), "lead", "band")).distinct())
+    common.drop(tops)
+    return met
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """``postings`` (h, ...) of shingles that two nodes or more hold, with their number cnt."""
-    return postings.join(postings.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("cnt")).where("cnt > 1"), "h")
+    """``postings`` (h, ...) of shingles that two nodes or more hold, with their number cnt.
+
+    Counts are added up before their shuffle and read from a table, so that Spark can split the join where a third of the postings are of one shingle.
+    """
+    counts = common.cut(postings.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("cnt")).where("cnt > 1"))
+    common.release(postings.sparkSession)
+    shared = common.cut(postings.join(counts, "h"))
+    common.drop(counts)
+    common.release(postings.sparkSession)
+    return shared
 
 
 def _of_regions(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(slacks by region, the table of shared postings that they are read from). Of the shingles of the lowest quarter it is known who shares them; the others come after them, by hash."""
-    shared = common.cut(_shared(classes.select("node", F.posexplode("region").alias("i", "h"))))
-    common.release(classes.sparkSession)  # the shuffles of all postings
+    shared = _shared(classes.select("node", F.posexplode("region").alias("i", "h")))
     placed = shared.join(classes.select("node", "n", "m"), "node").withColumn("high", F.expr(f"h >= {LOWEST_QUARTER}"))
     own = Window.partitionBy("node")
     place = F.row_number().over(own.orderBy("high", "cnt", "h"))
@@ -166,12 +176,12 @@ def _of_regions(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed.select("h", "node", "n", before.alias("r")).where("r <= n div 4").select("h", "node", "n", F.expr("n - 7 * r").alias("slack")), shared
 
 
-def _of_sets(sets: DataFrame) -> DataFrame:
-    """Slacks by the whole sets."""
+def _of_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Slacks by the whole sets, and the table of shared postings."""
     shared = _shared(sets.select("node", "n", F.explode("own").alias("h")))
     own = Window.partitionBy("node")
     before = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("cnt", "h")) - 1
-    return shared.select("h", "node", "n", before.alias("r")).where("r <= n div 4").select("h", "node", "n", F.expr("n - 7 * r").alias("slack"))
+    return shared.select("h", "node", "n", before.alias("r")).where("r <= n div 4").select("h", "node", "n", F.expr("n - 7 * r").alias("slack")), shared
 
 
 def bitmaps(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -323,7 +333,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_c
     sets = common.cut(able_nodes.join(sets, ["s1", "s2"]).select("node", "n", "own"))
     common.release(docs.sparkSession)
 
-    members = _met(_of_sets(sets))
+    slacks, shared = _of_sets(sets)
+    members = _met(slacks)
+    common.drop(shared)
     common.release(docs.sparkSession)
     links = _first_links(members, sets)
     if (more := _later_links(members, sets, links)) is not None:
