@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import running_sum
+from .order import numbered, running_sum
 
 
 def prefix_sums(df: DataFrame, idx: str, v: str, group: list[str] | None = None, block: int | None = None) -> DataFrame:
@@ -57,10 +57,19 @@ def lower_bound(df: DataFrame, targets: list[int], idx: str, v: str, block: int
     return rows.where("__s >= target").groupBy("target").agg(F.min(idx).alias(idx))
 
 
-def sliding(df: DataFrame, idx: str, v: str, before: int, group: list[str] | None = None) -> DataFrame:
-    """Adds w_sum, w_min, w_max over the row and ``before`` rows before it."""
-    w = Window.partitionBy(*(group or [])).orderBy(idx).rowsBetween(-before, 0)
-    return df.select("*", F.sum(v).over(w).alias("w_sum"), F.min(v).over(w).alias("w_min"), F.max(v).over(w).alias("w_max"))
+def sliding(df: DataFrame, idx: str, v: str, before: int, group: list[str] | None = None, block: int = 65536) -> DataFrame:
+    """Adds w_sum, w_min, w_max over the row and ``before`` rows before it.
+
+    A whole table is cut into blocks of positions; a block also gets the ``before`` rows ahead of it.
+    """
+    folds = lambda w: (F.sum(v).over(w).alias("w_sum"), F.min(v).over(w).alias("w_min"), F.max(v).over(w).alias("w_max"))
+    if group:
+        return df.select("*", *folds(Window.partitionBy(*group).orderBy(idx).rowsBetween(-before, 0)))
+    block = max(block, before + 1)
+    placed = numbered(df, idx, "__p").withColumn("__b", F.floor(F.col("__p") / block))
+    late = F.when(F.pmod("__p", F.lit(block)) >= block - before, F.array(F.col("__b"), F.col("__b") + 1)).otherwise(F.array("__b"))
+    spread = placed.withColumn("__k", F.explode(late))
+    return spread.select("*", *folds(Window.partitionBy("__k").orderBy("__p").rowsBetween(-before, 0))).where("__k = __b").drop("__p", "__b", "__k")
 
 
 def range_assign(df: DataFrame, idx: str, v: str, lo, hi, value) -> DataFrame:

@@ -301,3 +301,11 @@ def test_durable_store_compacts_and_verifies(spark, tmp_path):
     assert rows(db.recover(), "k", "v") == [(8, "kept")]
     spark.createDataFrame([(5, "forged")], "k bigint, v string").write.mode("append").parquet(f"{tmp_path}/snapshot/v=1")
     assert not db.verify()
+
+
+def test_sliding_windows_cross_blocks(spark):
+    rng = random.Random(6)
+    v = [rng.randint(-9, 9) for _ in range(60)]
+    df = spark.createDataFrame([(3 * i, x) for i, x in enumerate(v)], "idx long, v long")
+    want = [(3 * i, sum(w), min(w), max(w)) for i in range(60) for w in [v[max(0, i - 4) : i + 1]]]
+    assert rows(prefix.sliding(df, "idx", "v", 4, block=7), "idx", "w_sum", "w_min", "w_max") == want
