@@ -58,7 +58,7 @@ def arr_delete_range(t, spark, sf):
     return rows.select("l_orderkey", _text(arrays.delete(a, 1, 2)).alias("middle"), _text(arrays.delete_head(a, 2)).alias("head"), _text(arrays.delete_tail(a, 2)).alias("tail"), F.size(left).cast("long").alias("left_n"), F.size(right).cast("long").alias("right_n"))
 
 
-@query(f"SELECT l_orderkey, a[2] AS second, a[-1] AS last, list_position(a, a[-1]) - 1 AS first_of_last, len(a) - list_position(list_reverse(a), a[1]) AS last_of_first, CASE WHEN list_position(list_filter(a, lambda x, i: i % 2 = 1), a[3]) > 0 THEN 2 * (list_position(list_filter(a, lambda x, i: i % 2 = 1), a[3]) - 1) END AS among_even FROM ({_A})")
+@query(f"SELECT l_orderkey, a[2] AS second, a[-1] AS last, CAST(list_position(a, a[-1]) - 1 AS BIGINT) AS first_of_last, len(a) - list_position(list_reverse(a), a[1]) AS last_of_first, CASE WHEN list_position(list_filter(a, lambda x, i: i % 2 = 1), a[3]) > 0 THEN CAST(2 * (list_position(list_filter(a, lambda x, i: i % 2 = 1), a[3]) - 1) AS BIGINT) END AS among_even FROM ({_A})")
 def arr_find(t, spark, sf):
     """Items by position, and positions of items: from the front, from the back, and among every second item only."""
     rows, a = _array(t)

@@ -10,7 +10,7 @@ from .systems import _H, _N, _nodes, _placed, _PLACED, scratch
 
 #: Changes of the node table, in both engines: (version, op, node_id, weight, state, rack).
 CHANGES = [(1, "add", 8, 1, "up", 0), (2, "state", 2, None, "down", None), (3, "remove", 5, None, None, None), (4, "state", 3, None, "up", None), (5, "add", 5, 2, "up", 3), (6, "state", 77, None, "up", None), (7, "remove", 6, None, None, None)]
-_AFTER = "(SELECT i AS node_id, CASE WHEN i = 8 THEN 1 ELSE 1 + i % 2 END AS weight, CASE WHEN i = 2 THEN 'down' ELSE 'up' END AS state, CASE WHEN i = 5 THEN 3 ELSE i % 4 END AS rack, CASE i WHEN 8 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 4 WHEN 5 THEN 5 ELSE 0 END AS version FROM range(0, 9) AS r(i) WHERE i <> 6)"
+_AFTER = "(SELECT i AS node_id, CAST(CASE WHEN i = 8 THEN 1 ELSE 1 + i % 2 END AS INTEGER) AS weight, CASE WHEN i = 2 THEN 'down' ELSE 'up' END AS state, CAST(CASE WHEN i = 5 THEN 3 ELSE i % 4 END AS INTEGER) AS rack, CAST(CASE i WHEN 8 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 4 WHEN 5 THEN 5 ELSE 0 END AS BIGINT) AS version FROM range(0, 9) AS r(i) WHERE i <> 6)"
 
 
 def _after(spark):

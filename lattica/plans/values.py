@@ -12,7 +12,7 @@ def _docs(t):
     return t("documents").select("doc_id", F.col("text").alias("s"))
 
 
-@query("SELECT doc_id, unicode(text) AS first_point, hex(encode(chr(unicode(text)))) AS encoded FROM documents WHERE length(text) > 0")
+@query("SELECT doc_id, unicode(text)::BIGINT AS first_point, hex(encode(chr(unicode(text)))) AS encoded FROM documents WHERE length(text) > 0")
 def txt_code_point(t, spark, sf):
     """The first code point of each text from its bytes, and its bytes from the number."""
     d = _docs(t).where(F.char_length("s") > 0)
@@ -78,7 +78,7 @@ def txt_utf8_all(t, spark, sf):
     return _docs(t).where("s is not null").select("doc_id", text.is_valid_utf8(b).alias("valid"), (~text.is_valid_utf8(F.concat(F.unhex(F.lit("80")), b))).alias("damaged_is_not"))
 
 
-@query("SELECT p_partkey, p_name AS one, p_brand || ' x' AS two, 3 AS n FROM part")
+@query("SELECT p_partkey, p_name AS one, p_brand || ' x' AS two, 3::BIGINT AS n FROM part")
 def txt_shell_args(t, spark, sf):
     """Names with blanks survive quoting."""
     line = F.concat(F.lit("'"), F.col("p_name"), F.lit("' \""), F.col("p_brand"), F.lit(" x\"  a\\ b"))
@@ -171,7 +171,7 @@ def id64_layouts(t, spark, sf):
     return t("events").select("event_id", ids.compose(ns, F.col("event_id"), "s64").alias("s64"), ids.compose(ns, F.col("event_id"), "us64").alias("us64"))
 
 
-@query("SELECT * FROM (VALUES ('ms32', 10**6, 26, 6, 67108863, 7), ('ms64', 10**6, 44, 20, 17592186044415, 13), ('s32', 10**9, 22, 10, 4194303, 7), ('s64', 10**9, 35, 29, 34359738367, 13), ('us64', 10**3, 54, 10, 18014398509481983, 13)) AS v(layout, unit_ns, time_bits, random_bits, most_ticks, width)".replace("10**9", "1000000000").replace("10**6", "1000000").replace("10**3", "1000"))
+@query("SELECT layout, unit_ns::BIGINT AS unit_ns, time_bits, random_bits, most_ticks, width FROM (VALUES ('ms32', 10**6, 26, 6, 67108863, 7), ('ms64', 10**6, 44, 20, 17592186044415, 13), ('s32', 10**9, 22, 10, 4194303, 7), ('s64', 10**9, 35, 29, 34359738367, 13), ('us64', 10**3, 54, 10, 18014398509481983, 13)) AS v(layout, unit_ns, time_bits, random_bits, most_ticks, width)".replace("10**9", "1000000000").replace("10**6", "1000000").replace("10**3", "1000"))
 def id_layouts(t, spark, sf):
     """What each layout holds."""
     rows = [(k, unit, a, b, ids.most_ticks(k), ids.text_width(k)) for k, (unit, a, b) in ids.LAYOUTS.items()]
