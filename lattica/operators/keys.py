@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import cuts, range_of
+
 
 def intersect_bag(a: DataFrame, b: DataFrame) -> DataFrame:
     """Bag intersection: a key occurs as often as in the side that has fewer."""
@@ -43,14 +45,21 @@ def same_sets(df: DataFrame, group: str, key: str) -> DataFrame:
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:
     """For each left row the value of the last right row with the same ``by`` at or before ``at``.
 
-    Both sides are united and swept by one window: linear in rows, no range join.
+    Both sides are united and swept by a window: linear in rows, no range join. The sweep is cut at a few
+    values of ``at``, so that one key's rows are shared by tasks; what a range begins with is carried from the ranges before it.
     """
     rest = [c for c in left.columns if c not in (by, at)]
     l_rows = left.select(by, at, F.lit(1).alias("__side"), F.struct(*rest).alias("__row"), F.lit(None).cast(right.schema[value].dataType).alias("__v"))
     r_rows = right.select(by, at, F.lit(0).alias("__side"), F.lit(None).cast(l_rows.schema["__row"].dataType).alias("__row"), F.col(value).alias("__v"))
-    w = Window.partitionBy(by).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    swept = l_rows.union(r_rows).withColumn(f"asof_{value}", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
-    return swept.select(by, at, *[F.col(f"__row.{c}").alias(c) for c in rest], f"asof_{value}")
+    both = l_rows.union(r_rows).withColumn("__r", range_of(at, cuts(right, at)))
+    last = F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(at, "__v")))
+    ends = both.groupBy(F.col(by).alias("__by"), F.col("__r").alias("__q")).agg(last.alias("__l"))
+    earlier = Window.partitionBy("__by").orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a key
+    begun = ends.select("__by", "__q", F.last("__l", ignorenulls=True).over(earlier).alias("__begun"))
+    w = Window.partitionBy(by, "__r").orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    swept = both.withColumn("__own", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
+    found = swept.join(begun, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__r") == F.col("__q")), "left")
+    return found.select(by, at, *[F.col(f"__row.{c}").alias(c) for c in rest], F.coalesce("__own", "__begun").alias(f"asof_{value}"))
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: int) -> DataFrame:

@@ -6,6 +6,9 @@ in every run), ranges are counted, and each range is numbered on its own from wh
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +26,7 @@ def range_of(key: str, values: list) -> Column:
     """The number of the range that a key is in; nulls are in the first."""
     if not values:
         return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*[F.lit(v) for v in values]), lambda v: v <= F.col(key))), F.lit(0))
+    return reduce(add, [F.when(F.col(key) >= F.lit(v), 1).otherwise(0) for v in values])
 
 
 def _ranged(df: DataFrame, key: str, desc: bool, total: Column) -> tuple[DataFrame, DataFrame]:

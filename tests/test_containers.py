@@ -309,3 +309,16 @@ def test_sliding_windows_cross_blocks(spark):
     df = spark.createDataFrame([(3 * i, x) for i, x in enumerate(v)], "idx long, v long")
     want = [(3 * i, sum(w), min(w), max(w)) for i in range(60) for w in [v[max(0, i - 4) : i + 1]]]
     assert rows(prefix.sliding(df, "idx", "v", 4, block=7), "idx", "w_sum", "w_min", "w_max") == want
+
+
+def test_as_of_carries_values_over_ranges(spark):
+    rng = random.Random(7)
+    left = [(rng.choice([1, 2, None]), rng.randint(0, 400), i) for i in range(150)]
+    right = {(rng.choice([1, 1, 1, 3]), t): rng.choice([None, t * 10]) for t in rng.sample(range(400), 120)}
+    df = spark.createDataFrame(left, "k int, at int, i int")
+    got = keys.as_of(df, spark.createDataFrame([(k, t, v) for (k, t), v in right.items()], "k int, at int, v int"), "k", "at", "v")
+    want = []
+    for k, t, i in left:
+        before = [(u, v) for (g, u), v in right.items() if g == k and u <= t and v is not None]
+        want.append((i, max(before)[1] if before else -1))
+    assert rows(got.select("i", F.coalesce("asof_v", F.lit(-1)).alias("v")), "i", "v") == sorted(want)
