@@ -26,8 +26,18 @@ def bloom_places(x: Column, bits: int, probes: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(probes - 1)), lambda i: F.pmod(h1 + i * h2, F.lit(bits)))
 
 
+def bloom_bits(df: DataFrame, x: str) -> int:
+    """Bits of a filter that holds the values of ``x``: 2 ** 20 at least, else 16 to 32 for each, of which 6 probes find less than 1 in 500 others."""
+    return max(1 << 20, _above(16 * df.agg(F.approx_count_distinct(x, 0.02)).first()[0]))
+
+
+def _above(n: int) -> int:
+    """The least power of 2 that is not below ``n``."""
+    return 1 << max(0, n - 1).bit_length()
+
+
 def bloom(df: DataFrame, x: str, bits: int = 1 << 20, probes: int = 6) -> DataFrame:
-    """A Bloom filter as (word, mask): at most bits / 64 rows whatever the input."""
+    """A Bloom filter as (word, mask): at most bits / 64 rows whatever the input. Beyond some 60,000 values take ``bloom_bits``."""
     place = df.select(F.explode(bloom_places(F.col(x), bits, probes)).alias("p"))
     return place.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("mask"))
 

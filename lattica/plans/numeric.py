@@ -230,7 +230,8 @@ def hll_union(t, spark, sf):
 def bloom_membership(t, spark, sf):
     """Even customers are added; all must be found, and at most 1 % of the odd ones."""
     c = t("customer").select("c_custkey", (F.col("c_custkey") % 2 == 0).alias("member"))
-    got = sketch.bloom_contains(c, "c_custkey", sketch.bloom(c.where("member"), "c_custkey"))
+    bits = sketch.bloom_bits(c.where("member"), "c_custkey")
+    got = sketch.bloom_contains(c, "c_custkey", sketch.bloom(c.where("member"), "c_custkey", bits), bits)
     return got.agg(F.count_if("member").alias("members"), F.bool_and(~F.col("member") | F.col("maybe")).alias("none_lost"), (F.count_if(~F.col("member") & F.col("maybe")) <= 0.01 * F.count_if(~F.col("member"))).alias("few_false"))
 
 
