@@ -51,8 +51,13 @@ def bloom_contains(df: DataFrame, x: str, filled: DataFrame, bits: int = 1 << 20
     return df.join(found, x)
 
 
+def count_min_width(df: DataFrame, x: str) -> int:
+    """Cells a row for the values of ``x``: 2 ** 16 at least, else 4 to 8 for each, so that 4 rows leave all but 1 in 400 values a cell of their own."""
+    return max(1 << 16, _above(4 * df.agg(F.approx_count_distinct(x, 0.02)).first()[0]))
+
+
 def count_min(df: DataFrame, x: str, width: int = 1 << 16, depth: int = 4) -> DataFrame:
-    """A count-min sketch as (row, cell, n): at most width * depth rows."""
+    """A count-min sketch as (row, cell, n): at most width * depth rows. Beyond some 16,000 values take ``count_min_width``."""
     cells = df.groupBy(x).agg(F.count(F.lit(1)).alias("c")).select("c", F.posexplode(bloom_places(F.col(x), width, depth)).alias("row", "cell"))
     return cells.groupBy("row", "cell").agg(F.sum("c").alias("n"))
 

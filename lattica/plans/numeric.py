@@ -238,7 +238,8 @@ def bloom_membership(t, spark, sf):
 @query("SELECT count(DISTINCT l_suppkey) AS keys, true AS never_less, true AS near FROM lineitem")
 def cms_counts(t, spark, sf):
     li = t("lineitem")
-    est = sketch.count_min_estimate(li, "l_suppkey", sketch.count_min(li, "l_suppkey"))
+    width = sketch.count_min_width(li, "l_suppkey")
+    est = sketch.count_min_estimate(li, "l_suppkey", sketch.count_min(li, "l_suppkey", width), width)
     exact = li.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
     both = exact.join(est, "l_suppkey")
     return both.agg(F.count(F.lit(1)).alias("keys"), F.bool_and(F.col("estimate") >= F.col("n")).alias("never_less"), (F.sum(F.col("estimate") - F.col("n")) <= 0.01 * F.sum("n")).alias("near"))

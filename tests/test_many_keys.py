@@ -17,3 +17,7 @@ def same(spark, folder, name, table, frame):
 
 def test_bloom_filter_grows_with_its_members(spark, tmp_path):
     assert same(spark, tmp_path, "bloom_membership", "customer", spark.range(300_000).withColumnRenamed("id", "c_custkey"))
+
+
+def test_count_min_sketch_grows_with_its_keys(spark, tmp_path):
+    assert same(spark, tmp_path, "cms_counts", "lineitem", spark.range(180_000).selectExpr("id % 60000 AS l_suppkey"))
