@@ -41,10 +41,13 @@ def human_to_bytes(s: Column) -> Column:
     return F.when(number != "", F.round(F.try_multiply(number.try_cast("double"), factor.cast("double")))).cast("bigint")
 
 
-def bytes_to_human(n: Column) -> Column:
-    """Five decimals and a binary unit."""
+BINARY_UNITS = ("KiB", "MiB", "GiB", "TiB", "PiB")
+
+
+def bytes_to_human(n: Column, largest: str = BINARY_UNITS[-1]) -> Column:
+    """Five decimals and a binary unit, up to ``largest``."""
     value, unit = n.cast("double"), F.lit(" B")
-    for k, name in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB"), 1):
+    for k, name in enumerate(BINARY_UNITS[: BINARY_UNITS.index(largest) + 1], 1):
         value, unit = F.when(n >= 1 << (10 * k), n / float(1 << (10 * k))).otherwise(value), F.when(n >= 1 << (10 * k), F.lit(" " + name)).otherwise(unit)
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat(fixed(value, 5), unit))
 

@@ -134,7 +134,7 @@ def human_bytes(t, spark, sf):
 
 @query("SELECT o_orderkey, CASE WHEN b >= 1073741824 THEN printf('%.5f GiB', b / 1073741824.0) WHEN b >= 1048576 THEN printf('%.5f MiB', b / 1048576.0) WHEN b >= 1024 THEN printf('%.5f KiB', b / 1024.0) ELSE b || ' B' END AS human FROM (SELECT o_orderkey, o_orderkey * o_orderkey * 31 AS b FROM orders)")
 def bytes_human(t, spark, sf):
-    return t("orders").select("o_orderkey", numbers.bytes_to_human(F.col("o_orderkey") * F.col("o_orderkey") * 31).alias("human"))
+    return t("orders").select("o_orderkey", numbers.bytes_to_human(F.col("o_orderkey") * F.col("o_orderkey") * 31, "GiB").alias("human"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey <= 1 THEN 0 ELSE CAST(round(log2(o_orderkey) * 10) AS BIGINT) END AS est, CAST(trunc(o_totalprice) AS BIGINT) AS whole FROM orders")
